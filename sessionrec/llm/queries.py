@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("quality", "chat", "sharding")
+_MODULES = ("packing", "sharding", "chat", "quality")
 
 
 def queries() -> dict:
