@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "sharding", "chat", "quality")
+_MODULES = ("packing", "mixing", "sharding", "chat", "quality")
 
 
 def queries() -> dict:
