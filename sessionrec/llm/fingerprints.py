@@ -32,7 +32,7 @@ class Sampler:
     is 0, so one table has the final values.
     """
 
-    def __init__(self, samples: int = SAMPLES, most: int = 40_000) -> None:
+    def __init__(self, samples: int = SAMPLES, most: int = 120_000) -> None:
         self.samples, self.most = samples, most
         self.rows: dict[bytes, int] = {}
         self.hash = np.zeros(most, dtype=np.uint64)
