@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "fingerprints", "mixing", "sharding", "chat", "quality")
+_MODULES = ("packing", "fingerprints", "toxicity", "mixing", "sharding", "chat", "quality")
 
 
 def queries() -> dict:
