@@ -128,14 +128,22 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
             out = out * np.uint64(_MULTIPLIER) + hashes[j : j + n]
         return mixed(out)
     up = powers(_MULTIPLIER, len(hashes))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up, dtype=np.uint64, out=sums[1:])
     return mixed((sums[k:] - sums[:-k]) * powers(_INVERSE, n))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base**0, base**1, ... mod 2**64; the longest so far is kept."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 4096), base, dtype=np.uint64)
+        held[0] = 1
+        held = _POWERS[base] = np.multiply.accumulate(held)
+    return held[:n]
 
 
 def shingles(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
