@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "fingerprints", "toxicity", "mixing", "sharding", "repeats", "chat", "quality")
+_MODULES = ("packing", "fingerprints", "toxicity", "mixing", "jaccard", "sharding", "repeats", "chat", "quality")
 
 
 def queries() -> dict:
