@@ -50,8 +50,8 @@ def by_document(dk: np.ndarray, values: np.ndarray) -> tuple[list[int], list[byt
     return dk[starts].tolist(), [values[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends)]
 
 
-SUFFIXES = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("dks", pa.binary()), ("at", pa.binary()), ("dk", pa.int64()), ("found", pa.binary())])
-SUFFIX_SCHEMA = "bucket int, keys binary, dks binary, at binary, dk long, found binary"
+SUFFIXES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("dks", pa.binary()), ("at", pa.binary())])
+SUFFIX_SCHEMA = "bucket int, part int, keys binary, dks binary, at binary"
 
 
 def suffixes(buckets: int):
@@ -74,12 +74,9 @@ def suffixes(buckets: int):
             starts, run_of = runs(keys)
             several = np.bincount(run_of) > 1
             twice = several[run_of]
-            ids, found = by_document(dks[twice], at[twice])
-            empty = [None] * len(ids)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((empty, empty, empty, empty, ids, found), SUFFIXES)], schema=SUFFIXES)
+            yield dealt("part", dks[twice], {"dks": dks[twice], "at": at[twice].astype("<u4")}, buckets, SUFFIXES)
             keys, dks, at = keys[starts], dks[starts], at[starts]
-            yield dealt(keys, (keys, dks, at.astype("<u4")), buckets, SUFFIXES)
+            yield dealt("bucket", keys, {"keys": keys, "dks": dks, "at": at.astype("<u4")}, buckets, SUFFIXES)
 
         size = 0
         for batch, texts in texts_of(batches):
@@ -99,34 +96,43 @@ def suffixes(buckets: int):
     return run
 
 
-def dealt(keys: np.ndarray, columns: tuple[np.ndarray, ...], buckets: int, schema: pa.Schema) -> pa.RecordBatch:
-    """One row for each bucket that has some of the keys, with the columns as bytes; further columns of the schema are null."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    starts, _ = runs(bucket)
-    bounds = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])) if len(bucket) else []
-    out = [bucket[starts].tolist(), *([c[order][a:b].tobytes() for a, b in bounds] for c in columns)]
-    out += [[None] * len(bounds) for _ in range(len(schema) - len(out))]
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+def dealt(name: str, keys: np.ndarray, columns: dict[str, np.ndarray], parts: int, schema: pa.Schema) -> pa.RecordBatch:
+    """One row for each of the parts that some of the keys fall to, with the columns as bytes; other columns of the schema are null."""
+    part = (keys.astype(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts, _ = runs(part)
+    bounds = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)])) if len(part) else []
+    out = {name: part[starts].tolist() if len(part) else []} | {n: [c[order][a:b].tobytes() for a, b in bounds] for n, c in columns.items()}
+    return pa.RecordBatch.from_arrays([pa.array(out.get(f.name, [None] * len(bounds)), f.type) for f in schema], schema=schema)
 
 
-def joined(blobs: pd.Series, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=dtype)
+def joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), dtype=dtype)
 
 
-def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's suffixes, sorted; those equal to a neighbour in their first PREFIX words are found."""
-    keys, dks, at = joined(pdf["keys"], "<u8"), joined(pdf["dks"], "<i8"), joined(pdf["at"], "<u4")
-    order = np.argsort(keys, kind="stable")
-    starts, run_of = runs(keys[order])
-    twice = order[(np.bincount(run_of, minlength=1) > 1)[run_of]] if len(keys) else order
-    ids, found = by_document(dks[twice], at[twice])
-    return pd.DataFrame({"dk": pd.Series(ids, dtype="int64"), "found": pd.Series(found, dtype=object)})
+def neighbours(parts: int):
+    """A bucket's suffixes, sorted; those equal to a neighbour in their first PREFIX words are found and dealt by document."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, dks, at = joined(table, "keys", "<u8"), joined(table, "dks", "<i8"), joined(table, "at", "<u4")
+        order = np.argsort(keys, kind="stable")
+        starts, run_of = runs(keys[order])
+        twice = order[(np.bincount(run_of, minlength=1) > 1)[run_of]] if len(keys) else order
+        return pa.Table.from_batches([dealt("part", dks[twice], {"dks": dks[twice], "at": at[twice]}, parts, FOUND)])
+
+    return run
+
+
+FOUND = pa.schema([("part", pa.int32()), ("dks", pa.binary()), ("at", pa.binary())])
 
 
-PASSAGES = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ords", pa.binary()), ("dks", pa.binary()), ("at", pa.binary()), ("times", pa.binary()), ("dk", pa.int64()), ("found", pa.binary())])
-PASSAGE_SCHEMA = "bucket int, keys binary, ords binary, dks binary, at binary, times binary, dk long, found binary"
+def found_by_document(table: pa.Table) -> pa.Table:
+    ids, found = by_document(joined(table, "dks", "<i8"), joined(table, "at", "<u4"))
+    return pa.table({"dk": pa.array(ids, pa.int64()), "found": pa.array(found, pa.binary())})
+
+
+PASSAGES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("ords", pa.binary()), ("dks", pa.binary()), ("at", pa.binary()), ("times", pa.binary()), ("first", pa.binary())])
+PASSAGE_SCHEMA = "bucket int, part int, keys binary, ords binary, dks binary, at binary, times binary, first binary"
 
 
 def extended(buckets: int):
@@ -148,18 +154,15 @@ def extended(buckets: int):
             starts, run_of = runs(keys)
             later = np.ones(len(keys), dtype=bool)
             later[starts] = False
-            ids, found = by_document(dks[later], at[later])
-            empty = [None] * len(ids)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*[empty] * 6, ids, found), PASSAGES)], schema=PASSAGES)
+            yield dealt("part", dks[later], {"dks": dks[later], "at": at[later].astype("<u4"), "first": np.zeros(later.sum(), dtype=bool)}, buckets, PASSAGES)
             times = np.bincount(run_of).astype("<u4")
-            yield dealt(keys[starts], (keys[starts], ords[starts], dks[starts], at[starts].astype("<u4"), times), buckets, PASSAGES)
+            yield dealt("bucket", keys[starts], {"keys": keys[starts], "ords": ords[starts], "dks": dks[starts], "at": at[starts].astype("<u4"), "times": times}, buckets, PASSAGES)
 
         size = 0
         for batch, texts in texts_of(batches):
             for dk, order, found, text in zip(batch.column("dk").to_pylist(), batch.column("ord").to_pylist(), batch.column("found").to_pylist(), texts):
                 h = table.of(words(text))
-                p = np.unique(np.frombuffer(b"".join(found), dtype="<u4")).astype(np.int64)
+                p = np.unique(np.frombuffer(found, dtype="<u4")).astype(np.int64)
                 last = len(h) - PASSAGE
                 change = np.zeros(len(h) + 1, dtype=np.int64)
                 np.add.at(change, np.maximum(p - (SPREAD - 1), 0), 1)
@@ -175,22 +178,38 @@ def extended(buckets: int):
     return run
 
 
-def first_and_later(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's passages that occur twice or more: the first by doc_id and place, and those after it."""
-    keys, ords, dks, at, times = (joined(pdf[c], t) for c, t in (("keys", "<u8"), ("ords", "<i8"), ("dks", "<i8"), ("at", "<u4"), ("times", "<u4")))
-    order = np.lexsort((at, dks, ords, keys))
-    keys, dks, at, times = keys[order], dks[order], at[order], times[order]
-    starts, run_of = runs(keys)
-    several = np.bincount(run_of, weights=times, minlength=1) > 1
-    first = np.zeros(len(keys), dtype=bool)
-    first[starts] = several[run_of[starts]] if len(starts) else False
-    later = np.ones(len(keys), dtype=bool)
-    later[starts] = False
-    parts = []
-    for mask, name in ((first, "firsts"), (later, "laters")):
-        ids, found = by_document(dks[mask], at[mask])
-        parts.append(pd.DataFrame({"dk": pd.Series(ids, dtype="int64"), "firsts": None, "laters": None}).assign(**{name: pd.Series(found, dtype=object)}))
-    return pd.concat(parts, ignore_index=True)
+def first_and_later(parts: int):
+    """A bucket's passages that occur twice or more, dealt by document: the first by doc_id and place, and those after it."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, ords, dks, at, times = (joined(table, c, t) for c, t in (("keys", "<u8"), ("ords", "<i8"), ("dks", "<i8"), ("at", "<u4"), ("times", "<u4")))
+        order = np.lexsort((at, dks, ords, keys))
+        keys, dks, at, times = keys[order], dks[order], at[order], times[order]
+        starts, run_of = runs(keys)
+        several = np.bincount(run_of, weights=times, minlength=1)[run_of] > 1
+        first = np.zeros(len(keys), dtype=bool)
+        first[starts] = True
+        dks, at, first = dks[several], at[several], first[several]
+        return pa.Table.from_batches([dealt("part", dks, {"dks": dks, "at": at, "first": first}, parts, MARKS)])
+
+    return run
+
+
+MARKS = pa.schema([("part", pa.int32()), ("dks", pa.binary()), ("at", pa.binary()), ("first", pa.binary())])
+
+
+def spans_by_document(table: pa.Table) -> pa.Table:
+    """The documents of a part with their repeated spans and those to remove."""
+    dks, at, first = joined(table, "dks", "<i8"), joined(table, "at", "<u4").astype(np.int64), joined(table, "first", "?")
+    order = np.lexsort((at, dks))
+    dks, at, first = dks[order], at[order], first[order]
+    starts, _ = runs(dks)
+    rows = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(dks)]):
+        f, s = np.unique(at[a:b][first[a:b]]), np.unique(at[a:b][~first[a:b]])
+        rows.append((int(dks[a]), spans_of(np.union1d(f, s)), without(spans_of(s), spans_of(f))))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    dicts = [pa.array([[{"start": x, "end": y} for x, y in r[i]] for r in rows], kind) for i in (1, 2)]
+    return pa.table({"dk": pa.array([r[0] for r in rows], pa.int64()), "repeated": dicts[0], "removed": dicts[1]})
 
 
 def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -221,17 +240,6 @@ def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[t
 SPANS = "dk long, repeated array<struct<start:int,end:int>>, removed array<struct<start:int,end:int>>"
 
 
-def spans(batches: Iterator) -> Iterator:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        rows = []
-        for dk, firsts, laters in zip(*(batch.column(c).to_pylist() for c in ("dk", "firsts", "laters"))):
-            f, s = (np.unique(np.frombuffer(b"".join(x), dtype="<u4")).astype(np.int64) for x in (firsts, laters))
-            rows.append((dk, spans_of(np.union1d(f, s)), without(spans_of(s), spans_of(f))))
-        dicts = [[[{"start": a, "end": b} for a, b in r[i]] for r in rows] for i in (1, 2)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array(d, kind) for d in dicts)], names=["dk", "repeated", "removed"])
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """dk, repeated, removed: for each document with a repeated passage all its spans, and those to remove.
 
@@ -243,15 +251,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     known = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 4000))
     listed = scratch.write(known.select("dk", "text").mapInArrow(suffixes(buckets), SUFFIX_SCHEMA), "suffixes")
-    by_bucket = listed.where("bucket is not null").select("bucket", "keys", "dks", "at").groupBy("bucket").applyInPandas(neighbours, "dk long, found binary")
-    matched = listed.where("bucket is null").select("dk", "found").unionByName(by_bucket).groupBy("dk").agg(F.collect_list("found").alias("found"))
+    by_bucket = listed.where("bucket is not null").select("bucket", "keys", "dks", "at").groupBy("bucket").applyInArrow(neighbours(buckets), "part int, dks binary, at binary")
+    matched = listed.where("part is not null").select("part", "dks", "at").unionByName(by_bucket).groupBy("part").applyInArrow(found_by_document, "dk long, found binary")
     texts = known.join(matched, "dk")
     passages = scratch.write(texts.select("dk", "ord", "found", "text").mapInArrow(extended(buckets), PASSAGE_SCHEMA), "passages")
     scratch.drop("suffixes")
-    ranked = passages.where("bucket is not null").select("bucket", "keys", "ords", "dks", "at", "times").groupBy("bucket").applyInPandas(first_and_later, "dk long, firsts binary, laters binary")
-    later = passages.where("bucket is null").select("dk", F.lit(None).cast("binary").alias("firsts"), F.col("found").alias("laters"))
-    marks = ranked.unionByName(later).groupBy("dk").agg(F.collect_list("firsts").alias("firsts"), F.collect_list("laters").alias("laters"))
-    return marks.mapInArrow(spans, SPANS)
+    ranked = passages.where("bucket is not null").select("bucket", "keys", "ords", "dks", "at", "times").groupBy("bucket").applyInArrow(first_and_later(buckets), "part int, dks binary, at binary, first binary")
+    return passages.where("part is not null").select("part", "dks", "at", "first").unionByName(ranked).groupBy("part").applyInArrow(spans_by_document, SPANS)
 
 
 def words_in(spans_column: str) -> Column:
