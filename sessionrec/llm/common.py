@@ -73,6 +73,11 @@ class Scratch:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

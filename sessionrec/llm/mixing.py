@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionrec.llm.common import WORD, Scratch, read_documents, text_or_empty
+from sessionrec.llm.common import WORD, Scratch, packed, read_documents, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -84,10 +84,12 @@ def pivot(p: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
 TREE = "sid int, part long, doc_id long, tie int, size long, whole long, p double, u double"
 
 
-def combined(pdf: pd.DataFrame) -> pd.DataFrame:
-    # By falling size, a document trades with one of about its size, so the one that is left is small.
-    pdf = pdf.sort_values(["size", "u", "doc_id", "tie"], ascending=[False, True, True, True], kind="stable")
-    return pdf.assign(p=pivot(pdf["p"].to_numpy(), pdf["size"].to_numpy(dtype=float), pdf["u"].to_numpy()))
+def combined(table: pa.Table) -> pa.Table:
+    """A group after rounding. By falling size, a document trades with one of about its size, so the one that is left is small."""
+    size, u, tie = (table[c].to_numpy() for c in ("size", "u", "tie"))
+    table = table.take(pa.array(np.lexsort((tie, u, -size))))
+    p = pivot(table["p"].to_numpy(), table["size"].to_numpy().astype(float), table["u"].to_numpy())
+    return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
 
 def with_tie(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def copies(docs: DataFrame, scratch: Scratch, source: str = "source", seed: int
         levels, most = levels + 1, -(-most // FAN_IN)
     found, rows = [], rows.drop("docs")
     for level in range(levels):
-        rows = scratch.write(rows.groupBy("sid", "part").applyInPandas(combined, TREE), f"level{level}")
+        rows = scratch.write(rows.groupBy("sid", "part").applyInArrow(combined, TREE), f"level{level}")
         fractional = (F.col("p") > 0) & (F.col("p") < 1)
         found.append(rows.where(~fractional))
         rows = rows.where(fractional).withColumn("part", F.floor(F.col("part") / FAN_IN))
@@ -151,13 +153,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents, each as often as the mix takes it, with their columns. A document without words goes."""
     scratch = Scratch(docs.sparkSession, "mixing")
     found, _ = copies(docs, scratch)
-    names = docs.columns
-    keyed = docs.withColumns({"_source": F.col("source"), "size_": word_count(F.col("text")), "_crc": F.crc32(text_or_empty(F.col("text")).cast("binary"))})
-    order = Window.partitionBy("doc_id").orderBy("_source", "size_", "_crc")
-    keyed = keyed.withColumn("_tie", F.row_number().over(order)).alias("d")
-    wanted = found.where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), "copies")
-    joined = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"d.`{c}`") for c in names])
+    keyed = docs.select(packed(docs).alias("row"), "doc_id", F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), F.crc32(text_or_empty(F.col("text")).cast("binary")).alias("_crc"))
+    keyed = with_tie(keyed).alias("d")
+    wanted = found.where(F.col("copies") > 0).alias("w")
+    joined = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tie") == F.col("w.tie")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w.copies"))).alias("copy")).select("row.*")
 
 
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionrec.llm.common import Scratch, WordHash, read_documents, small_batches, texts_of, window_hashes, words
+from sessionrec.llm.common import SPACE, Scratch, WordHash, packed, read_documents, small_batches, texts_of, window_hashes, words
 
 #: A passage is repeated if it has so many words, each equal, in two places at least.
 PASSAGE = 50
@@ -297,21 +297,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_chars, where there, is counted anew for changed texts. A document that had words and has none left goes.
     """
     found = repeated_spans(docs, Scratch(docs.sparkSession, "repeats")).where(F.size("removed") > 0).select("dk", "removed")
-    names = docs.columns
-    keyed = docs.withColumn("_dk", F.xxhash64("doc_id", "text"))
+    keyed = docs.select(packed(docs).alias("row"), F.xxhash64("doc_id", "text").alias("_dk"))
     kept = keyed.join(found, F.col("_dk") == F.col("dk"), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None or t is None else cut_text(t, list(r)) for t, r in zip(text, removed)], dtype=object)
+        return pd.Series([cut_text(t, list(r)) for t, r in zip(text, removed)], dtype=object)
 
     changed = F.col("removed").isNotNull()
     # Only changed rows pass through Python.
-    same = kept.where(~changed).select(*[f"`{n}`" for n in names])
-    new = kept.where(changed).withColumn("_text", cut("text", "removed"))
-    new = new.where(F.trim(F.translate("_text", "\t\n\x0b\x0c\r", " ")) != "")
-    new = new.select(*[F.col("_text").alias(n) if n == "text" else F.length("_text").cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(f"`{n}`") for n in names])
-    return same.unionByName(new)
+    same = kept.where(~changed).select("row.*")
+    new = kept.where(changed).select("row", cut("row.text", "removed").alias("cut")).where(F.translate("cut", SPACE, "") != "")
+    row = F.col("row").withField("text", F.col("cut"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
+    return same.unionByName(new.select(row.alias("row")).select("row.*"))
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sessionrec.llm.common import Scratch, read_documents, small_batches, texts_of
+from sessionrec.llm.common import Scratch, packed, read_documents, small_batches, texts_of
 
 #: At most so many labelled documents are fitted on: those with the least hash of their doc_id.
 SAMPLE = 20_000
@@ -187,25 +188,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
     return fit_ordinal(names, data, graded(toxic, amount), levels=2)
 
 
-def scored(docs: DataFrame, model: Ordinal | None, *keep: str) -> DataFrame:
-    """The kept columns with p_mild, p_severe (chances of a grade of at least 1 and 2), expected_severity and rejected."""
-    small_batches(docs.sparkSession)
-    schema = docs.select(*keep).schema.add("p_mild", "double").add("p_severe", "double").add("expected_severity", "double").add("rejected", "boolean")
+def scored(rows: DataFrame, model: Ordinal | None, text: str = "text") -> DataFrame:
+    """Adds p_mild, p_severe (chances of a grade of at least 1 and 2), expected_severity and rejected to (key, row with a text)."""
+    small_batches(rows.sparkSession)
+    schema = T.StructType(list(rows.schema)).add("p_mild", "double").add("p_severe", "double").add("expected_severity", "double").add("rejected", "boolean")
 
     def run(batches: Iterator) -> Iterator:
         hits = Hits({f: i for i, f in enumerate(model.names)}) if model else None
-        for batch, texts in texts_of(batches, "_text"):
-            score = np.zeros(len(texts))
+        for batch in batches:
+            score = np.zeros(len(batch))
             if hits is not None:
-                for i, text in enumerate(texts):
-                    found = Counter(f for x in filter(None, map(hits.__getitem__, (text or "").split())) for f in x)
+                for i, value in enumerate(batch.column("row").field(text).to_pylist()):
+                    found = Counter(f for x in filter(None, map(hits.__getitem__, (value or "").split())) for f in x)
                     score[i] = sum(model.weights[f] * np.log1p(n) for f, n in found.items())
-            above = model.above(score) if model else np.zeros((len(texts), 2))
-            columns = [batch.column(k) for k in range(len(keep))]
-            columns += [pa.array(above[:, 0]), pa.array(above[:, 1]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] > REJECT)]
+            above = model.above(score) if model else np.zeros((len(batch), 2))
+            columns = [*batch.columns, pa.array(above[:, 0]), pa.array(above[:, 1]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] > REJECT)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,13 +214,13 @@ def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no features, so the thresholds alone decide; repeated rows stay
     repeated; without labels of both kinds nothing is rejected; an empty table gives no rows.
     """
-    return scored(docs, fit_toxicity(docs, labels), "doc_id")
+    rows = docs.select("doc_id", F.struct("text").alias("row"))
+    return scored(rows, fit_toxicity(docs, labels)).drop("row")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    names = [f"`{c}`" for c in docs.columns]
-    return scored(docs, fit_toxicity(docs, labels), *names).where(~F.col("rejected")).select(*names)
+    return scored(docs.select(packed(docs).alias("row")), fit_toxicity(docs, labels)).where(~F.col("rejected")).select("row.*")
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
