@@ -50,22 +50,29 @@ def label_side(spark, sf):
 
 
 def edges_of(events: DataFrame) -> DataFrame:
-    """The three rule graphs, pruned; used on both sides of several joins."""
-    return G.rule_graph_topk(events).select("aid_x", "aid_y", "weight", "graph")
+    """The three rule graphs, pruned, as a table."""
+    return src.staged(G.rule_graph_topk(events).select("aid_x", "aid_y", "weight", "graph"), "edges")
 
 
 def pool(spark, sf, topk: int = 50, least: int = 30) -> DataFrame:
-    events = train_side(spark, sf)
-    return ret.recommend_from_graphs(events, edges_of(events), topk=topk, min_candidates=least, popular=win.popular_fallback_items(events, topk))
+    """Candidates by the graphs of the train side, as a table."""
+    return pool_by(train_side(spark, sf), None, topk, least)
+
+
+def pool_by(events: DataFrame, edges: DataFrame | None, topk: int = 50, least: int = 30) -> DataFrame:
+    edges = edges_of(events) if edges is None else edges
+    return src.staged(ret.recommend_from_graphs(events, edges, topk=topk, min_candidates=least, popular=win.popular_fallback_items(events, topk)), "pool")
 
 
 def features(spark, sf) -> DataFrame:
     events = train_side(spark, sf)
-    return feat.interaction_features(pool(spark, sf), events, edges_of(events))
+    edges = edges_of(events)
+    return feat.interaction_features(pool_by(events, edges), events, edges)
 
 
 def labelled(spark, sf) -> DataFrame:
-    return S.label_candidates(features(spark, sf), splits.label_targets(label_side(spark, sf)))
+    """Candidates with features and targets, as a table: thresholds, counts and samples read it several times."""
+    return src.staged(S.label_candidates(features(spark, sf), splits.label_targets(label_side(spark, sf))), "labelled")
 
 
 # Sources and sinks
@@ -231,7 +238,8 @@ def events_for_candidates(spark, sf):
 @query
 def graph_signals_for_candidates(spark, sf):
     events = train_side(spark, sf)
-    out = feat.graph_signals_for_candidates(events, edges_of(events), pool(spark, sf))
+    edges = edges_of(events)
+    out = feat.graph_signals_for_candidates(events, edges, pool_by(events, edges))
     return out.select("session", "aid", "graph_source_count", "dominant_graph_source", *r6("graph_weight_sum", "graph_weight_max"))
 
 
@@ -496,8 +504,9 @@ def recall_at_k(spark, sf):
 @query
 def candidate_coverage(spark, sf):
     labels = splits.grouped_labels(label_side(spark, sf))
-    rows = S.label_candidates(pool(spark, sf).select("session", "aid"), splits.label_targets(label_side(spark, sf)))
-    return M.candidate_coverage(rows, labels, pool(spark, sf), 50).select("type", "positives", "negatives", *r6("neg_per_pos", "recall"))
+    candidates = pool(spark, sf)
+    rows = S.label_candidates(candidates.select("session", "aid"), splits.label_targets(label_side(spark, sf)))
+    return M.candidate_coverage(rows, labels, candidates, 50).select("type", "positives", "negatives", *r6("neg_per_pos", "recall"))
 
 
 # Features
@@ -559,23 +568,22 @@ def ranker_training_frame(spark, sf):
     return out.select("session", "aid", "target_click", "delta_t_known", "delta_t_filled", *r6("candidate_score", "graph_weight_total"))
 
 
-def _training(spark, sf):
+def _training(rows):
     """Down-sampled training rows; a table, since boosting goes through them again and again."""
-    rows = S.downsample_negatives(R.ranker_training_frame(labelled(spark, sf), "target_click"), "target_click")
-    path = src.scratch_path(spark, "training.parquet")
-    rows.write.parquet(path)
-    return spark.read.parquet(path)
+    rows = S.downsample_negatives(R.ranker_training_frame(rows, "target_click"), "target_click")
+    return src.staged(rows, "training")
 
 
 @query
 def train_click_ranker(spark, sf):
-    return R.feature_importance(R.train_click_ranker(_training(spark, sf), "target_click", rounds=5), spark)
+    return R.feature_importance(R.train_click_ranker(_training(labelled(spark, sf)), "target_click", rounds=5), spark)
 
 
 @query
 def score_and_rank(spark, sf):
-    model = R.train_click_ranker(_training(spark, sf), "target_click", rounds=5)
-    held = R.ranker_frame(S.session_holdout(labelled(spark, sf))[1], "target_click")
+    rows = labelled(spark, sf)
+    model = R.train_click_ranker(_training(rows), "target_click", rounds=5)
+    held = R.ranker_frame(S.session_holdout(rows)[1], "target_click")
     return R.score_and_rank(model, held, "target_click")
 
 

@@ -103,6 +103,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{uuid.uuid4().hex}-{name}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table: a stage that several later ones read is computed once and survives lost executors."""
+    path = scratch_path(df.sparkSession, f"{name}.parquet")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the `events` table: a session for each user, the number in props as the item."""
     code = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 1).otherwise(0)
