@@ -6,10 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionrec.functions.weights import encode_type
+from sessionrec.functions.weights import decode_type, encode_type
 from sessionrec.schema import EVENTS, SESSION_JSON
 
 
@@ -53,8 +53,6 @@ def write_events(events: DataFrame, path: str, mode: str = "error") -> None:
 
 def to_sessions(events: DataFrame) -> DataFrame:
     """Session documents with events in time order and types by name."""
-    from sessionrec.functions.weights import decode_type
-
     item = F.struct("ts", "aid", decode_type(F.col("type")).alias("type"))
     ordered = F.array_sort(F.collect_list(item))
     return events.groupBy(F.col("session").cast("long").alias("session")).agg(F.transform(ordered, lambda e: F.struct(e["aid"].alias("aid"), e["ts"].alias("ts"), e["type"].alias("type"))).alias("events"))
@@ -126,6 +124,6 @@ def events_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_events(rows.select(F.col("o_custkey").alias("session"), F.col("l_partkey").alias("aid"), millis("l_shipdate").alias("ts"), code.alias("type")))
 
 
-def millis(column: str):
+def millis(column: str) -> Column:
     """Milliseconds of a time without zone, taken as UTC whatever the session's zone."""
     return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz")) / F.lit(1000)).cast("long")
