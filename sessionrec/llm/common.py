@@ -27,11 +27,7 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small: a text may have 100 kB and more.
-
-    Workers get the place of this library, for drivers that were started elsewhere.
-    """
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Arrow batches of whole texts stay small: a text may have 100 kB and more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
@@ -42,11 +38,13 @@ class Scratch:
 
     A table cuts the lineage: what is read again comes from the written files, so an executor
     that is lost costs only its running tasks. The folder is the session's
-    spark.checkpoint.dir; a local one is made only where none is set (tests).
+    spark.checkpoint.dir; a local one is made only where none is set (tests). Workers get the
+    place of this library, for drivers that were started elsewhere.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = spark.sparkContext.getCheckpointDir()
@@ -101,7 +99,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words; repeated words are looked up. It is emptied when it gets large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

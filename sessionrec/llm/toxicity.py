@@ -34,7 +34,7 @@ def features_of_word(word: str) -> list[str]:
 class Hits(dict):
     """A word's selected features by number; most words have none. Emptied when it gets large."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self, numbers: dict[str, int]) -> None:
         self.numbers = numbers

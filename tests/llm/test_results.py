@@ -146,7 +146,7 @@ def test_fingerprints(docs, corpus):
 
 def test_mixing(docs, corpus):
     rows = mixing.mix_report(docs).collect()
-    assert rows == mixing.mix_report(docs.repartition(2)).collect() or sorted(rows) == sorted(mixing.mix_report(docs.repartition(2)).collect())
+    assert sorted(rows) == sorted(mixing.mix_report(docs.repartition(2)).collect())  # reruns agree, however rows lie
     source = {i: f"s{i % 4}" if i % 7 else None for i in corpus}
     taken, target = Counter(), {}
     for r in rows:
