@@ -21,7 +21,7 @@ GRAM, SPREAD = 8, 20
 #: Any PASSAGE words hold such a position with so many of them from it on: SPREAD - 1 before it at most.
 PREFIX = PASSAGE - (SPREAD - 1)
 #: Records that a task sorts at a time before it deals them out.
-BLOCK = 500_000
+BLOCK = 250_000
 NO_ID = 2**63 - 1
 
 
