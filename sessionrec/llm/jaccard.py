@@ -214,25 +214,23 @@ def near_pairs(postings: DataFrame) -> DataFrame:
     return pairs.select(F.least("g", "o.g").alias("ga"), F.greatest("g", "o.g").alias("gb")).distinct()
 
 
-def compare_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All sets of two chunks: a link for each two components that have sets that are alike."""
-    pdf = pdf.drop_duplicates("class")
-    ids, comp = pdf["class"].to_numpy(), pdf["comp"].to_numpy()
-    sets = [unpack48(x) for x in pdf["tokens"]]
+def intersections(sets: list[np.ndarray], rows: int, columns: int) -> np.ndarray:
+    """How many shingles each of the first sets shares with each of the last ones."""
     size = np.array([len(s) for s in sets])
     owner, tokens = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
     owner = owner[order]
     starts, _ = runs(tokens[order])
     lengths = np.diff(np.append(starts, len(tokens)))
-    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    low = len(sets) - columns
+    shared = np.zeros((rows, columns), dtype=np.float32)
     often = np.flatnonzero(lengths > 32)
     for at in range(0, len(often), 2048):  # shingles of many sets: products of 0/1 columns
         part = often[at : at + 2048]
         m = np.zeros((len(sets), len(part)), dtype=np.float32)
         for j, k in enumerate(part):
             m[owner[starts[k] : starts[k] + lengths[k]], j] = 1
-        shared += m @ m.T
+        shared += m[:rows] @ m[low:].T
     for k in range(2, 33):  # shingles of few sets: their pairs
         here = starts[lengths == k]
         if len(here):
@@ -240,7 +238,18 @@ def compare_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
             for i in range(k):
                 for j in range(k):
                     if i != j:
-                        np.add.at(shared, (group[:, i], group[:, j]), 1)
+                        inside = (group[:, i] < rows) & (group[:, j] >= low)
+                        np.add.at(shared, (group[inside, i], group[inside, j] - low), 1)
+    return shared
+
+
+def compare_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All sets of two chunks: a link for each two components that have sets that are alike."""
+    pdf = pdf.drop_duplicates("class")
+    ids, comp = pdf["class"].to_numpy(), pdf["comp"].to_numpy()
+    sets = [unpack48(x) for x in pdf["tokens"]]
+    size = np.array([len(s) for s in sets])
+    shared = intersections(sets, len(sets), len(sets))
     # Row by row, so that no further matrices are made.
     found = []
     for i in range(len(sets) - 1):
@@ -251,8 +260,30 @@ def compare_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return links.drop_duplicates(["ca", "cb"])[["a", "b"]]
 
 
-def shingle_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class, n for each row; links a, b between classes).
+def linked_documents(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sets of one chunk, or of one chunk with those of another: for each class, the documents of the classes that are alike."""
+    pdf = pdf.sort_values("side", kind="stable")
+    copies, n = pdf["copies"].to_numpy(), len(pdf)
+    rows, columns = n, n
+    if pdf["i"].iat[0] != pdf["j"].iat[0]:
+        rows = int((pdf["side"] == pdf["i"]).sum())
+        columns = n - rows
+    sets = [unpack48(x) for x in pdf["tokens"]]
+    size = np.array([len(s) for s in sets])
+    shared = intersections(sets, rows, columns)
+    links = np.zeros(n, dtype=np.int64)
+    for k in range(rows):
+        ok = alike(shared[k].astype(np.int64), size[k], size[n - columns :])
+        if rows == columns == n:
+            ok[k] = False
+        else:
+            links[n - columns :] += ok * copies[k]
+        links[k] += copies[n - columns :][ok].sum()
+    return pd.DataFrame({"class": pdf["class"].to_numpy(), "linked": links})
+
+
+def shingle_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, class, n for each row; links a, b between classes; class, tokens of the classes that may have links).
 
     A class is all documents of one set of shingles. Links connect just the classes that links of
     similarity connect; of links between components that are connected already not all are listed.
@@ -301,7 +332,25 @@ def shingle_links(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     dealt = family.join(counts, "family").withColumn("i", F.pmod(F.xxhash64("class"), F.col("chunks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select("family", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "class", "comp").join(sets, "class")
     more = dealt.groupBy("family", "i", "j").applyInPandas(compare_chunks, "a long, b long")
-    return members, scratch.write(links.unionByName(more), "all_links")
+    return members, scratch.write(links.unionByName(more), "all_links"), sets
+
+
+def link_counts(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, n_links: the other documents that a document of the class links to.
+
+    Classes that are alike are in one component, so each component's classes are compared to each
+    other, all of them: a large one in chunks, small ones many in a task. Tasks give sums, no pairs.
+    """
+    copies = members.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
+    size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
+    tasks = max(1, -(-roots.count() // CHUNK))
+    large = F.col("k") > CHUNK // 8
+    dealt = roots.join(size, "root").withColumn("chunks", F.ceil(F.col("k") / CHUNK))
+    dealt = dealt.select(F.when(large, F.col("root")).alias("family"), F.when(~large, F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("task"), F.col("node").alias("class"), F.pmod(F.xxhash64("node"), F.col("chunks")).alias("side"), "chunks")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("family", "task", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class").join(copies, "class").join(sets, "class")
+    linked = dealt.groupBy("family", "task", "i", "j").applyInPandas(linked_documents, "class long, linked long").groupBy("class").agg(F.sum("linked").alias("linked"))
+    return copies.join(linked, "class", "left").select("class", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -310,30 +359,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Words are whole texts' runs without white space, A-Z in lower case; a set has the distinct
     5-word shingles (fewer words: one shingle of all). Two documents link where
     100 * intersection >= 75 * union. component_id is the smallest doc_id that links lead to.
-    n_links counts the links found for the document's class, by which components hang together.
+    n_links is the number of other rows that the document links to, those of an equal set included.
 
     Null and empty texts link to nothing; rows of equal sets are one class; repeated rows stay
     repeated; a null doc_id counts as no id (its component has another one, or null); other
     columns are not used; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    members, links = shingle_links(docs, scratch)
-    return with_components(members, links, scratch)
+    members, links, sets = shingle_links(docs, scratch)
+    roots = components(links, scratch, "last")
+    counts = link_counts(members, roots, sets).select(F.col("class").alias("_k"), "n_links")
+    out = with_components(members, roots, counts)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def with_components(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of jaccard_components(). Classes and components are gathered before they are joined to the
-    documents; a class of very many documents is a skewed side of that last join, which Spark splits as it runs.
+def with_components(members: DataFrame, roots: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Each row's doc_id, n_shingles and component_id, and n_links by counts (_k, n_links). Classes and components are
+    gathered before they are joined to the documents; a class of very many documents is a skewed side of that last
+    join, which Spark splits as it runs.
     """
-    roots = components(links, scratch, "last")
     classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "least")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
-    found = classes.join(least, "root").join(degree, F.col("class") == F.col("c"), "left").select(F.col("class").alias("_c"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = members.join(found, F.col("class") == F.col("_c"), "left")
+    found = classes.join(least, "root").select(F.col("class").alias("_c"), "component_id")
+    more = []
+    if counts is not None:
+        found, more = found.join(counts, F.col("_c") == F.col("_k"), "left").drop("_k"), ["n_links"]
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return members.join(found, F.col("class") == F.col("_c"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *more)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -341,8 +394,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents without shingles or without doc_id stay; of rows of one doc_id in a component one stays.
     """
-    found = jaccard_components(docs.where("doc_id is not null")).where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    found = Scratch(docs.sparkSession, "jaccard").write(found, "gone")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    members, links, _ = shingle_links(docs.where("doc_id is not null"), scratch)
+    found = with_components(members, components(links, scratch, "last")).where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    found = scratch.write(found, "gone")
     return docs.select(packed(docs).alias("row")).join(found, F.col("row.doc_id") == F.col("_gone"), "left_anti").select("row.*")
 
 

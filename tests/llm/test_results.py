@@ -69,6 +69,19 @@ def test_jaccard(docs, corpus, monkeypatch, near, group, chunk, part):
     assert found == plain_components(corpus)
 
 
+@pytest.mark.parametrize("chunk", [512, 16])
+def test_links_are_all_counted(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = random.Random(8)
+    base = text(rng, 90)
+    texts = [edited(rng, base, k / 1500) for k in range(90)] + [base] * 5 + [text(rng, 40) for _ in range(20)]
+    texts += [f"{t} {end}" for t in (text(rng, 30), text(rng, 30)) for end in ("", "x", "y z")] + ["", None]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    wanted = {i: sum(100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets) if j != i and a and b) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == wanted
+
+
 def test_one_of_each(docs, corpus):
     kept = {r.doc_id for r in jaccard.one_of_each(docs).collect()}
     assert kept == {c for _, c in plain_components(corpus).values()}
