@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionrec.operators.sampling import hash_sample, session_holdout
 from sessionrec.operators.windows import prune_topk
+from sessionrec.sources.events import with_checkpoints
 
 # The features of the click ranker beside the time since the last event on the item.
 BASE_FEATURES = (
@@ -37,9 +38,10 @@ def _features(variant: str) -> VectorAssembler:
     return VectorAssembler(inputCols=[*BASE_FEATURES, *DELTA_T[variant]], outputCol="features")
 
 
-def train_click_ranker(frame: DataFrame, target: str, variant: str = "filled", rounds: int = 20, depth: int = 5, step: float = 0.05, seed: int = 42) -> GBTClassificationModel:
-    """Boosted trees by Spark ML, which trains on all executors."""
-    learner = GBTClassifier(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="0.9", minInstancesPerNode=20, seed=seed)
+def train_click_ranker(frame: DataFrame, target: str, variant: str = "filled", rounds: int = 250, depth: int = 5, step: float = 0.05, seed: int = 42) -> GBTClassificationModel:
+    """Boosted trees by Spark ML, which trains on all executors. Every tenth round is written to the checkpoint folder, so lineage stays short."""
+    with_checkpoints(frame.sparkSession)
+    learner = GBTClassifier(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="0.9", minInstancesPerNode=20, checkpointInterval=10, seed=seed)
     return learner.fit(_features(variant).transform(frame.withColumn(target, F.col(target).cast("double"))))
 
 

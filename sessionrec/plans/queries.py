@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -569,22 +570,26 @@ def ranker_training_frame(spark, sf):
 
 
 def _training(rows):
-    """Down-sampled training rows; a table, since boosting goes through them again and again."""
-    rows = S.downsample_negatives(R.ranker_training_frame(rows, "target_click"), "target_click")
+    """Down-sampled training rows with the columns of all variants; a table, since boosting goes through them again and again."""
+    rows = S.downsample_negatives(R.ranker_training_frame(rows, "target_click", "nan"), "target_click")
     return src.staged(rows, "training")
 
 
 @query
 def train_click_ranker(spark, sf):
-    return R.feature_importance(R.train_click_ranker(_training(labelled(spark, sf)), "target_click", rounds=5), spark)
+    """Gains of the model of each delta_t variant."""
+    training = _training(labelled(spark, sf))
+    gains = [R.feature_importance(R.train_click_ranker(training, "target_click", v), spark, v).select(F.lit(v).alias("variant"), "feature", "gain") for v in R.DELTA_T]
+    return reduce(DataFrame.unionByName, gains)
 
 
 @query
 def score_and_rank(spark, sf):
+    """The best rows of each held-out session by the model of each delta_t variant."""
     rows = labelled(spark, sf)
-    model = R.train_click_ranker(_training(rows), "target_click", rounds=5)
-    held = R.ranker_frame(S.session_holdout(rows)[1], "target_click")
-    return R.score_and_rank(model, held, "target_click")
+    training, held = _training(rows), R.ranker_frame(S.session_holdout(rows)[1], "target_click", "nan")
+    best = [R.score_and_rank(R.train_click_ranker(training, "target_click", v), held, "target_click", v).withColumn("variant", F.lit(v)) for v in R.DELTA_T]
+    return reduce(DataFrame.unionByName, best)
 
 
 @query

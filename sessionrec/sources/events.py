@@ -101,6 +101,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{uuid.uuid4().hex}-{name}"
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Sets a folder for checkpoints where none is set; a folder that is set stays."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_path(spark, "checkpoints"))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table: a stage that several later ones read is computed once and survives lost executors."""
     path = scratch_path(df.sparkSession, f"{name}.parquet")
