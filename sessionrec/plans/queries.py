@@ -22,6 +22,8 @@ from sessionrec.sources import events as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CC, COCO, CCO = G.RULES
+#: Size of the reference's candidate pool: topk, and the number below which the popular list is added.
+FULL_POOL = (100, 50)
 
 
 def query(f: Callable) -> Callable:
@@ -65,15 +67,15 @@ def pool_by(events: DataFrame, edges: DataFrame | None, topk: int = 50, least: i
     return src.staged(ret.recommend_from_graphs(events, edges, topk=topk, min_candidates=least, popular=win.popular_fallback_items(events, topk)), "pool")
 
 
-def features(spark, sf) -> DataFrame:
+def features(spark, sf, *size: int) -> DataFrame:
     events = train_side(spark, sf)
     edges = edges_of(events)
-    return feat.interaction_features(pool_by(events, edges), events, edges)
+    return feat.interaction_features(pool_by(events, edges, *size), events, edges)
 
 
-def labelled(spark, sf) -> DataFrame:
+def labelled(spark, sf, *size: int) -> DataFrame:
     """Candidates with features and targets, as a table: thresholds, counts and samples read it several times."""
-    return src.staged(S.label_candidates(features(spark, sf), splits.label_targets(label_side(spark, sf))), "labelled")
+    return src.staged(S.label_candidates(features(spark, sf, *size), splits.label_targets(label_side(spark, sf))), "labelled")
 
 
 # Sources and sinks
@@ -538,7 +540,7 @@ def interaction_features(spark, sf):
 
 @query
 def downsample_negatives(spark, sf):
-    return S.downsample_negatives(S.label_candidates(pool(spark, sf), splits.label_targets(label_side(spark, sf))), "target_click").select("session", "aid", "target_click")
+    return S.downsample_negatives(S.label_candidates(pool(spark, sf, *FULL_POOL), splits.label_targets(label_side(spark, sf))), "target_click").select("session", "aid", "target_click")
 
 
 @query
@@ -555,7 +557,7 @@ def sampling_thresholds(spark, sf):
 @query
 def sample_hard_negatives(spark, sf):
     config = S.HardNegatives(target="target_click")
-    return S.sample_hard_negatives(labelled(spark, sf), config, feat.item_features(train_side(spark, sf))).select("session", "aid", "negative_bucket", "total_interactions")
+    return S.sample_hard_negatives(labelled(spark, sf, *FULL_POOL), config, feat.item_features(train_side(spark, sf))).select("session", "aid", "negative_bucket", "total_interactions")
 
 
 @query
@@ -578,7 +580,7 @@ def _training(rows):
 @query
 def train_click_ranker(spark, sf):
     """Gains of the model of each delta_t variant."""
-    training = _training(labelled(spark, sf))
+    training = _training(labelled(spark, sf, *FULL_POOL))
     gains = [R.feature_importance(R.train_click_ranker(training, "target_click", v), spark, v).select(F.lit(v).alias("variant"), "feature", "gain") for v in R.DELTA_T]
     return reduce(DataFrame.unionByName, gains)
 
@@ -586,7 +588,7 @@ def train_click_ranker(spark, sf):
 @query
 def score_and_rank(spark, sf):
     """The best rows of each held-out session by the model of each delta_t variant."""
-    rows = labelled(spark, sf)
+    rows = labelled(spark, sf, *FULL_POOL)
     training, held = _training(rows), R.ranker_frame(S.session_holdout(rows)[1], "target_click", "nan")
     best = [R.score_and_rank(R.train_click_ranker(training, "target_click", v), held, "target_click", v).withColumn("variant", F.lit(v)) for v in R.DELTA_T]
     return reduce(DataFrame.unionByName, best)

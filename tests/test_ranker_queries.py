@@ -30,3 +30,16 @@ def test_each_variant_ranks_whole_sessions(spark, learners):
     assert learners == [250, 250]
     kept = {v: {(r.session, r["rank"]) for r in found if r.variant == v} for v in ("nan", "filled")}
     assert kept["nan"] and kept["nan"] == kept["filled"] and len(found) == 2 * len(kept["nan"])
+
+
+@pytest.mark.parametrize("name", ["downsample_negatives", "sample_hard_negatives", "train_click_ranker", "score_and_rank"])
+def test_samples_and_rankers_use_the_full_pool(spark, learners, monkeypatch, name):
+    sizes, real = [], queries.ret.recommend_from_graphs
+
+    def recommend(events, edges, topk, min_candidates, popular):
+        sizes.append((topk, min_candidates))
+        return real(events, edges, topk=topk, min_candidates=min_candidates, popular=popular)
+
+    monkeypatch.setattr(queries.ret, "recommend_from_graphs", recommend)
+    queries.QUERIES[name](spark, SF)
+    assert sizes == [(100, 50)]
