@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,29 +22,51 @@ DEPTH = 3
 END = b"\0\0\0\0"
 
 
-class Ids:
-    """Token ids of texts as little-endian 32-bit bytes: the vocabulary file of a byte-level BPE
-    tokenizer, applied by its ranks (merges are in the order of the ids), which takes a third of
-    the time. Strings of the file's special tokens get those tokens' ids, as with the file's own library.
+class Ids(dict):
+    """Token ids of texts as little-endian 32-bit bytes, by the `tokenizers` library and its vocabulary file.
+
+    The file's pre-tokenizer cuts a text into pieces (a word with the space before it, a number,
+    other signs, white space) and no merge crosses pieces, so a piece's ids are those that the
+    library gives for the piece alone. Pieces repeat, so their ids are kept, up to LIMIT of them.
+    The pieces are cut here for texts of code points below U+0250, where the pattern's classes are
+    listed in full (tests hold them against the library for each code point). A text with any other
+    code point or a special token's string goes to the library whole.
     """
 
-    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+    LIMIT, LONGEST = 300_000, 48
+    #: The letters, digits and white space below U+0250.
+    _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+    _N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+    _S = r"\t-\r \x85\xa0"
+    PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
     def __init__(self, path: str) -> None:
-        import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        # A byte that is printable stands for itself in the file, the others for code points from 256 on.
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = [b for b in range(256) if b not in set(printable)]
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        kind = spec.get("pre_tokenizer") or {}
+        plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer")
+        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        # Other tokenizers than byte-level ones get all texts whole.
+        self.whole = re.compile("|".join(["[^\\x00-\\u024f]", *special]) if plain else "")
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoded(piece)
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[piece] = ids
+        return ids
 
     def of(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        if self.whole.search(text):
+            return self.encoded(text)
+        return b"".join(map(self.__getitem__, self.PIECE.findall(text)))
 
 
 CUT_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long, rank long, ids binary"
@@ -176,12 +199,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -
     A document's ids and one id 0 are cut into whole windows and a tail. The tails' histogram by
     length (window - 1 numbers) is matched by repeat counts of length combinations that fill a
     window exactly; tails get their places by their rank within their length. Tails beyond the
-    rounded counts follow one another and are cut where a window is full, so only the last
-    sequence of all has padding. Ranks and running sums are made of counts by task, so no length
-    and no document group meets in one task.
-
-    Null texts are empty (one id 0); repeated rows are packed each; other columns are not used;
-    an empty table gives no rows. ids_crc32 is of a piece's ids as unsigned little-endian 32 bits.
+    rounded counts are packed greedily: each goes into the open window, is cut where that is full,
+    and its rest opens the next one, so only the last sequence of all has padding. Ranks and running
+    sums are made of counts by task, so no length and no document group meets in one task.
+
+    Null texts are empty (one id 0); a null doc_id is kept as it is; repeated rows are packed each,
+    and equal lengths in the order in which tasks read them; very long texts (long white space and
+    long words included) are cut into windows like others, one text at a time; other columns are not
+    used; an empty table gives no rows. ids_crc32 is of a piece's ids as unsigned little-endian 32 bits.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -132,12 +132,47 @@ def test_packing(docs, corpus):
     assert padding < packing.WINDOW
 
 
-def test_token_ids_of_odd_texts():
+@pytest.fixture(scope="module")
+def library():
     from tokenizers import Tokenizer
 
-    tokenizer, own = Tokenizer.from_file(packing.vocabulary()), packing.Ids(packing.vocabulary())
-    for t in ["a  b", "  x", "a\n\nb ", "\ta", "it's we're", "é l'eau ça", "x\x85y　z", "<|endoftext|> a", "日本 語1234", "😀😀", ""]:
-        assert own.of(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    return lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_token_ids_of_odd_texts(library):
+    own = packing.Ids(packing.vocabulary())
+    for t in ["a  b", "  x", "a\n\nb ", "\ta", "it's we're", "é l'eau ça", "x\x85y　z", "<|endoftext|> a", "日本 語1234", "😀😀", "", "\x1c\x1d a", "a\xa0b", "x \r\n y", "''s 'll'S"]:
+        assert own.of(t) == library(t), t
+    rng = random.Random(4)
+    alphabet = " \n\t'sdré0½²Ǆʼn_#\x00\x1f\x85\xa0ɏaB"
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14)))
+        assert own.of(t) == library(t), repr(t)
+
+
+def test_classes_of_code_points(library):
+    """Each code point below U+0250 beside letters, digits, signs and white space is cut as by the library."""
+    own = packing.Ids(packing.vocabulary())
+    for c in map(chr, range(0x250)):
+        t = f"a{c}a 1{c}1 #{c}# {c} {c}{c}x"
+        assert own.of(t) == library(t), hex(ord(c))
+
+
+@pytest.mark.parametrize("t", [" " * 2_000_000 + "x", "\n" * 2_000_000 + "x", "\t" * 2_000_000, "\r\n" * 1_000_000 + "x", "ab" * 500_000, "1" * 1_000_000, "#" * 1_000_000], ids=range(7))
+def test_token_ids_of_very_long_runs(library, t):
+    assert packing.Ids(packing.vocabulary()).of(t) == library(t)
+
+
+def test_very_long_runs_are_packed(spark, library):
+    texts = [" " * 1_200_000 + "x", "z" * 1_000_000, "\r\n" * 600_000 + "end"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.vocabulary()).collect()
+    for i, t in enumerate(texts):
+        ids, at = library(t) + packing.END, 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at and zlib.crc32(ids[4 * at : 4 * (at + r.length)]) == r.ids_crc32
+            at += r.length
+        assert at == len(ids) // 4
 
 
 def test_fingerprints(docs, corpus):
