@@ -27,7 +27,10 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small: a text may have 100 kB and more."""
+    """Arrow batches of whole texts stay small: a text may have 100 kB and more.
+
+    Frames are lazy, so the session's setting must still hold when a result is computed: it stays lowered.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
@@ -38,20 +41,37 @@ class Scratch:
 
     A table cuts the lineage: what is read again comes from the written files, so an executor
     that is lost costs only its running tasks. The folder is the session's
-    spark.checkpoint.dir; a local one is made only where none is set (tests). Workers get the
-    place of this library, for drivers that were started elsewhere.
+    spark.checkpoint.dir. Where none is set, a local run gets a temporary one; a cluster gets an
+    error, since its executors would each write to a disk of their own. Workers get the place of
+    this library, for drivers that were started elsewhere.
+
+    Results are lazy and read these tables, so an operator can't delete what its result needs;
+    clear() does, once results are written or collected.
     """
 
+    _made: dict[str, list[str]] = {}
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = spark.sparkContext.getCheckpointDir()
+        context = spark.sparkContext
+        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not base:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(base)
+            context.setCheckpointDir(base)
         self.base = f"{base}/{name}-{uuid.uuid4().hex}"
+        self._made.setdefault(context.applicationId, []).append(self.base)
+
+    @classmethod
+    def clear(cls, spark: SparkSession, *keep: Scratch) -> None:
+        """Deletes the tables of all operators of this application but those of `keep`."""
+        kept = {s.base for s in keep}
+        made = cls._made.get(spark.sparkContext.applicationId, [])
+        for base in [b for b in made if b not in kept]:
+            _delete(spark, base)
+            made.remove(base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -65,10 +85,13 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later job reads."""
-        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(hadoop).delete(path, True)
+            _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(docs: DataFrame) -> Column:
@@ -158,6 +181,13 @@ def shingles(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(hashes, k))
 
 
+def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: the first place of each run of equal ones, and the run of each place."""
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = order[1:] != order[:-1]
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
 def texts_of(batches: Iterator, column: str = "text") -> Iterator:
     """Arrow batches with the texts as Python strings."""
     for batch in batches:

@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionrec.llm.common import SPACE, Scratch, WordHash, packed, read_documents, small_batches, texts_of, window_hashes, words
+from sessionrec.llm.common import SPACE, Scratch, WordHash, packed, read_documents, runs, small_batches, texts_of, window_hashes, words
 
 #: A passage is repeated if it has so many words, each equal, in two places at least.
 PASSAGE = 50
@@ -34,13 +34,6 @@ def kept_positions(hashes: np.ndarray) -> np.ndarray:
     return np.unique(least)
 
 
-def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: the first place of each run of equal ones, and the run of each place."""
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = order[1:] != order[:-1]
-    return np.flatnonzero(first), np.cumsum(first) - 1
-
-
 def by_document(dk: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Values of each document as bytes."""
     order = np.lexsort((values, dk))

@@ -61,7 +61,7 @@ def plain_components(corpus):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("near", "group", "chunk", "part"), [(8, 8, 1024, 1024), (1, 2, 16, 8)])
+@pytest.mark.parametrize(("near", "group", "chunk", "part"), [(8, 64, 1024, 1024), (1, 4, 16, 8)])
 def test_jaccard(docs, corpus, monkeypatch, near, group, chunk, part):
     for name, value in (("NEAR", near), ("GROUP", group), ("CHUNK", chunk), ("LIST_PART", part)):
         monkeypatch.setattr(jaccard, name, value)
@@ -87,6 +87,48 @@ def test_one_of_each(docs, corpus):
     assert kept == {c for _, c in plain_components(corpus).values()}
 
 
+def plain_one_of_each(rows):
+    """Indices of the rows that stay: one of each component of rows, the first by doc_id (null last)."""
+    parts = defaultdict(list)
+    for i, (_, c) in plain_components({i: t or "" for i, (_, t) in enumerate(rows)}).items():
+        parts[c].append(i)
+    kept = []
+    for c, found in parts.items():
+        kept.append(found if not (rows[c][1] or "").split() else [min(found, key=lambda i: (rows[i][0] is None, rows[i][0] or 0))])
+    return [rows[i] for k in kept for i in k]
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c = text(rng, 60), text(rng, 60), text(rng, 60)
+    near_b = b + " end"
+    cases = [
+        [(1, a), (2, a), (2, b), (3, near_b), (3, near_b)],
+        [(1, a), (1, a)],
+        [(None, a), (None, a), (None, b), (4, near_b)],
+        [(None, c), (None, c), (5, a), (5, b), (5, near_b), (5, a)],
+        [(1, None), (1, None), (None, ""), (2, " "), (7, "one two"), (8, "ONE  two"), (8, "ONE  two")],
+    ]
+    for rows in cases:
+        found = [(r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, dk int")).collect()]
+        wanted = plain_one_of_each(rows)
+        assert sorted(map(str, (i for i, _ in found))) == sorted(map(str, (i for i, _ in wanted)))
+        # One row of each component: as many of each as in the plain version, where near copies count as the same text.
+        same = {near_b: b, "ONE  two": "one two"}
+        assert Counter(same.get(t, t) for _, t in found) == Counter(same.get(t, t) for _, t in wanted)
+
+
+def test_large_groups_of_one_prefix(spark):
+    """Sets of one size and one prefix, of two kinds that are unlike but for that prefix, and near copies among them."""
+    rng = random.Random(10)
+    head = " ".join(f"h{k}" for k in range(40))
+    texts = [f"{head} {text(rng, 30)}" for _ in range(30)]
+    texts += [edited(rng, texts[0], k / 900) for k in range(60)] + [edited(rng, texts[1], k / 900) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert found == plain_components(dict(enumerate(texts)))
+
+
 def plain_repeats(corpus):
     places, first, later = defaultdict(list), defaultdict(set), defaultdict(set)
     for i, t in sorted(corpus.items()):
@@ -265,7 +307,9 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r.p_severe <= r.p_mild <= 1 for r in found.values())
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("written", [1_000_000, 1])
+def test_components_of_chains_and_stars(spark, monkeypatch, written):
+    monkeypatch.setattr(components, "WRITTEN", written)
     links = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(1, 250), (5, 5)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c").collect()}
     assert found == {**{k: 100 for k in range(100, 141)}, **{k: 1 for k in [1, 7, *range(200, 260)]}}
