@@ -118,6 +118,50 @@ def test_one_of_each_with_repeated_ids(spark):
         assert Counter(same.get(t, t) for _, t in found) == Counter(same.get(t, t) for _, t in wanted)
 
 
+def test_few_labels_reject_nothing(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, f"{text(rng, 30)} {'vile' if i % 2 else ''}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    found = toxicity.severity(docs, labels).collect()
+    assert len(found) == 40 and not any(r.rejected for r in found)
+    assert toxicity.without_toxic(docs, labels).count() == 40
+
+
+def test_labels_with_grades(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, 40) + " vile" * (2 * (i % 3)), i % 3) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, g) for i, _, g in rows if i < 400], "doc_id long, quality int, toxic int")
+    by_grade = defaultdict(list)
+    for r in toxicity.severity(docs, labels).collect():
+        if r.doc_id >= 400:
+            by_grade[r.doc_id % 3].append(r.expected_severity)
+    means = [np.mean(by_grade[g]) for g in range(3)]
+    assert all(abs(m - g) < 0.25 for g, m in enumerate(means))
+
+
+def test_ordinal_loss_and_gradient():
+    rng = np.random.default_rng(3)
+    rows = [(list(map(int, rng.choice(5, k, replace=False))), rng.random(k).tolist()) for k in rng.integers(0, 5, 40)]
+    grades, at = rng.integers(0, 4, 40), rng.normal(size=5 + 3)
+    value, g = toxicity.ordinal_loss(toxicity.Rows(rows), grades, 5, 3, 0.3)(at)
+    plain, thresholds = 0.15 * sum(x * x for x in at[:5]), [at[5], at[5] + np.exp(at[6]), at[5] + np.exp(at[6]) + np.exp(at[7])]
+    for (features, values), grade in zip(rows, grades):
+        above = [1.0, *(1 / (1 + np.exp(t - sum(at[f] * v for f, v in zip(features, values)))) for t in thresholds), 0.0]
+        plain -= np.log(above[grade] - above[grade + 1])
+    assert value == pytest.approx(plain)
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-6
+        loss = toxicity.ordinal_loss(toxicity.Rows(rows), grades, 5, 3, 0.3)
+        assert g[k] == pytest.approx((loss(at + step)[0] - loss(at - step)[0]) / 2e-6, abs=1e-4)
+
+
+def test_cut_off():
+    assert toxicity.cut_off(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
+    assert toxicity.cut_off(np.array([0.2, 0.2, 0.2]), np.array([1, 0, 0])) is None
+    assert toxicity.cut_off(np.array([0.9, 0.1, 0.1]), np.array([0, 1, 1])) is None
+
+
 def test_large_groups_of_one_prefix(spark):
     """Sets of one size and one prefix, of two kinds that are unlike but for that prefix, and near copies among them."""
     rng = random.Random(10)
