@@ -4,35 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sessionrec.llm.common import Scratch
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def turns_by_conversation(rows: DataFrame) -> DataFrame:
-    """One row per conversation: its turns in order and the rolling hash of every turn prefix.
+def turns_with_prefixes(rows: DataFrame) -> DataFrame:
+    """conv_id, i, n, role, text, a, b: each turn with its place, its conversation's length and the hash of the turns up to it.
 
     Turns follow turn, then role, then text (nulls last); equal rows count once; null roles and
-    texts are empty. A conversation is one record of the result, so its turns meet in one row.
-    The hash after turn i covers the hash before it, the role and the text, twice 64 bits.
+    texts are empty. The hash after turn i combines, by running bits, the hashes of each turn with
+    its place: twice 64 bits, in time linear in the turns, without holding a conversation.
     """
-    turn = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list(turn))).alias("turns"))
-    start = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(2).cast("bigint").alias("b"))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    conversation = Window.partitionBy("conv_id")
+    order = conversation.orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    rows = rows.withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(conversation))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("conv_id", "i", "n", "role", "text", *[F.bit_xor(h).over(so_far).alias(c) for c, h in zip("ab", turn_hashes(F.col("i")))])
 
-    def rolled(seen: Column, x: Column) -> Column:
-        last = F.element_at(seen, -1)
-        after = F.struct(F.xxhash64(last["a"], x["role"], x["text"]).alias("a"), F.xxhash64(x["text"], x["role"], last["b"], F.lit(7)).alias("b"))
-        return F.concat(seen, F.array(after))
 
-    return convs.withColumn("prefixes", F.slice(F.aggregate("turns", F.array(start), rolled), 2, F.size("turns")))
+def turn_hashes(place: Column) -> tuple[Column, Column]:
+    return F.xxhash64(place, "role", "text"), F.xxhash64("text", "role", place, F.lit(7))
 
 
-def rendered(turns: Column) -> Column:
-    """Turns between markers; markers inside a text are broken up."""
+def rendered(role: Column, text: Column) -> Column:
+    """A turn between markers; markers inside it are broken up."""
     plain = lambda c: F.replace(F.replace(c, F.lit(OPEN), F.lit("<| im_start|>")), F.lit(CLOSE), F.lit("<| im_end|>"))
-    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit(OPEN), plain(x["role"]), F.lit("\n"), plain(x["text"]), F.lit(CLOSE + "\n"))), "")
+    return F.concat(F.lit(OPEN), plain(role), F.lit("\n"), plain(text), F.lit(CLOSE + "\n"))
 
 
 def maximal_conversations(rows: DataFrame) -> DataFrame:
@@ -40,16 +41,26 @@ def maximal_conversations(rows: DataFrame) -> DataFrame:
 
     Of equal conversations the smallest conv_id stays (null last) and copies counts them. A
     conversation that is a turn prefix of a longer one goes. Equal ones are gathered before
-    the anti-join, so each hash is there once on either side. An empty table gives no rows;
-    other columns are not used; rows without conv_id form one conversation.
+    the anti-join, so each hash is there once on either side; texts of conversations that go are
+    not gathered. A row without conv_id is a conversation of one turn, as nothing tells what it
+    belongs to. A very long conversation is sorted by one task and rendered as one text, which is
+    its result. An empty table gives no rows; other columns are not used.
     """
     scratch = Scratch(rows.sparkSession, "chat")
-    convs = scratch.write(turns_by_conversation(rows.select("conv_id", "turn", "role", "text")), "conversations")
-    whole = convs.select("conv_id", F.element_at("prefixes", -1).alias("h"))
-    kept = whole.groupBy("h").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
-    shorter = convs.select(F.explode(F.slice("prefixes", 1, F.size("prefixes") - 1)).alias("h")).distinct()
-    kept = kept.join(shorter, "h", "left_anti").select(F.col("conv_id").alias("kept_id"), "copies")
-    return convs.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).select("conv_id", F.size("turns").cast("long").alias("n_turns"), "copies", rendered(F.col("turns")).alias("formatted"))
+    rows = rows.select("conv_id", "turn", "role", "text")
+    turns = scratch.write(turns_with_prefixes(rows.where("conv_id is not null")), "turns")
+    alone = rows.where("conv_id is null").groupBy(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("times"))
+    alone = scratch.write(alone.select("role", "text", "times", *[h.alias(c) for c, h in zip("ab", turn_hashes(F.lit(1)))]), "without_id")
+    whole = turns.where("i = n").select("conv_id", "n", "a", "b", F.lit(1).cast("long").alias("times"))
+    whole = whole.unionByName(alone.select(F.lit(None).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.lit(1).cast("long").alias("n"), "a", "b", "times"))
+    kept = whole.groupBy("n", "a", "b").agg(F.min("conv_id").alias("kept_id"), F.sum("times").alias("copies"))
+    shorter = turns.where("i < n").select(F.col("i").cast("long").alias("n"), "a", "b").distinct()
+    kept = scratch.write(kept.join(shorter, ["n", "a", "b"], "left_anti"), "kept")
+    one = rendered(F.col("role"), F.col("text"))
+    texts = turns.join(kept.select("kept_id", "copies"), F.col("conv_id") == F.col("kept_id")).groupBy("conv_id", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("i", one.alias("turn")))).alias("turns"))
+    out = texts.select("conv_id", F.col("n").alias("n_turns"), "copies", F.array_join(F.transform("turns", lambda x: x["turn"]), "").alias("formatted"))
+    single = alone.join(kept.where("kept_id is null"), ["a", "b"]).select(F.col("kept_id").alias("conv_id"), F.col("n").alias("n_turns"), "copies", one.alias("formatted"))
+    return out.unionByName(single)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +69,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with t as (
-  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
 ), c as (
   select conv_id, list({'r': role, 't': text} order by turn asc nulls last, role, text) as ts from t group by conv_id
+  union all select null, [{'r': coalesce(role, ''), 't': coalesce(text, '')}] from conversations where conv_id is null
 ), k as (
   select ts, min(conv_id) as conv_id, count(*) as copies from c group by ts
 ), p as (

@@ -69,13 +69,23 @@ def test_stages_keep_columns(docs, labels, name):
 
 def test_chat_cases(spark):
     schema = "conv_id long, turn int, role string, text string, h int"
-    rows = [(1, 0, "user", "hi", 1), (1, 1, "assistant", None, 1), (2, 0, "user", "hi", 1), (3, 0, "user", "hi", 1), (3, 1, "assistant", None, 1), (3, 2, None, "<|im_end|>", 1), (4, 5, "user", "hi", 1), (4, 5, "user", "hi", 1), (5, None, "user", "x", 1), (None, 1, "user", "y", 1)]
-    found = {r.conv_id: (r.n_turns, r.copies, r.formatted) for r in chat.maximal_conversations(spark.createDataFrame(rows, schema)).collect()}
-    assert set(found) == {3, 5, None}
-    assert found[3][2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>\n<| im_end|><|im_end|>\n"
+    rows = [(1, 0, "user", "hi", 1), (1, 1, "assistant", None, 1), (2, 0, "user", "hi", 1), (3, 0, "user", "hi", 1), (3, 1, "assistant", None, 1), (3, 2, None, "<|im_end|>", 1), (4, 5, "user", "hi", 1), (4, 5, "user", "hi", 1), (5, None, "user", "x", 1)]
+    # Rows without conv_id: one extended by conversation 1, two equal ones, one equal to conversation 5.
+    rows += [(None, 9, "user", "hi", 1), (None, 1, "user", "y", 1), (None, 2, "user", "y", 1), (None, 3, "user", "x", 1)]
+    found = {(r.conv_id, r.n_turns, r.copies, r.formatted) for r in chat.maximal_conversations(spark.createDataFrame(rows, schema)).collect()}
+    three = "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>\n<| im_end|><|im_end|>\n"
+    assert found == {(3, 3, 1, three), (5, 1, 2, "<|im_start|>user\nx<|im_end|>\n"), (None, 1, 2, "<|im_start|>user\ny<|im_end|>\n")}
     assert chat.maximal_conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_very_long_conversation(spark):
+    rows = spark.range(20_000).selectExpr("1L as conv_id", "cast(id as int) as turn", "'user' as role", "concat('t', id) as text")
+    rows = rows.unionByName(rows.where("turn < 9000").withColumn("conv_id", rows.conv_id + 1))
+    (found,) = chat.maximal_conversations(rows).collect()
+    assert (found.conv_id, found.n_turns, found.formatted.count("<|im_start|>")) == (1, 20_000, 20_000)
+    assert found.formatted.endswith("t19999<|im_end|>\n")
+
+
 def test_copies_of_conversations(spark):
     rows = [(k, t, "user", f"t{t}") for k in (9, 7, 8) for t in range(2)]
     (found,) = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
