@@ -81,21 +81,25 @@ def pivot(p: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
-TREE = "sid int, part long, doc_id long, tie int, size long, whole long, p double, u double"
+TREE = "sid int, part long, doc_id long, row long, tie int, size long, whole long, p double, u double"
 
 
 def combined(table: pa.Table) -> pa.Table:
     """A group after rounding. By falling size, a document trades with one of about its size, so the one that is left is small."""
-    size, u, tie = (table[c].to_numpy() for c in ("size", "u", "tie"))
-    table = table.take(pa.array(np.lexsort((tie, u, -size))))
+    size, u, row, tie = (table[c].to_numpy() for c in ("size", "u", "row", "tie"))
+    table = table.take(pa.array(np.lexsort((tie, row, u, -size))))
     p = pivot(table["p"].to_numpy(), table["size"].to_numpy().astype(float), table["u"].to_numpy())
     return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
 
-def with_tie(docs: DataFrame) -> DataFrame:
-    """Adds tie: 1, 2, ... among rows of one doc_id; equal rows are interchangeable."""
-    order = Window.partitionBy("doc_id").orderBy("_source", "size", "_crc")
-    return docs.withColumn("tie", F.row_number().over(order))
+def row_key(source: str) -> Column:
+    """What tells rows apart: doc_id, source and text. Rows equal in these are interchangeable."""
+    return F.xxhash64("doc_id", F.col(source), "text")
+
+
+def with_tie(rows: DataFrame, order: Column) -> DataFrame:
+    """Adds tie: 1, 2, ... among rows of one key; only rows with equal ids, sources and texts meet."""
+    return rows.withColumn("tie", F.row_number().over(Window.partitionBy("row").orderBy(order)))
 
 
 def copies(docs: DataFrame, scratch: Scratch, source: str = "source", seed: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -107,17 +111,17 @@ def copies(docs: DataFrame, scratch: Scratch, source: str = "source", seed: int
     of those go to a group of the next level, up to one group for each source. The last one there
     is drawn. So a source takes its target to within one document, wherever its rows lie.
     """
-    columns = ["doc_id", F.col(source).alias("_source"), word_count(F.col("text")).alias("size"), F.crc32(text_or_empty(F.col("text")).cast("binary")).alias("_crc")]
-    sizes = scratch.write(with_tie(docs.select(*columns)), "sizes")
+    columns = ["doc_id", F.col(source).alias("_source"), word_count(F.col("text")).alias("size"), row_key(source).alias("row")]
+    sizes = scratch.write(with_tie(docs.select(*columns), F.col("row")), "sizes")
     targets = scratch.write(source_targets(sizes), "targets")
     salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sizes.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int")).alias("d").join(
+    rows = sizes.withColumn("_salt", F.pmod(F.xxhash64("row", "tie"), F.lit(SALTS)).cast("int")).alias("d").join(
         salted.alias("t"), F.col("d._source").eqNullSafe(F.col("t._source")) & (F.col("d._salt") == F.col("t._salt")),
     )
     rows = rows.select(
-        "sid", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.ceil(F.col("docs") / GROUP)).alias("part"), "d.doc_id", "tie", "size",
-        F.floor(share).cast("long").alias("whole"), (share - F.floor(share)).alias("p"), uniform(F.col("doc_id"), F.col("tie"), F.lit(seed + 1)).alias("u"), F.col("docs"),
+        "sid", F.pmod(F.xxhash64("row", "tie", F.lit(seed)), F.ceil(F.col("docs") / GROUP)).alias("part"), "d.doc_id", "row", "tie", "size",
+        F.floor(share).cast("long").alias("whole"), (share - F.floor(share)).alias("p"), uniform(F.col("row"), F.col("tie"), F.lit(seed + 1)).alias("u"), F.col("docs"),
     ).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0)))
     levels, most = 1, -(-(targets.agg(F.max("docs")).first()[0] or 1) // GROUP)
     while most > 1:
@@ -132,32 +136,44 @@ def copies(docs: DataFrame, scratch: Scratch, source: str = "source", seed: int
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.select("sid", "doc_id", "tie", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies")), targets
+    return out.select("sid", "doc_id", "row", "tie", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies")), targets
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: a row for each document.
 
-    Null texts have size 0 and are taken zero words; a null source is a source of its own; rows
-    that repeat are documents of their own. Reruns agree, since draws depend on doc_id (and the
-    tie among rows of one doc_id) alone. An empty table gives no rows.
+    Null and empty texts have size 0 and are taken zero words; a null source is a source of its
+    own, and a null doc_id is kept; rows that repeat are documents of their own. Reruns agree,
+    since draws depend on doc_id, source and text (and a tie among rows equal in these) alone. A
+    very long text is one document, counted whole, which no other trade can cut. Other columns are
+    not used. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     found, targets = copies(docs, scratch)
     salted = targets.select("sid", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    found = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int")).join(salted, ["sid", "_salt"])
+    found = found.withColumn("_salt", F.pmod(F.xxhash64("row", "tie"), F.lit(SALTS)).cast("int")).join(salted, ["sid", "_salt"])
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mix takes it, with their columns. A document without words goes."""
+    """The documents, each as often as the mix takes it, with all their columns, whatever those are called.
+
+    A document without words goes (null and empty texts too), as the mix takes words. Null ids and
+    sources are like others. Rows equal in doc_id, source and text are told apart by their other
+    columns' hash. An empty table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     found, _ = copies(docs, scratch)
-    keyed = docs.select(packed(docs).alias("row"), "doc_id", F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), F.crc32(text_or_empty(F.col("text")).cast("binary")).alias("_crc"))
-    keyed = with_tie(keyed).alias("d")
-    wanted = found.where(F.col("copies") > 0).alias("w")
-    joined = keyed.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tie") == F.col("w.tie")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w.copies"))).alias("copy")).select("row.*")
+    repeated = scratch.write(found.where("tie > 1").select(F.col("row").alias("_row")).distinct(), "repeated")
+    found = scratch.write(found.where("copies > 0").select(F.col("row").alias("_row"), "tie", "copies"), "wanted")
+    keyed = docs.select(packed(docs).alias("doc"), row_key("source").alias("row"))
+    # Texts are dealt once, by their key; only rows that repeat need a number.
+    out = keyed.join(found.join(repeated, "_row", "left_anti"), F.col("row") == F.col("_row")).select("doc", "copies")
+    if not repeated.isEmpty():
+        several = with_tie(keyed.join(repeated, F.col("row") == F.col("_row"), "left_semi"), F.xxhash64("doc"))
+        wanted = found.select("_row", F.col("tie").alias("_tie"), "copies")
+        out = out.unionByName(several.join(wanted, (F.col("row") == F.col("_row")) & (F.col("tie") == F.col("_tie"))).select("doc", "copies"))
+    return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
 
 
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
