@@ -181,13 +181,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     or two a task, are joined afterwards. The last document of all is followed by the first.
 
     Null texts are empty; a null doc_id comes before the others; rows of one doc_id follow one
-    another by their texts' hash, each with a row of its own; a single row follows itself; an
-    empty table gives no rows; other columns are not used.
+    another by their texts' hash, each with a row of its own (ties there are equal texts); a single
+    row follows itself; a very long text is sampled whole, in parts of its terms; an empty table
+    gives no rows; other columns are not used.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "fingerprints")
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Ranges of both, so that rows of one doc_id (as null) may fill several.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     found = scratch.write(rows.mapInArrow(follow, FOUND_SCHEMA), "found")
     tasks = found.where(F.col("edge") == "first").select("task")  # a row for each task
     following = tasks.select(F.col("task").alias("_task"), F.coalesce(F.lead("task").over(Window.orderBy("task")), F.min("task").over(Window.partitionBy())).alias("_next"))

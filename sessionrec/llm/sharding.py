@@ -82,10 +82,11 @@ def _cases(column: str, n: int, value) -> Column:
 def numbered(rows: DataFrame, shard: str, key: Column) -> DataFrame:
     """Adds slot, gapless from 0 in each shard, without gathering a shard in one task.
 
-    Rows go to SLOT_PARTS parts by a hash of their key. The parts' counts (SLOT_PARTS rows a
+    Rows go to SLOT_PARTS parts by a hash of their key and text (so that rows of one key, as null,
+    don't meet in one part). The parts' counts (SLOT_PARTS rows a
     shard at most, whatever the input) give each part its first slot.
     """
-    rows = rows.withColumn("_part", F.substring(F.md5(F.concat(key, F.lit("/slot"))), 1, 3))
+    rows = rows.withColumn("_part", F.substring(F.md5(F.concat(key, F.lit("/"), F.col("text_crc32").cast("string"), F.lit("/slot"))), 1, 3))
     rows = (scratch := Scratch(rows.sparkSession, "sharding")).write(rows, "placed")
     counts = rows.groupBy(shard, "_part").count()
     first = counts.select(shard, "_part", (F.sum("count").over(Window.partitionBy(shard).orderBy("_part")) - F.col("count")).alias("_first"))
@@ -98,7 +99,9 @@ def shard_documents(docs: DataFrame, tree: list[Shard]) -> DataFrame:
     """doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard: doc_id and the tree alone decide the shard.
 
     Null texts have size 1 and the CRC of no bytes. A null doc_id is a key of its own; repeated
-    rows get the same shard and slots of their own. An empty table gives no rows.
+    rows get the same shard and slots of their own, in the order of doc_id, CRC and size, where
+    ties are equal in all that is returned. Very long texts are one row like others. Other columns
+    are not used. An empty table gives no rows.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = text_or_empty(F.col("text"))
@@ -135,7 +138,7 @@ with d as (
   from s cross join tab
 )
 select doc_id, (strlen(t) + 1)::bigint as size, text_crc32, 'key' as law, shard::int as shard,
-  row_number() over (partition by shard order by substr(md5(k || '/slot'), 1, 3), doc_id, text_crc32, strlen(t)) - 1 as slot,
+  row_number() over (partition by shard order by substr(md5(k || '/' || text_crc32 || '/slot'), 1, 3), doc_id, text_crc32, strlen(t)) - 1 as slot,
   (case when moved then 8 else shard end)::int as grown_shard
 from z
 """
