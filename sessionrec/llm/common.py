@@ -109,6 +109,12 @@ def words_column(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "[\\x20\\x09-\\x0D]+"))
 
 
+def paired_hashes(a: Column, b: Column, lag: int) -> Column:
+    """Hashes of each value of a with the value of b that stands lag after it."""
+    n = F.greatest(F.size(b) - lag, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, lag + 1, n), lambda x, y: F.xxhash64(x, y))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words in UTF-8. bytes.split() ends words at exactly \\x20 and \\x09-\\x0D."""
     return (text or "").encode("utf-8", "surrogatepass").split()
