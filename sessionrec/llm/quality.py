@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionrec.llm.common import SPACE, Scratch, read_documents, text_or_empty, words_column
+from sessionrec.llm.common import SPACE, Scratch, paired_hashes, read_documents, text_or_empty, words_column
 
 #: Base rules: least words, most percent of words in repeated windows, window length.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -17,16 +17,22 @@ PRIOR_LEAST, PRIOR_MOST = 1.0, 10_000.0
 SALTS = 32
 
 
-def repeated_words(words: Column, hashes: Column) -> Column:
-    """Words inside WINDOW-word windows that occur twice or more. hashes: one per window."""
-    paired = F.array_sort(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("i")))
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), paired)
-    same = F.zip_with(paired, F.slice(before, 1, F.size(hashes)), lambda a, b: F.struct(a["i"].alias("i"), b["i"].alias("j"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("same")))
-    found = F.flatten(F.transform(F.filter(same, lambda x: x["same"]), lambda x: F.array(x["i"], x["j"])))
-    starts = F.array_sort(F.array_distinct(found))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.lit(2**31 - 1)))
-    covered = F.zip_with(starts, ends, lambda a, b: F.when(b.isNull() | (b - a > WINDOW), F.lit(WINDOW)).otherwise(b - a))
-    return F.aggregate(F.filter(covered, lambda x: x.isNotNull()), F.lit(0).cast("bigint"), lambda a, x: a + x)
+def with_repeated_words(rows: DataFrame, out: str) -> DataFrame:
+    """Adds the words inside WINDOW-word windows that occur twice or more, by _hashes, one for each window.
+
+    Each step is a column, so that none is made twice; most texts have no repeated window and skip all of them.
+    """
+    hashes = F.col("_hashes")
+    none = F.array().cast("array<bigint>")
+    rows = rows.withColumn("_hashes", F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), none).otherwise(hashes))
+    some = F.size(hashes) > 0
+    places = F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("i"))
+    rows = rows.withColumn("_sorted", F.when(some, F.array_sort(places)))
+    pairs = F.zip_with(F.slice("_sorted", 1, F.size("_sorted") - 1), F.slice("_sorted", 2, F.size("_sorted") - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    rows = rows.withColumn("_starts", F.when(some, F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))))
+    steps = F.zip_with(F.slice("_starts", 1, F.size("_starts") - 1), F.slice("_starts", 2, F.size("_starts") - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
+    found = F.aggregate(steps, F.lit(WINDOW).cast("bigint"), lambda n, x: n + x)
+    return rows.withColumn(out, F.when(some, found).otherwise(F.lit(0).cast("bigint")))
 
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
@@ -45,19 +51,19 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
         lines.alias("_lines"),
     )
     words = F.col("_words")
-    hashes = F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    # Runs of 1, 2, 4 and 8 words, a column each, so that none is made twice.
+    base = base.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    for lag in (1, 2, 4):
+        base = base.withColumn("_hashes", paired_hashes(F.col("_hashes"), F.col("_hashes"), lag))
     base = base.select(
         *keep,
         F.size(words).cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        words,
-        hashes.alias("_hashes"),
+        "_hashes",
     )
-    hashes = F.col("_hashes")
-    repeated = F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0).cast("bigint")).otherwise(repeated_words(words, hashes))
-    return base.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
+    return with_repeated_words(base, "n_repeat_words").select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def base_failed() -> Column:
@@ -86,8 +92,9 @@ def host_verdicts(failed: DataFrame, host: str = "source") -> DataFrame:
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """Base figures, base verdict and the verdict with the host's: columns as in op10's contract, and host_rate.
 
-    Null texts count as empty, a null host is a host of its own, repeated rows stay repeated;
-    an empty table gives no rows. Columns beside doc_id, text and the host are not used.
+    Null texts count as empty, a null doc_id is kept, a null host is a host of its own, repeated rows
+    stay repeated; a rate at the limit keeps its host; a very long text is one row, and its windows
+    are sorted within it; an empty table gives no rows. Columns beside doc_id, text and the host are not used.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     found = scratch.write(measures(docs.select("doc_id", "text", F.col(host).alias("_host")), "doc_id", "_host").withColumn("base_failed", base_failed()), "measures")

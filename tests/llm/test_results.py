@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sessionrec.llm import components, fingerprints, jaccard, licenses, mixing, packing, repeats, sharding, toxicity
+from sessionrec.llm import components, fingerprints, jaccard, licenses, mixing, packing, quality, repeats, sharding, toxicity
 from sessionrec.llm.common import Scratch, lower_words, shingles, window_hashes
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -366,6 +366,73 @@ def test_licenses_between_other_words(spark):
     assert licenses.retrieval_chance() > 0.999
 
 
+def plain_licenses(docs, templates):
+    """Every window of each text."""
+    best = {}
+    for i, t in docs:
+        words = licenses.template_words(t or "")
+        for name, length, step, found in licenses.prepared(templates):
+            for at in range(0, max(0, len(words) - 4), step):
+                share = len(licenses.template_shingles(words[at : at + length]) & set(found)) / len(found)
+                if 4 * share >= 3:
+                    best[i, name] = max(best.get((i, name), (0, 0)), (share, -at))
+    return {(i, name, round(share, 6), -at) for (i, name), (share, at) in best.items()}
+
+
+def test_licenses_of_any_length(spark):
+    rng = random.Random(12)
+    long = " ".join(f"t{k}" for k in range(700))
+    templates = {**licenses.TEMPLATES, "long": long, "five": "one two three four five", "bare": "anyone is free to copy this work at will and for ever"}
+    docs, texts = [], list(templates.values())
+    for k in range(60):
+        t = licenses.template_words(rng.choice(texts))
+        for _ in range(rng.randrange(0, 1 + len(t) // 25)):
+            t[rng.randrange(len(t))] = "other"
+        docs.append((k, f"{text(rng, rng.randrange(0, 90))} {' '.join(t)} {text(rng, rng.randrange(0, 90))}"))
+    docs += [(100, text(rng, 500)), (101, None), (102, "license " * 300), (103, " ".join(["one two three four five x"] * 50))]
+    wanted = plain_licenses(docs, templates)
+    found = {tuple(r) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()}
+    assert found <= wanted and len(found) >= 0.99 * len(wanted)
+    assert licenses.retrieval_chance(templates) > 0.999
+
+
+def test_windows_hold_every_stretch():
+    for m in range(5, 2000):
+        length, step = licenses.window(m)
+        # A stretch of m words from s on lies in the window that starts at the multiple of step before s.
+        assert all(s - s // step * step + m <= length for s in range(step))
+
+
+def test_very_long_text_with_licenses(spark):
+    t = " ".join(["license of this software"] * 10_000 + [licenses.TEMPLATES["mit-text"]] * 3)
+    found = {r.license for r in licenses.scan_licenses(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()}
+    assert {"mit-text", "mit-grant"} <= found
+
+
+def test_quality_measures(spark, docs, corpus):
+    rows = [*corpus.items(), (900, None), (901, "a b c d e f g h " * 9), (902, "#1 $2\n#1 $2\n \n\n#1 $2"), (903, "x " * 5000)]
+    found = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame([(i, t, f"h{i % 5}") for i, t in rows], "doc_id long, text string, source string")).collect()}
+    failed = {}
+    for i, t in rows:
+        t = t or ""
+        w, lines, places = t.split(), [x for x in t.split("\n") if x.strip()], defaultdict(list)
+        for k in range(len(w) - 7):
+            places[tuple(w[k : k + 8])].append(k)
+        again = len({k + j for p in places.values() if len(p) > 1 for k in p for j in range(8)})
+        r = found[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), again)
+        failed[i] = len(w) < 20 or 100 * again > 30 * len(w)
+        assert r.base_failed == failed[i]
+    hosts = {h: [f for i, f in failed.items() if i % 5 == h] for h in range(5)}
+    n, mean = len(failed), sum(failed.values()) / len(failed)
+    spread = sum(len(f) * (sum(f) / len(f)) ** 2 for f in hosts.values()) / n - mean**2
+    strength = min(max(mean * (1 - mean) / spread - 1, 1), 10_000)
+    for i, r in found.items():
+        f = hosts[i % 5]
+        rate = (sum(f) + mean * strength) / (len(f) + strength)
+        assert r.host_rate == pytest.approx(rate, abs=1e-6) and r.kept == (not failed[i] and rate <= 0.5)
+
+
 def test_window_hashes():
     h = np.arange(1, 60, dtype=np.uint64) ** np.uint64(7)
     for k in (5, 31):
