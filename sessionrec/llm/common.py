@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -62,16 +62,19 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             context.setCheckpointDir(base)
         self.base = f"{base}/{name}-{uuid.uuid4().hex}"
-        self._made.setdefault(context.applicationId, []).append(self.base)
+        self.made(spark).append(self.base)
 
     @classmethod
-    def clear(cls, spark: SparkSession, *keep: Scratch) -> None:
-        """Deletes the tables of all operators of this application but those of `keep`."""
-        kept = {s.base for s in keep}
-        made = cls._made.get(spark.sparkContext.applicationId, [])
-        for base in [b for b in made if b not in kept]:
+    def made(cls, spark: SparkSession) -> list[str]:
+        """The folders of this application's operators so far."""
+        return cls._made.setdefault(spark.sparkContext.applicationId, [])
+
+    @classmethod
+    def clear(cls, spark: SparkSession, keep: Iterable[str] = ()) -> None:
+        """Deletes the folders of this application's operators but those to keep."""
+        for base in set(cls.made(spark)) - set(keep):
             _delete(spark, base)
-            made.remove(base)
+            cls.made(spark).remove(base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
