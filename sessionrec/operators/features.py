@@ -68,14 +68,16 @@ def events_for_candidates(events: DataFrame, candidates: DataFrame, keys: tuple[
     return events.join(candidates.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def graph_signal_features(events: DataFrame, edges: DataFrame, max_seeds: int = 20) -> DataFrame:
+def graph_signal_features(events: DataFrame, edges: DataFrame, max_seeds: int = 20, keys: DataFrame | None = None) -> DataFrame:
     """A row for each session and neighbour of its distinct recent items: weights by graph and which graph prevails.
 
     dominant_graph_source is 3, 2 or 1 for click_to_cart_order, cart_order_to_cart_order and
     click_to_click, the greater number on ties, and 0 where all weights are 0. Without edges or
-    seeds there are no rows, of the same columns.
+    seeds there are no rows, of the same columns. keys (session, aid): only these, chosen before sums are made.
     """
     signals = expand_seeds(recent_seed_items(events, max_seeds), edges)
+    if keys is not None:
+        signals = signals.join(keys.select("session", "aid").distinct(), ["session", "aid"], "left_semi")
     weight, graph = F.col("weight"), F.col("graph")
     by_graph = [F.sum(F.when(graph == r.name, weight).otherwise(0.0)).alias(f"graph_w_{r.name}") for r in RULES]
     out = signals.groupBy("session", "aid").agg(F.sum(weight).alias("graph_weight_sum"), F.max(weight).alias("graph_weight_max"), F.count_distinct(graph).cast("int").alias("graph_source_count"), *by_graph)
@@ -87,8 +89,7 @@ def graph_signal_features(events: DataFrame, edges: DataFrame, max_seeds: int =
 def graph_signals_for_candidates(events: DataFrame, edges: DataFrame, candidates: DataFrame, max_seeds: int = 20) -> DataFrame:
     """Graph signals of the candidates only; sessions without candidates are left out before the expansion."""
     sessions = candidates.select("session").distinct()
-    signals = graph_signal_features(events.join(sessions, "session", "left_semi"), edges, max_seeds)
-    return signals.join(candidates.select("session", "aid").distinct(), ["session", "aid"], "left_semi")
+    return graph_signal_features(events.join(sessions, "session", "left_semi"), edges, max_seeds, candidates)
 
 
 def interaction_features(candidates: DataFrame, events: DataFrame, edges: DataFrame, max_seeds: int = 20, fill: int = DELTA_T_FILL) -> DataFrame:
@@ -98,7 +99,7 @@ def interaction_features(candidates: DataFrame, events: DataFrame, edges: DataFr
     delta_t_nan stays null.
     """
     out = candidates.select("session", "aid", F.col("score").alias("candidate_score"), F.col("rank").alias("candidate_rank"))
-    out = out.join(local_item_stats(events), ["session", "aid"], "left").join(session_last_ts(events), "session", "left").join(graph_signal_features(events, edges, max_seeds), ["session", "aid"], "left")
+    out = out.join(local_item_stats(events), ["session", "aid"], "left").join(session_last_ts(events), "session", "left").join(graph_signals_for_candidates(events, edges, candidates, max_seeds), ["session", "aid"], "left")
     zero = [f"local_{x}_count" for x in ("interaction", "click", "cart", "order")] + ["graph_weight_sum", "graph_weight_max", "graph_source_count", *(f"graph_w_{r.name}" for r in RULES), "dominant_graph_source"]
     out = out.na.fill(0, zero).withColumn("delta_t_nan", F.col("session_last_ts") - F.col("item_last_ts"))
     return out.select(

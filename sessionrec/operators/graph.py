@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionrec.functions.weights import decay_daily, decay_rational, degree_penalty, event_weight, target_value
-from sessionrec.operators.windows import prune_topk, recent_session_events
+from sessionrec.operators.windows import prune_topk, recent_seeds, recent_session_events
 from sessionrec.schema import CART, CLICK, DAY_MS, ORDER
+from sessionrec.sources.events import staged
 
 HOUR_MS = 3_600_000
 
@@ -68,8 +69,9 @@ def attach_degree_penalty(pairs: DataFrame, frequency: DataFrame, alpha: float)
 
 
 def rule_pair_sums(events: DataFrame, rule: Rule, by: tuple[str, ...] = ()) -> DataFrame:
-    """aid_x, aid_y (and `by`): summed value and decay, before what depends on the two items alone."""
-    pairs = session_pairs_windowed(recent_session_events(events, rule.max_events), rule)
+    """aid_x, aid_y (and `by`): summed value and decay, before what depends on the two items alone. Events with a seed_rank are ranked already."""
+    recent = events.where(F.col("seed_rank") <= rule.max_events) if "seed_rank" in events.columns else recent_session_events(events, rule.max_events)
+    pairs = session_pairs_windowed(recent, rule)
     if "bucket" in by:
         pairs = pairs.withColumn("bucket", F.pmod("session", F.lit(BUCKETS)))
     value = target_value(F.col("type_y")) * decay_rational(F.col("dt").cast("double") / 1000, rule.decay_seconds)
@@ -87,7 +89,7 @@ def weighted(sums: DataFrame, frequency: DataFrame, rule: Rule) -> DataFrame:
 
 
 def rule_edges(events: DataFrame, rule: Rule, frequency: DataFrame | None = None) -> DataFrame:
-    """aid_x, aid_y, weight, graph: all edges of a rule. Frequencies are those of all events."""
+    """aid_x, aid_y, weight, graph: all edges of a rule. Frequencies are those of all events; of ranked events they must be given."""
     frequency = item_frequency(events) if frequency is None else frequency
     return weighted(rule_pair_sums(events, rule), frequency, rule).select("aid_x", "aid_y", "weight", "graph")
 
@@ -102,12 +104,19 @@ def union_graphs(frames: Iterable[DataFrame]) -> DataFrame:
 def rule_graph_topk(events: DataFrame, rules: Iterable[Rule] = RULES, alpha: float | None = None) -> DataFrame:
     """The exact graph: edges over all sessions, then the best of each item and rule."""
     graphs = []
-    for rule in rules:
-        rule = rule if alpha is None else replace(rule, alpha=alpha)
-        graphs.append(prune_topk(rule_edges(events, rule), ["graph", "aid_x"], "weight", rule.topk, ["aid_y"]))
+    for edges, rule in rule_graphs(events, rules, alpha):
+        graphs.append(prune_topk(edges, ["graph", "aid_x"], "weight", rule.topk, ["aid_y"]))
     return union_graphs(graphs)
 
 
+def rule_graphs(events: DataFrame, rules: Iterable[Rule] = RULES, alpha: float | None = None) -> list[tuple[DataFrame, Rule]]:
+    """All edges of each rule, with the rule. Events are ranked once, as deep as any rule looks, and items are counted once, for all of them."""
+    rules = [rule if alpha is None else replace(rule, alpha=alpha) for rule in rules]
+    ranked = staged(recent_seeds(events, max((rule.max_events for rule in rules), default=1)), "ranked")
+    frequency = staged(item_frequency(events), "frequency")
+    return [(rule_edges(ranked, rule, frequency), rule) for rule in rules]
+
+
 def merge_edges(parts: DataFrame, topk: int) -> DataFrame:
     """Part edges summed and pruned again."""
     merged = parts.groupBy("graph", "aid_x", "aid_y").agg(F.sum("weight").alias("weight"))
