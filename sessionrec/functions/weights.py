@@ -60,5 +60,10 @@ def smoothed_rate(num: Column, den: Column, prior: Column, strength: float) -> C
 
 
 def hash_draw(*keys: Column, seed: int) -> Column:
-    """A number below HASH_RANGE that follows from the keys and the seed alone."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(HASH_RANGE))
+    """A number below HASH_RANGE that follows from the keys and the seed alone, by a hash that other engines have too."""
+    return F.conv(F.substring(key_hash(*keys, seed=seed), 1, 13), 16, 10).cast("long") % HASH_RANGE
+
+
+def key_hash(*keys: Column, seed: int) -> Column:
+    """md5 of the keys and the seed with slashes between, in hexadecimal; null keys are left out."""
+    return F.md5(F.concat_ws("/", *[k.cast("string") for k in keys], F.lit(str(seed))))

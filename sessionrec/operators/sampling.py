@@ -6,11 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sessionrec.functions.weights import hash_draw
 from sessionrec.operators.features import attach_item_features
 from sessionrec.schema import HASH_RANGE
 
+#: Accuracy of the sketch that brackets a quantile: its error in rank is one over this.
+SKETCH = 10_000
+
 TARGETS = ("target_click", "target_cart", "target_order")
 
 
@@ -69,10 +73,20 @@ class HardNegatives:
 
 
 def graph_weight_threshold(rows: DataFrame, config: HardNegatives = HardNegatives()) -> DataFrame:
-    """One row, threshold: the quantile (a value that occurs) of positive graph weights over negatives; 0 over none."""
-    negative = rows.where((F.col(config.target) == 0) & (F.col(config.graph) > 0))
-    q = F.expr(f"percentile_disc({config.quantile}) within group (order by round({config.graph}, 9))")
-    return negative.agg(F.coalesce(q, F.lit(0.0)).alias("threshold"))
+    """One row, threshold: the quantile (a value that occurs) of positive graph weights over negatives; 0 over none.
+
+    A sketch brackets the quantile, by twice its error at least; the exact value is found among the
+    distinct weights within, by running counts. So no task holds more than that part of the weights.
+    """
+    q, error = config.quantile, 1 / SKETCH
+    weights = rows.where((F.col(config.target) == 0) & (F.col(config.graph) > 0)).select(F.round(config.graph, 9).alias("w"))
+    ends = [max(0.0, q - 2 * error), min(1.0, q + 2 * error)]
+    bracket = weights.agg(F.percentile_approx("w", ends, SKETCH).alias("ends")).select(F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+    counts = weights.groupBy("w").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(bracket))  # one row
+    below = counts.agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("w") < F.col("low"), F.col("n"))), F.lit(0)).alias("below"))
+    inside = counts.where((F.col("w") >= F.col("low")) & (F.col("w") <= F.col("high"))).select("w", F.sum("n").over(Window.orderBy("w")).alias("so_far"))
+    reached = inside.crossJoin(F.broadcast(below)).where(F.col("below") + F.col("so_far") >= F.ceil(F.col("total") * q))
+    return reached.agg(F.coalesce(F.min("w"), F.lit(0.0)).alias("threshold"))
 
 
 def negative_bucket(config: HardNegatives, threshold: Column) -> Column:

@@ -8,7 +8,7 @@ from sessionrec.schema import DAY_MS
 SQL: dict[str, str] = {}
 
 USERS = """select cast(user_id as int) as session, cast(regexp_extract(props, '([0-9]+)', 1) as int) as aid, epoch_us(ts) // 1000 as ts,
-  cast(case event_type when 'purchase' then 2 when 'signup' then 1 else 0 end as tinyint) as type from events where event_type <> 'error'"""
+  cast(case event_type when 'purchase' then 2 when 'signup' then 1 else 0 end as tinyint) as type from events"""
 ORDERS = """select cast(o_custkey as int) as session, cast(l_partkey as int) as aid, epoch_us(l_shipdate) // 1000 as ts,
   cast(case l_returnflag when 'A' then 2 when 'R' then 1 else 0 end as tinyint) as type from lineitem join orders on l_orderkey = o_orderkey"""
 NEWEST = "order by ts desc, aid desc, type desc"
@@ -85,7 +85,7 @@ TARGETS = """tg as (select session, aid, max((type = 0)::int)::tinyint as target
 GROUPED = """(select session, type, list(aid order by t, aid) as ground_truth from (select session, type, aid, min(ts) as t from {of} group by session, type, aid) group by session, type)"""
 
 
-def candidates(k: int = 50, least: int = 30) -> list[str]:
+def candidates(k: int = 100, least: int = 50) -> list[str]:
     """CTE cd: candidates by the three graphs with the popular fallback."""
     return [
         *three_graphs(),
@@ -195,7 +195,7 @@ ROUNDED = ", ".join(f"round({c}, 6) as {c}" for c in ("graph_weight_sum", "graph
 SQL["graph_signal_features"] = sql(*TRAIN, *three_graphs(), seeds(), SIGNALS, select=f"select session, aid, graph_source_count, dominant_graph_source, {ROUNDED} from gd")
 SQL["candidate_pool_summary"] = sql(*TRAIN, *candidates(), "n as (select count(*) as n from cd group by session)",
     select="""select count(*) as sessions, min(n) as min_candidates, avg(n) as mean_candidates, median(n) as median_candidates, max(n) as max_candidates,
-  count(*) filter (where n >= 30) as sessions_ge_min, count(*) filter (where n = 50) as sessions_full from n""")
+  count(*) filter (where n >= 50) as sessions_ge_min, count(*) filter (where n = 100) as sessions_full from n""")
 SQL["graph_weight_threshold"] = sql(*negative("target_order"), select="select round(t, 6) as threshold from th")
 SQL["negative_bucket_counts"] = sql(*negative("target_order"), select="select negative_bucket, count(*) as rows from nb group by all")
 SQL["label_stats"] = sql(*POOL_LABELLED, select="select (session % 4)::int as bucket, count(*) as rows, sum(target_click)::bigint as target_click, sum(target_cart)::bigint as target_cart, sum(target_order)::bigint as target_order from la group by rollup (session % 4)")
@@ -254,7 +254,7 @@ def recall(labels: str, cands: str, k: int) -> list[str]:
 
 SQL["recall_at_k"] = sql(*TAIL3, *single_graph(), *recall("gl", "cs", 20),
     select="select type, total, hits, round(recall, 6) as recall, round(metric_weight, 6) as metric_weight, round((select sum(recall * metric_weight) / sum(metric_weight) from rr), 6) as weighted_recall from rr")
-SQL["candidate_coverage"] = sql(*POOL_LABELLED, f"gl as {GROUPED.format(of='lb')}", *recall("gl", "cd", 50),
+SQL["candidate_coverage"] = sql(*POOL_LABELLED, f"gl as {GROUPED.format(of='lb')}", *recall("gl", "cd", 100),
     "z as (select 0::tinyint as type, sum(target_click)::bigint as positives, count(*) - sum(target_click) as negatives from la union all select 1::tinyint, sum(target_cart)::bigint, count(*) - sum(target_cart) from la union all select 2::tinyint, sum(target_order)::bigint, count(*) - sum(target_order) from la)",
     select="select type, positives, negatives::bigint as negatives, round(case when positives > 0 then negatives::double / positives end, 6) as neg_per_pos, round(recall, 6) as recall from z left join rr using (type)")
 SQL["item_features"] = sql(O, *ITEMS, select="""select aid, total_interactions, click_count, cart_count, order_count, recent_24h_interactions, round(conversion_rate, 6) as conversion_rate, round(item_cart_conversion_rate, 6) as item_cart_conversion_rate,
@@ -271,3 +271,16 @@ SQL["hard_negative_report"] = sql(*negative("target_click"), select=f"""select (
 SQL["ranker_training_frame"] = sql(*LABELLED, select="select session, aid, target_click, (delta_t_nan is not null)::double as delta_t_known, delta_t_filled::double as delta_t_filled, round(candidate_score, 6) as candidate_score, round(graph_weight_total, 6) as graph_weight_total from la where session % 10 <> 0")
 SQL["ranked_hit_recall"] = sql(*POOL_LABELLED, "b as (select *, row_number() over (partition by session order by round(score, 9) desc, aid) as r from la)",
     select="select count(*) as rows, count(distinct session) as sessions, sum(target_click)::bigint as positives, count(*) filter (where r <= 20) as top_rows, (sum(target_click) filter (where r <= 20))::bigint as hits, round(case when sum(target_click) > 0 then (sum(target_click) filter (where r <= 20))::double / sum(target_click) else 0 end, 6) as recall from b")
+
+
+def draw(*keys: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5(concat_ws('/', {', '.join(keys)}, '{seed}')), 1, 13))::ubigint % 1000000)"
+
+
+SQL["hash_sample_filter"] = sql(O, select=f"{ALL}ev where {draw('session', 'aid')} < 250000")
+SQL["sample_sessions"] = sql(O, "d as (select session from (select distinct session from ev) order by md5(concat_ws('/', session, '42')), session limit 200)", select=ALL + "ev where session in (select session from d)")
+SQL["downsample_negatives"] = sql(*POOL_LABELLED, "c as (select count(*) filter (where target_click = 1) as p, count(*) filter (where target_click <> 1) as n from la)",
+    select=f"select session, aid, target_click from la, c where target_click = 1 or {draw('session', 'aid')} < floor(least(1.0::double, 20.0::double * p / greatest(n, 1)) * 1000000)")
+SQL["sample_hard_negatives"] = sql(*negative("target_click"), *ITEMS, "k as (select negative_bucket, count(*) as n from nb group by all)", "q as (select coalesce(sum(n) filter (where negative_bucket = 'positive'), 0) as p from k)",
+    "l as (select negative_bucket, case when negative_bucket = 'positive' then 1000000 else floor(least(1, floor(p * case when negative_bucket = 'random' then 4 else 8 end)::double / greatest(n, 1)) * 1000000) end as most from k, q)",
+    select=f"select session, nb.aid, negative_bucket, total_interactions from nb join l using (negative_bucket) left join fi on nb.aid = fi.aid where {draw('session', 'nb.aid', 'negative_bucket')} < most")

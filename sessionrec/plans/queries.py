@@ -22,8 +22,8 @@ from sessionrec.sources import events as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CC, COCO, CCO = G.RULES
-#: Size of the reference's candidate pool: topk, and the number below which the popular list is added.
-FULL_POOL = (100, 50)
+#: Size of the candidate pool, and the number of candidates below which the popular list is added.
+POOL, POOL_LEAST = 100, 50
 
 
 def query(f: Callable) -> Callable:
@@ -45,7 +45,8 @@ def r6(*names: str) -> list:
 
 
 def train_side(spark, sf):
-    return splits.split_time(users(spark, sf))[0]
+    """As a table: graphs, pools and features go through these events again and again."""
+    return src.staged(splits.split_time(users(spark, sf))[0], "train_events")
 
 
 def label_side(spark, sf):
@@ -57,25 +58,25 @@ def edges_of(events: DataFrame) -> DataFrame:
     return src.staged(G.rule_graph_topk(events).select("aid_x", "aid_y", "weight", "graph"), "edges")
 
 
-def pool(spark, sf, topk: int = 50, least: int = 30) -> DataFrame:
+def pool(spark, sf) -> DataFrame:
     """Candidates by the graphs of the train side, as a table."""
-    return pool_by(train_side(spark, sf), None, topk, least)
+    return pool_by(train_side(spark, sf))
 
 
-def pool_by(events: DataFrame, edges: DataFrame | None, topk: int = 50, least: int = 30) -> DataFrame:
+def pool_by(events: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     edges = edges_of(events) if edges is None else edges
-    return src.staged(ret.recommend_from_graphs(events, edges, topk=topk, min_candidates=least, popular=win.popular_fallback_items(events, topk)), "pool")
+    return src.staged(ret.recommend_from_graphs(events, edges, topk=POOL, min_candidates=POOL_LEAST, popular=win.popular_fallback_items(events, POOL)), "pool")
 
 
-def features(spark, sf, *size: int) -> DataFrame:
+def features(spark, sf) -> DataFrame:
     events = train_side(spark, sf)
     edges = edges_of(events)
-    return feat.interaction_features(pool_by(events, edges, *size), events, edges)
+    return feat.interaction_features(pool_by(events, edges), events, edges)
 
 
-def labelled(spark, sf, *size: int) -> DataFrame:
+def labelled(spark, sf) -> DataFrame:
     """Candidates with features and targets, as a table: thresholds, counts and samples read it several times."""
-    return src.staged(S.label_candidates(features(spark, sf, *size), splits.label_targets(label_side(spark, sf))), "labelled")
+    return src.staged(S.label_candidates(features(spark, sf), splits.label_targets(label_side(spark, sf))), "labelled")
 
 
 # Sources and sinks
@@ -235,7 +236,8 @@ def fallback_cross(spark, sf):
 
 @query
 def events_for_candidates(spark, sf):
-    return feat.events_for_candidates(train_side(spark, sf), pool(spark, sf))
+    events = train_side(spark, sf)
+    return feat.events_for_candidates(events, pool_by(events))
 
 
 @query
@@ -250,7 +252,7 @@ def graph_signals_for_candidates(spark, sf):
 def attach_item_features(spark, sf):
     events = train_side(spark, sf)
     items = feat.item_features(events).drop("cart_count", "conversion_rate")
-    return feat.attach_item_features(pool(spark, sf).select("session", "aid"), items).select("session", "aid", "total_interactions", "order_count", *r6("item_buy_conversion_rate"))
+    return feat.attach_item_features(pool_by(events).select("session", "aid"), items).select("session", "aid", "total_interactions", "order_count", *r6("item_buy_conversion_rate"))
 
 
 @query
@@ -293,7 +295,7 @@ def graph_signal_features(spark, sf):
 
 @query
 def candidate_pool_summary(spark, sf):
-    return M.candidate_pool_summary(pool(spark, sf), 30, 50)
+    return M.candidate_pool_summary(pool(spark, sf), POOL_LEAST, POOL)
 
 
 @query
@@ -372,7 +374,7 @@ def union_candidates(spark, sf):
 @query
 def union_graphs(spark, sf):
     events = users(spark, sf)
-    every = G.union_graphs(G.rule_edges(events, rule) for rule in G.RULES)
+    every = G.union_graphs(edges for edges, _ in G.rule_graphs(events))
     return every.groupBy("graph").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
@@ -509,7 +511,7 @@ def candidate_coverage(spark, sf):
     labels = splits.grouped_labels(label_side(spark, sf))
     candidates = pool(spark, sf)
     rows = S.label_candidates(candidates.select("session", "aid"), splits.label_targets(label_side(spark, sf)))
-    return M.candidate_coverage(rows, labels, candidates, 50).select("type", "positives", "negatives", *r6("neg_per_pos", "recall"))
+    return M.candidate_coverage(rows, labels, candidates, POOL).select("type", "positives", "negatives", *r6("neg_per_pos", "recall"))
 
 
 # Features
@@ -540,7 +542,7 @@ def interaction_features(spark, sf):
 
 @query
 def downsample_negatives(spark, sf):
-    return S.downsample_negatives(S.label_candidates(pool(spark, sf, *FULL_POOL), splits.label_targets(label_side(spark, sf))), "target_click").select("session", "aid", "target_click")
+    return S.downsample_negatives(S.label_candidates(pool(spark, sf), splits.label_targets(label_side(spark, sf))), "target_click").select("session", "aid", "target_click")
 
 
 @query
@@ -557,7 +559,7 @@ def sampling_thresholds(spark, sf):
 @query
 def sample_hard_negatives(spark, sf):
     config = S.HardNegatives(target="target_click")
-    return S.sample_hard_negatives(labelled(spark, sf, *FULL_POOL), config, feat.item_features(train_side(spark, sf))).select("session", "aid", "negative_bucket", "total_interactions")
+    return S.sample_hard_negatives(labelled(spark, sf), config, feat.item_features(train_side(spark, sf))).select("session", "aid", "negative_bucket", "total_interactions")
 
 
 @query
@@ -571,26 +573,25 @@ def ranker_training_frame(spark, sf):
     return out.select("session", "aid", "target_click", "delta_t_known", "delta_t_filled", *r6("candidate_score", "graph_weight_total"))
 
 
-def _training(rows):
-    """Down-sampled training rows with the columns of all variants; a table, since boosting goes through them again and again."""
-    rows = S.downsample_negatives(R.ranker_training_frame(rows, "target_click", "nan"), "target_click")
-    return src.staged(rows, "training")
+def _models(spark, sf) -> dict[str, tuple]:
+    """For each delta_t variant: the saved and reread model, its importance and its figures on the held-out sessions, and those sessions' rows."""
+    rows = labelled(spark, sf)
+    training = src.staged(S.downsample_negatives(R.ranker_training_frame(rows, "target_click", "nan"), "target_click"), "training")
+    held = R.ranker_frame(S.session_holdout(rows)[1], "target_click", "nan")
+    return {v: (*R.train_and_save(training, held, "target_click", src.scratch_path(spark, f"ranker-{v}"), v), held) for v in R.DELTA_T}
 
 
 @query
 def train_click_ranker(spark, sf):
-    """Gains of the model of each delta_t variant."""
-    training = _training(labelled(spark, sf, *FULL_POOL))
-    gains = [R.feature_importance(R.train_click_ranker(training, "target_click", v), spark, v).select(F.lit(v).alias("variant"), "feature", "gain") for v in R.DELTA_T]
-    return reduce(DataFrame.unionByName, gains)
+    """Gains and splits of the features of each variant's model, and how the model fares on held-out sessions."""
+    parts = [importance.crossJoin(F.broadcast(figures)).withColumn("variant", F.lit(v)) for v, (_, importance, figures, _) in _models(spark, sf).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def score_and_rank(spark, sf):
     """The best rows of each held-out session by the model of each delta_t variant."""
-    rows = labelled(spark, sf, *FULL_POOL)
-    training, held = _training(rows), R.ranker_frame(S.session_holdout(rows)[1], "target_click", "nan")
-    best = [R.score_and_rank(R.train_click_ranker(training, "target_click", v), held, "target_click", v).withColumn("variant", F.lit(v)) for v in R.DELTA_T]
+    best = [R.score_and_rank(model, held, "target_click", v).withColumn("variant", F.lit(v)) for v, (model, _, _, held) in _models(spark, sf).items()]
     return reduce(DataFrame.unionByName, best)
 
 

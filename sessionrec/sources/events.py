@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionrec.functions.weights import decode_type, encode_type
+from sessionrec.functions.weights import decode_type, encode_type, key_hash
 from sessionrec.schema import EVENTS, SESSION_JSON
 
 
@@ -65,12 +65,12 @@ def compact_to_parquet(spark: SparkSession, source: str, target: str) -> None:
 
 def limit_sessions(events: DataFrame, n: int) -> DataFrame:
     """All events of the n smallest session ids."""
-    return events.join(F.broadcast(events.select("session").distinct().orderBy("session").limit(n)), "session", "left_semi")
+    return events.join(events.select("session").distinct().orderBy("session").limit(n), "session", "left_semi")
 
 
 def sample_sessions(events: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """All events of n sessions drawn evenly by a hash of their id and the seed."""
-    drawn = events.select("session").distinct().orderBy(F.xxhash64("session", F.lit(seed)), "session").limit(n)
+    drawn = events.select("session").distinct().orderBy(key_hash(F.col("session"), seed=seed), "session").limit(n)
     return events.join(drawn, "session", "left_semi")
 
 
@@ -96,9 +96,30 @@ def bucket_stats(stages: dict[str, DataFrame]) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that the session sets for checkpoints; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{uuid.uuid4().hex}-{name}"
+    """A new place in the folder that the session sets for checkpoints; a temporary one where a local run sets none.
+
+    On a cluster a folder must be set: executors don't see each other's disks.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(base)
+    path = f"{base}/{uuid.uuid4().hex}-{name}"
+    _made.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote to scratch_path(): for when results are written or collected, as lazy ones read it."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def with_checkpoints(spark: SparkSession) -> None:
@@ -116,9 +137,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def events_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the `events` table: a session for each user, the number in props as the item."""
+    """Events of the `events` table, all of them: a session for each user, the number in props as the item.
+
+    Purchases are orders and signups are carts; every other type (view, click, error) is a contact with the item, so a click.
+    """
     code = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 1).otherwise(0)
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'error'")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return normalize_events(rows.select(F.col("user_id").alias("session"), F.regexp_extract("props", "([0-9]+)", 1).alias("aid"), millis("ts").alias("ts"), code.alias("type")))
 
 
