@@ -19,7 +19,7 @@ SHINGLE = 5
 SIMILARITY = (75, 100)
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 2**64)
+OTHER_MULTIPLIER = 0xD1B54A32D192ED03
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, k: int, multiplier: int = _MULTIPLIER) -> np.ndarray:
     """Hash of each run of k word hashes: a polynomial in an odd multiplier, mod 2**64."""
     n = len(hashes) - k + 1
     if n <= 0:
@@ -160,12 +160,12 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     if k <= 16:
         out = np.zeros(n, dtype=np.uint64)
         for j in range(k):
-            out = out * np.uint64(_MULTIPLIER) + hashes[j : j + n]
+            out = out * np.uint64(multiplier) + hashes[j : j + n]
         return mixed(out)
-    up = powers(_MULTIPLIER, len(hashes))
+    up = powers(multiplier, len(hashes))
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * up, dtype=np.uint64, out=sums[1:])
-    return mixed((sums[k:] - sums[:-k]) * powers(_INVERSE, n))
+    return mixed((sums[k:] - sums[:-k]) * powers(pow(multiplier, -1, 2**64), n))
 
 
 _POWERS: dict[int, np.ndarray] = {}

@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionrec.llm.common import SPACE, Scratch, WordHash, packed, read_documents, runs, small_batches, texts_of, window_hashes, words
+from sessionrec.llm.common import OTHER_MULTIPLIER, SPACE, Scratch, WordHash, mixed, packed, read_documents, runs, small_batches, texts_of, window_hashes, words
 
 #: A passage is repeated if it has so many words, each equal, in two places at least.
 PASSAGE = 50
@@ -20,6 +20,8 @@ PASSAGE = 50
 GRAM, SPREAD = 8, 20
 #: Any PASSAGE words hold such a position with so many of them from it on: SPREAD - 1 before it at most.
 PREFIX = PASSAGE - (SPREAD - 1)
+#: A suffix is compared by codes of so many runs of words, one after another.
+CODES = 4
 #: Records that a task sorts at a time before it deals them out.
 BLOCK = 250_000
 NO_ID = 2**63 - 1
@@ -34,6 +36,36 @@ def kept_positions(hashes: np.ndarray) -> np.ndarray:
     return np.unique(least)
 
 
+def codes(hashes: np.ndarray, at: np.ndarray, words_: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words_ words from each place on as CODES codes of 32 bits, for runs of words one after another, in two 64-bit numbers.
+
+    In the order of (high, low) suffixes are sorted by their first words, then by further ones; two
+    neighbours have as many runs in common as codes. Equal suffixes agree in 128 bits. Runs use
+    their own multiplier each, so that no two codes come from one hash.
+    """
+    ends = [words_ * k // CODES for k in range(CODES + 1)]
+    parts = []
+    for k in range(CODES):
+        step = window_hashes(hashes, ends[k + 1] - ends[k], OTHER_MULTIPLIER + 2 * k)
+        parts.append(step[at + ends[k]] >> np.uint64(32))
+    high, low = (parts[0] << np.uint64(32)) | parts[1], (parts[2] << np.uint64(32)) | parts[3]
+    return high, low
+
+
+def same_as_before(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Of sorted records, those equal to the one before in all keys."""
+    out = np.zeros(len(sorted_keys[0]), dtype=bool)
+    out[1:] = True
+    for key in sorted_keys:
+        out[1:] &= key[1:] == key[:-1]
+    return out
+
+
+def run_numbers(repeats: np.ndarray) -> np.ndarray:
+    """The run of each record, from what same_as_before() says."""
+    return np.cumsum(~repeats) - 1
+
+
 def by_document(dk: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Values of each document as bytes."""
     order = np.lexsort((values, dk))
@@ -43,16 +75,16 @@ def by_document(dk: np.ndarray, values: np.ndarray) -> tuple[list[int], list[byt
     return dk[starts].tolist(), [values[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends)]
 
 
-SUFFIXES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("dks", pa.binary()), ("at", pa.binary())])
-SUFFIX_SCHEMA = "bucket int, part int, keys binary, dks binary, at binary"
+SUFFIXES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("dks", pa.binary()), ("at", pa.binary())])
+SUFFIX_SCHEMA = "bucket int, part int, high binary, low binary, dks binary, at binary"
 
 
 def suffixes(buckets: int):
-    """Texts to sparse suffixes by the hash of their first PREFIX words, sorted in blocks.
+    """Texts to sparse suffixes by the codes of their first PREFIX words, sorted in blocks.
 
-    A block gives one suffix of each hash to the hash's bucket. Suffixes that are repeated
-    within the block are given as found at once (dk, found); so a passage that stands in a third
-    of all documents sends one record a block to its bucket.
+    A block gives one suffix of equal ones to their bucket. Suffixes that are repeated within the
+    block are given as found at once (dk, found); so a passage that stands in a third of all
+    documents sends one record a block to its bucket.
     """
     def run(batches: Iterator) -> Iterator:
         table, held = WordHash(), []
@@ -60,16 +92,15 @@ def suffixes(buckets: int):
         def flush() -> Iterator:
             if not held:
                 return
-            keys, dks, at = (np.concatenate(x) for x in zip(*held))
+            high, low, dks, at = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.argsort(keys, kind="stable")
-            keys, dks, at = keys[order], dks[order], at[order]
-            starts, run_of = runs(keys)
-            several = np.bincount(run_of) > 1
-            twice = several[run_of]
+            order = np.lexsort((low, high))
+            high, low, dks, at = high[order], low[order], dks[order], at[order]
+            equal = same_as_before(high, low)
+            twice = equal | np.append(equal[1:], False)  # equal to a neighbour
             yield dealt("part", dks[twice], {"dks": dks[twice], "at": at[twice].astype("<u4")}, buckets, SUFFIXES)
-            keys, dks, at = keys[starts], dks[starts], at[starts]
-            yield dealt("bucket", keys, {"keys": keys, "dks": dks, "at": at.astype("<u4")}, buckets, SUFFIXES)
+            one = ~equal
+            yield dealt("bucket", mixed(high[one]), {"high": high[one], "low": low[one], "dks": dks[one], "at": at[one].astype("<u4")}, buckets, SUFFIXES)
 
         size = 0
         for batch, texts in texts_of(batches):
@@ -79,11 +110,11 @@ def suffixes(buckets: int):
                     continue
                 p = kept_positions(h)
                 p = p[p <= len(h) - PREFIX]
-                held.append((window_hashes(h, PREFIX)[p], np.full(len(p), dk, dtype=np.int64), p))
+                held.append((*codes(h, p, PREFIX), np.full(len(p), dk, dtype=np.int64), p))
                 size += len(p)
-            if size >= BLOCK:
-                yield from flush()
-                size = 0
+                if size >= BLOCK:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     return run
@@ -105,12 +136,12 @@ def joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
 
 
 def neighbours(parts: int):
-    """A bucket's suffixes, sorted; those equal to a neighbour in their first PREFIX words are found and dealt by document."""
+    """A bucket's suffixes, sorted; those that have their first PREFIX words in common with a neighbour are found and dealt by document."""
     def run(table: pa.Table) -> pa.Table:
-        keys, dks, at = joined(table, "keys", "<u8"), joined(table, "dks", "<i8"), joined(table, "at", "<u4")
-        order = np.argsort(keys, kind="stable")
-        starts, run_of = runs(keys[order])
-        twice = order[(np.bincount(run_of, minlength=1) > 1)[run_of]] if len(keys) else order
+        high, low, dks, at = (joined(table, c, t) for c, t in (("high", "<u8"), ("low", "<u8"), ("dks", "<i8"), ("at", "<u4")))
+        order = np.lexsort((low, high))
+        equal = same_as_before(high[order], low[order])
+        twice = order[equal | np.append(equal[1:], False)] if len(order) else order
         return pa.Table.from_batches([dealt("part", dks[twice], {"dks": dks[twice], "at": at[twice]}, parts, FOUND)])
 
     return run
@@ -124,15 +155,17 @@ def found_by_document(table: pa.Table) -> pa.Table:
     return pa.table({"dk": pa.array(ids, pa.int64()), "found": pa.array(found, pa.binary())})
 
 
-PASSAGES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("ords", pa.binary()), ("dks", pa.binary()), ("at", pa.binary()), ("times", pa.binary()), ("first", pa.binary())])
-PASSAGE_SCHEMA = "bucket int, part int, keys binary, ords binary, dks binary, at binary, times binary, first binary"
+#: What a passage is: the first one, one after it in the same document, or one whose first is in another document.
+FIRST, AGAIN, ELSEWHERE = 0, 1, 2
+PASSAGES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("ords", pa.binary()), ("dks", pa.binary()), ("at", pa.binary()), ("several", pa.binary()), ("kind", pa.binary())])
+PASSAGE_SCHEMA = "bucket int, part int, high binary, low binary, ords binary, dks binary, at binary, several binary, kind binary"
 
 
 def extended(buckets: int):
-    """Matched suffixes, extended left and right to every PASSAGE words that hold them, by those words' hash.
+    """Matched suffixes, extended left and right to each stretch of PASSAGE words that holds them, sorted by the codes of all its words.
 
-    As in suffixes(), a block gives the first of equal passages to the bucket, with their number;
-    the others are given as found: they are not the first ones.
+    As in suffixes(), a block gives each stretch only as it stands in the first document that has
+    it to its bucket, and whether others have it; those others are given as found at once.
     """
     def run(batches: Iterator) -> Iterator:
         table, held = WordHash(), []
@@ -140,16 +173,19 @@ def extended(buckets: int):
         def flush() -> Iterator:
             if not held:
                 return
-            keys, ords, dks, at = (np.concatenate(x) for x in zip(*held))
+            high, low, ords, dks, at = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((at, dks, ords, keys))
-            keys, ords, dks, at = keys[order], ords[order], dks[order], at[order]
-            starts, run_of = runs(keys)
-            later = np.ones(len(keys), dtype=bool)
-            later[starts] = False
-            yield dealt("part", dks[later], {"dks": dks[later], "at": at[later].astype("<u4"), "first": np.zeros(later.sum(), dtype=bool)}, buckets, PASSAGES)
-            times = np.bincount(run_of).astype("<u4")
-            yield dealt("bucket", keys[starts], {"keys": keys[starts], "ords": ords[starts], "dks": dks[starts], "at": at[starts].astype("<u4"), "times": times}, buckets, PASSAGES)
+            order = np.lexsort((at, dks, ords, low, high))
+            order = order[~same_as_before(high[order], low[order], dks[order], at[order])]  # rows that repeat are one document
+            high, low, ords, dks, at = high[order], low[order], ords[order], dks[order], at[order]
+            equal = same_as_before(high, low)
+            number = run_numbers(equal)
+            first = np.flatnonzero(~equal)
+            other = dks != dks[first][number]
+            yield dealt("part", dks[other], {"dks": dks[other], "at": at[other].astype("<u4"), "kind": np.full(other.sum(), ELSEWHERE, dtype=np.uint8)}, buckets, PASSAGES)
+            own = ~other
+            several = np.bincount(number)[number] > 1 if len(number) else other
+            yield dealt("bucket", mixed(high[own]), {"high": high[own], "low": low[own], "ords": ords[own], "dks": dks[own], "at": at[own].astype("<u4"), "several": several[own]}, buckets, PASSAGES)
 
         size = 0
         for batch, texts in texts_of(batches):
@@ -161,50 +197,70 @@ def extended(buckets: int):
                 np.add.at(change, np.maximum(p - (SPREAD - 1), 0), 1)
                 np.add.at(change, p + 1, -1)
                 starts = np.flatnonzero(np.cumsum(change)[: last + 1] > 0)
-                held.append((window_hashes(h, PASSAGE)[starts], np.full(len(starts), order, dtype=np.int64), np.full(len(starts), dk, dtype=np.int64), starts))
+                held.append((*codes(h, starts, PASSAGE), np.full(len(starts), order, dtype=np.int64), np.full(len(starts), dk, dtype=np.int64), starts))
                 size += len(starts)
-            if size >= BLOCK:
-                yield from flush()
-                size = 0
+                if size >= BLOCK:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     return run
 
 
 def first_and_later(parts: int):
-    """A bucket's passages that occur twice or more, dealt by document: the first by doc_id and place, and those after it."""
+    """A bucket's stretches that stand in two places or more, dealt by document with their kinds: the first is by doc_id and place."""
     def run(table: pa.Table) -> pa.Table:
-        keys, ords, dks, at, times = (joined(table, c, t) for c, t in (("keys", "<u8"), ("ords", "<i8"), ("dks", "<i8"), ("at", "<u4"), ("times", "<u4")))
-        order = np.lexsort((at, dks, ords, keys))
-        keys, dks, at, times = keys[order], dks[order], at[order], times[order]
-        starts, run_of = runs(keys)
-        several = np.bincount(run_of, weights=times, minlength=1)[run_of] > 1
-        first = np.zeros(len(keys), dtype=bool)
-        first[starts] = True
-        dks, at, first = dks[several], at[several], first[several]
-        return pa.Table.from_batches([dealt("part", dks, {"dks": dks, "at": at, "first": first}, parts, MARKS)])
+        high, low, ords, dks, at, several = (joined(table, c, t) for c, t in (("high", "<u8"), ("low", "<u8"), ("ords", "<i8"), ("dks", "<i8"), ("at", "<u4"), ("several", "?")))
+        order = np.lexsort((at, dks, ords, low, high))
+        high, low, dks, at, several = high[order], low[order], dks[order], at[order], several[order]
+        # A row that repeats in another block is the same document; whether others have a stretch is kept.
+        number = run_numbers(same_as_before(high, low))
+        known = np.bincount(number, weights=several, minlength=1) > 0
+        once = ~same_as_before(high, low, dks, at)
+        high, low, dks, at, number = high[once], low[once], dks[once], at[once], number[once]
+        repeated = (known | (np.bincount(number, minlength=1) > 1))[number] if len(number) else once
+        equal = same_as_before(high, low)
+        kind = np.where(dks == dks[~equal][number], AGAIN, ELSEWHERE) if len(number) else np.empty(0)
+        kind[~equal] = FIRST
+        return pa.Table.from_batches([dealt("part", dks[repeated], {"dks": dks[repeated], "at": at[repeated], "kind": kind[repeated].astype(np.uint8)}, parts, MARKS)])
 
     return run
 
 
-MARKS = pa.schema([("part", pa.int32()), ("dks", pa.binary()), ("at", pa.binary()), ("first", pa.binary())])
+MARKS = pa.schema([("part", pa.int32()), ("dks", pa.binary()), ("at", pa.binary()), ("kind", pa.binary())])
 
 
 def spans_by_document(table: pa.Table) -> pa.Table:
-    """The documents of a part with their repeated spans and those to remove."""
-    dks, at, first = joined(table, "dks", "<i8"), joined(table, "at", "<u4").astype(np.int64), joined(table, "first", "?")
+    """The documents of a part with their repeated spans and those to remove.
+
+    Words of stretches whose first is in another document go, whatever else they are part of: each
+    such word stands at an earlier place too, and there at an earlier one yet or for good. Of
+    stretches that repeat within a document, words go that are in no first stretch.
+    """
+    dks, at, kind = joined(table, "dks", "<i8"), joined(table, "at", "<u4").astype(np.int64), joined(table, "kind", "u1")
     order = np.lexsort((at, dks))
-    dks, at, first = dks[order], at[order], first[order]
+    dks, at, kind = dks[order], at[order], kind[order]
     starts, _ = runs(dks)
     rows = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(dks)]):
-        f, s = np.unique(at[a:b][first[a:b]]), np.unique(at[a:b][~first[a:b]])
-        rows.append((int(dks[a]), spans_of(np.union1d(f, s)), without(spans_of(s), spans_of(f))))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    dicts = [pa.array([[{"start": x, "end": y} for x, y in r[i]] for r in rows], kind) for i in (1, 2)]
+        first, again, elsewhere = (np.unique(at[a:b][kind[a:b] == k]) for k in (FIRST, AGAIN, ELSEWHERE))
+        rows.append((int(dks[a]), spans_of(np.unique(at[a:b])), union(spans_of(elsewhere), without(spans_of(again), spans_of(first)))))
+    column = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    dicts = [pa.array([[{"start": x, "end": y} for x, y in r[i]] for r in rows], column) for i in (1, 2)]
     return pa.table({"dk": pa.array([r[0] for r in rows], pa.int64()), "repeated": dicts[0], "removed": dicts[1]})
 
 
+def union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans of what is in either; overlapping and adjoining ones are one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted([*a, *b]):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
     """Passages by their starts as spans [from, to) of words; overlapping and adjoining ones are one."""
     if not len(starts):
@@ -237,20 +293,20 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """dk, repeated, removed: for each document with a repeated passage all its spans, and those to remove.
 
     dk is xxhash64(doc_id, text), the identity of a row; equal rows are one document. Removed
-    spans are in passages whose first occurrence, by doc_id and place, is elsewhere.
+    words are in passages whose first occurrence, by doc_id and place, is elsewhere (see spans_by_document).
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 4000))
     listed = scratch.write(known.select("dk", "text").mapInArrow(suffixes(buckets), SUFFIX_SCHEMA), "suffixes")
-    by_bucket = listed.where("bucket is not null").select("bucket", "keys", "dks", "at").groupBy("bucket").applyInArrow(neighbours(buckets), "part int, dks binary, at binary")
+    by_bucket = listed.where("bucket is not null").select("bucket", "high", "low", "dks", "at").groupBy("bucket").applyInArrow(neighbours(buckets), "part int, dks binary, at binary")
     matched = listed.where("part is not null").select("part", "dks", "at").unionByName(by_bucket).groupBy("part").applyInArrow(found_by_document, "dk long, found binary")
     texts = known.join(matched, "dk")
     passages = scratch.write(texts.select("dk", "ord", "found", "text").mapInArrow(extended(buckets), PASSAGE_SCHEMA), "passages")
     scratch.drop("suffixes")
-    ranked = passages.where("bucket is not null").select("bucket", "keys", "ords", "dks", "at", "times").groupBy("bucket").applyInArrow(first_and_later(buckets), "part int, dks binary, at binary, first binary")
-    return passages.where("part is not null").select("part", "dks", "at", "first").unionByName(ranked).groupBy("part").applyInArrow(spans_by_document, SPANS)
+    ranked = passages.where("bucket is not null").select("bucket", "high", "low", "ords", "dks", "at", "several").groupBy("bucket").applyInArrow(first_and_later(buckets), "part int, dks binary, at binary, kind binary")
+    return passages.where("part is not null").select("part", "dks", "at", "kind").unionByName(ranked).groupBy("part").applyInArrow(spans_by_document, SPANS)
 
 
 def words_in(spans_column: str) -> Column:
@@ -260,9 +316,10 @@ def words_in(spans_column: str) -> Column:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, repeated_words, removed_words, repeated, removed: a row for each document with a passage of PASSAGE or more words that stands elsewhere too (or twice in it).
 
-    Spans count words from 0. Null and short texts have no passage; equal rows are one document
-    and give a row each; a null doc_id comes last in the order of occurrences; an empty table
-    gives no rows; other columns are not used.
+    Spans count words from 0. Null, empty and short texts have no passage; equal rows are one document
+    and give a row each; rows of one doc_id and unlike texts are documents of their own, in the order
+    of their hash; a null doc_id comes last in the order of occurrences; a very long text fills a
+    block of its own; an empty table gives no rows; other columns are not used.
     """
     found = repeated_spans(docs, Scratch(docs.sparkSession, "repeats"))
     keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"))
@@ -285,9 +342,11 @@ def cut_text(text: str, removed: list[dict]) -> str:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with each repeated passage left at its first occurrence only, with their columns.
+    """The documents with each repeated passage left at its first occurrence only, with all their columns.
 
-    n_chars, where there, is counted anew for changed texts. A document that had words and has none left goes.
+    n_chars, where there, is counted anew for changed texts. A document that had words and has none
+    left goes; null, empty and short texts stay. Equal rows are one document, so each keeps or loses
+    the same words; null ids come last in the order of occurrences. An empty table gives no rows.
     """
     found = repeated_spans(docs, Scratch(docs.sparkSession, "repeats")).where(F.size("removed") > 0).select("dk", "removed")
     keyed = docs.select(packed(docs).alias("row"), F.xxhash64("doc_id", "text").alias("_dk"))

@@ -174,26 +174,61 @@ def test_large_groups_of_one_prefix(spark):
 
 
 def plain_repeats(corpus):
-    places, first, later = defaultdict(list), defaultdict(set), defaultdict(set)
+    """Document: places of repeated words, and of those to remove."""
+    places = defaultdict(list)
+    first, again, elsewhere = defaultdict(set), defaultdict(set), defaultdict(set)
     for i, t in sorted(corpus.items()):
         w = t.split()
         for k in range(len(w) - repeats.PASSAGE + 1):
             places[tuple(w[k : k + repeats.PASSAGE])].append((i, k))
     for found in places.values():
         for n, (i, k) in enumerate(found if len(found) > 1 else []):
-            (later if n else first)[i].update(range(k, k + repeats.PASSAGE))
-    return {i: (len(first[i] | later[i]), len(later[i] - first[i])) for i in {*first, *later}}
+            (first if n == 0 else again if i == found[0][0] else elsewhere)[i].update(range(k, k + repeats.PASSAGE))
+    return {i: (first[i] | again[i] | elsewhere[i], elsewhere[i] | (again[i] - first[i])) for i in {*first, *again, *elsewhere}}
 
 
-def test_repeats(docs, corpus):
-    found = {r.doc_id: (r.repeated_words, r.removed_words) for r in repeats.repeated_passages(docs).collect()}
-    assert found == plain_repeats(corpus)
+def places_of(spans):
+    return {k for x in spans for k in range(x.start, x.end)}
 
 
-def test_cut_texts(docs, corpus):
-    removed = {r.doc_id: {k for x in r.removed for k in range(x.start, x.end)} for r in repeats.repeated_passages(docs).collect()}
+@pytest.fixture(scope="module")
+def repeating(corpus):
+    """The corpus, and near copies that share a passage of an earlier document with their own words around it, and repeats within documents."""
+    rng = random.Random(15)
+    passage = next(t for t in corpus.values() if len(t.split()) == 55)
+    around = [f"{text(rng, 60)} {passage} {text(rng, 60)}" for _ in range(3)]
+    twice = text(rng, 70)
+    more = [t for a in around for t in (a, edited(rng, a, 0.01), f"{text(rng, 9)} {a}")] + [f"{twice} {text(rng, 20)} {twice}", f"{twice} x {twice} {twice}", " ".join(["on and on"] * 60)]
+    return {**corpus, **{1000 + k: t for k, t in enumerate(more)}}
+
+
+@pytest.mark.parametrize("block", [250_000, 300])
+def test_repeats(spark, repeating, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    docs = spark.createDataFrame(list(repeating.items()), "doc_id long, text string").repartition(5)
+    found = repeats.repeated_passages(docs).collect()
+    assert {r.doc_id: (places_of(r.repeated), places_of(r.removed)) for r in found} == plain_repeats(repeating)
+    assert all((r.repeated_words, r.removed_words) == (len(places_of(r.repeated)), len(places_of(r.removed))) for r in found)
+
+
+def test_repeated_rows_are_one_document(spark, repeating):
+    some = dict(list(repeating.items())[:40]) | {1000 + k: repeating[1000 + k] for k in range(12)}
+    rows = [*some.items(), *list(some.items())[::2], (3000, None), (3000, None), (None, repeating[1000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    wanted = plain_repeats({**some, 10**9: repeating[1000]})
+    found = [(r.doc_id, places_of(r.repeated), places_of(r.removed)) for r in repeats.repeated_passages(docs).collect()]
+    times = Counter(i for i, _ in rows)
+    assert Counter(i for i, _, _ in found) == Counter({(None if i == 10**9 else i): times.get(None if i == 10**9 else i) for i in wanted})
+    assert all(wanted[10**9 if i is None else i] == (a, b) for i, a, b in found)
+    alone = spark.createDataFrame([(1, repeating[1009]), (1, repeating[1009]), (2, text(random.Random(1), 60)), (2, text(random.Random(1), 60))], "doc_id long, text string")
+    assert {r.doc_id for r in repeats.repeated_passages(alone).collect()} == {1}  # repeats within itself; document 2 doesn't
+
+
+def test_cut_texts(spark, repeating):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in repeating.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    removed = {i: gone for i, (_, gone) in plain_repeats(repeating).items()}
     left = repeats.without_repeats(docs).collect()
-    wanted = {i: [w for k, w in enumerate(t.split()) if k not in removed.get(i, ())] for i, t in corpus.items()}
+    wanted = {i: [w for k, w in enumerate(t.split()) if k not in removed.get(i, ())] for i, t in repeating.items()}
     assert {r.doc_id: r.text.split() for r in left} == {i: w for i, w in wanted.items() if w}
     assert all(len(r.text) == r.n_chars for r in left)
 
