@@ -21,7 +21,7 @@ GRAM, SPREAD = 8, 20
 #: Any PASSAGE words hold such a position with so many of them from it on: SPREAD - 1 before it at most.
 PREFIX = PASSAGE - (SPREAD - 1)
 #: A suffix is compared by codes of so many runs of words, one after another.
-CODES = 4
+CODES = 3
 #: Records that a task sorts at a time before it deals them out.
 BLOCK = 250_000
 NO_ID = 2**63 - 1
@@ -37,10 +37,10 @@ def kept_positions(hashes: np.ndarray) -> np.ndarray:
 
 
 def codes(hashes: np.ndarray, at: np.ndarray, words_: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words_ words from each place on as CODES codes of 32 bits, for runs of words one after another, in two 64-bit numbers.
+    """The words_ words from each place on as CODES codes of 32 bits, for runs of words one after another, in a 64-bit and a 32-bit number.
 
     In the order of (high, low) suffixes are sorted by their first words, then by further ones; two
-    neighbours have as many runs in common as codes. Equal suffixes agree in 128 bits. Runs use
+    neighbours have as many runs in common as codes. Equal suffixes agree in 96 bits. Runs use
     their own multiplier each, so that no two codes come from one hash.
     """
     ends = [words_ * k // CODES for k in range(CODES + 1)]
@@ -48,8 +48,7 @@ def codes(hashes: np.ndarray, at: np.ndarray, words_: int) -> tuple[np.ndarray,
     for k in range(CODES):
         step = window_hashes(hashes, ends[k + 1] - ends[k], OTHER_MULTIPLIER + 2 * k)
         parts.append(step[at + ends[k]] >> np.uint64(32))
-    high, low = (parts[0] << np.uint64(32)) | parts[1], (parts[2] << np.uint64(32)) | parts[3]
-    return high, low
+    return (parts[0] << np.uint64(32)) | parts[1], parts[2].astype("<u4")
 
 
 def same_as_before(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -138,7 +137,7 @@ def joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
 def neighbours(parts: int):
     """A bucket's suffixes, sorted; those that have their first PREFIX words in common with a neighbour are found and dealt by document."""
     def run(table: pa.Table) -> pa.Table:
-        high, low, dks, at = (joined(table, c, t) for c, t in (("high", "<u8"), ("low", "<u8"), ("dks", "<i8"), ("at", "<u4")))
+        high, low, dks, at = (joined(table, c, t) for c, t in (("high", "<u8"), ("low", "<u4"), ("dks", "<i8"), ("at", "<u4")))
         order = np.lexsort((low, high))
         equal = same_as_before(high[order], low[order])
         twice = order[equal | np.append(equal[1:], False)] if len(order) else order
@@ -210,7 +209,7 @@ def extended(buckets: int):
 def first_and_later(parts: int):
     """A bucket's stretches that stand in two places or more, dealt by document with their kinds: the first is by doc_id and place."""
     def run(table: pa.Table) -> pa.Table:
-        high, low, ords, dks, at, several = (joined(table, c, t) for c, t in (("high", "<u8"), ("low", "<u8"), ("ords", "<i8"), ("dks", "<i8"), ("at", "<u4"), ("several", "?")))
+        high, low, ords, dks, at, several = (joined(table, c, t) for c, t in (("high", "<u8"), ("low", "<u4"), ("ords", "<i8"), ("dks", "<i8"), ("at", "<u4"), ("several", "?")))
         order = np.lexsort((at, dks, ords, low, high))
         high, low, dks, at, several = high[order], low[order], dks[order], at[order], several[order]
         # A row that repeats in another block is the same document; whether others have a stretch is kept.
@@ -299,14 +298,19 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     small_batches(spark)
     known = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 4000))
+    # Each table goes as soon as the next one is written.
     listed = scratch.write(known.select("dk", "text").mapInArrow(suffixes(buckets), SUFFIX_SCHEMA), "suffixes")
     by_bucket = listed.where("bucket is not null").select("bucket", "high", "low", "dks", "at").groupBy("bucket").applyInArrow(neighbours(buckets), "part int, dks binary, at binary")
-    matched = listed.where("part is not null").select("part", "dks", "at").unionByName(by_bucket).groupBy("part").applyInArrow(found_by_document, "dk long, found binary")
+    matched = scratch.write(listed.where("part is not null").select("part", "dks", "at").unionByName(by_bucket).groupBy("part").applyInArrow(found_by_document, "dk long, found binary"), "matched")
+    scratch.drop("suffixes")
     texts = known.join(matched, "dk")
     passages = scratch.write(texts.select("dk", "ord", "found", "text").mapInArrow(extended(buckets), PASSAGE_SCHEMA), "passages")
-    scratch.drop("suffixes")
+    scratch.drop("matched")
     ranked = passages.where("bucket is not null").select("bucket", "high", "low", "ords", "dks", "at", "several").groupBy("bucket").applyInArrow(first_and_later(buckets), "part int, dks binary, at binary, kind binary")
-    return passages.where("part is not null").select("part", "dks", "at", "kind").unionByName(ranked).groupBy("part").applyInArrow(spans_by_document, SPANS)
+    marks = passages.where("part is not null").select("part", "dks", "at", "kind").unionByName(ranked)
+    spans = scratch.write(marks.groupBy("part").applyInArrow(spans_by_document, SPANS), "spans")
+    scratch.drop("passages")
+    return spans
 
 
 def words_in(spans_column: str) -> Column:
