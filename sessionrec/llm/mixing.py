@@ -115,14 +115,15 @@ def copies(docs: DataFrame, scratch: Scratch, source: str = "source", seed: int
     sizes = scratch.write(with_tie(docs.select(*columns), F.col("row")), "sizes")
     targets = scratch.write(source_targets(sizes), "targets")
     salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # A document without words has no share: taking it would take nothing.
+    share = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sizes.withColumn("_salt", F.pmod(F.xxhash64("row", "tie"), F.lit(SALTS)).cast("int")).alias("d").join(
         salted.alias("t"), F.col("d._source").eqNullSafe(F.col("t._source")) & (F.col("d._salt") == F.col("t._salt")),
     )
     rows = rows.select(
         "sid", F.pmod(F.xxhash64("row", "tie", F.lit(seed)), F.ceil(F.col("docs") / GROUP)).alias("part"), "d.doc_id", "row", "tie", "size",
         F.floor(share).cast("long").alias("whole"), (share - F.floor(share)).alias("p"), uniform(F.col("row"), F.col("tie"), F.lit(seed + 1)).alias("u"), F.col("docs"),
-    ).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(F.lit(0.0)))
+    )
     levels, most = 1, -(-(targets.agg(F.max("docs")).first()[0] or 1) // GROUP)
     while most > 1:
         levels, most = levels + 1, -(-most // FAN_IN)
