@@ -29,11 +29,11 @@ class Ids(dict):
     other signs, white space) and no merge crosses pieces, so a piece's ids are those that the
     library gives for the piece alone. Pieces repeat, so their ids are kept, up to LIMIT of them.
     The pieces are cut here for texts of code points below U+0250, where the pattern's classes are
-    listed in full (tests hold them against the library for each code point). A text with any other
-    code point or a special token's string goes to the library whole.
+    listed in full (tests hold them against the library for each code point), and go to the library's
+    model. A text with any other code point or a special token's string goes to the library whole.
     """
 
-    LIMIT, LONGEST = 300_000, 48
+    LIMIT, LONGEST = 800_000, 48
     #: The letters, digits and white space below U+0250.
     _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
     _N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -51,12 +51,17 @@ class Ids(dict):
         # Other tokenizers than byte-level ones get all texts whole.
         self.whole = re.compile("|".join(["[^\\x00-\\u024f]", *special]) if plain else "")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # The model takes bytes as characters: printable ones stand for themselves, the others for code points from 256 on.
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.characters = {b: chr(b) if b in printable else chr(256 + sum(x not in printable for x in range(b))) for b in range(256)}
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoded(piece)
+        as_bytes = piece.encode().decode("latin1").translate(self.characters)
+        ids = np.array([token.id for token in self.model.tokenize(as_bytes)], dtype="<u4").tobytes()
         if len(piece) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -69,6 +74,17 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, self.PIECE.findall(text)))
 
 
+_IDS: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The ids of a vocabulary file, kept for the tasks that a worker runs one after another."""
+    if path not in _IDS:
+        _IDS.clear()
+        _IDS[path] = Ids(path)
+    return _IDS[path]
+
+
 CUT_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long, rank long, ids binary"
 
 
@@ -78,7 +94,7 @@ def cut_documents(path: str, window: int = WINDOW):
     task and number tell pieces apart; rank counts the tails of a length in this task.
     """
     def run(batches: Iterator) -> Iterator:
-        ids, task, number, seen = Ids(path), TaskContext.get().partitionId(), 0, np.zeros(window, dtype=np.int64)
+        ids, task, number, seen = ids_of(path), TaskContext.get().partitionId(), 0, np.zeros(window, dtype=np.int64)
         for batch, texts in texts_of(batches):
             rows: list[tuple] = []
             docs = batch.column("doc_id").to_pylist()
