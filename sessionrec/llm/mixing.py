@@ -169,7 +169,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     found = scratch.write(found.where("copies > 0").select(F.col("row").alias("_row"), "tie", "copies"), "wanted")
     keyed = docs.select(packed(docs).alias("doc"), row_key("source").alias("row"))
     # Texts are dealt once, by their key; only rows that repeat need a number.
-    out = keyed.join(found.join(repeated, "_row", "left_anti"), F.col("row") == F.col("_row")).select("doc", "copies")
+    wanted = found.join(repeated, "_row", "left_anti").hint("merge")  # grows with the documents: not broadcast at any size
+    out = keyed.join(wanted, F.col("row") == F.col("_row")).select("doc", "copies")
     if not repeated.isEmpty():
         several = with_tie(keyed.join(repeated, F.col("row") == F.col("_row"), "left_semi"), F.xxhash64("doc"))
         wanted = found.select("_row", F.col("tie").alias("_tie"), "copies")

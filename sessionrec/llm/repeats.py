@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     by_bucket = listed.where("bucket is not null").select("bucket", "high", "low", "dks", "at").groupBy("bucket").applyInArrow(neighbours(buckets), "part int, dks binary, at binary")
     matched = scratch.write(listed.where("part is not null").select("part", "dks", "at").unionByName(by_bucket).groupBy("part").applyInArrow(found_by_document, "dk long, found binary"), "matched")
     scratch.drop("suffixes")
-    texts = known.join(matched, "dk")
+    texts = known.join(matched.hint("merge"), "dk")  # grows with the documents: not broadcast at any size
     passages = scratch.write(texts.select("dk", "ord", "found", "text").mapInArrow(extended(buckets), PASSAGE_SCHEMA), "passages")
     scratch.drop("matched")
     ranked = passages.where("bucket is not null").select("bucket", "high", "low", "ords", "dks", "at", "several").groupBy("bucket").applyInArrow(first_and_later(buckets), "part int, dks binary, at binary, kind binary")
