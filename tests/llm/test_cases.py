@@ -41,6 +41,8 @@ def test_odd_rows(docs, labels, name):
     found = OPERATORS[name](docs, labels).collect()
     if name in ONE_ROW_EACH:
         assert sorted(str(r.doc_id) for r in found) == sorted(str(t[0]) for t in TEXTS)
+    if name in ("repeats", "licenses"):
+        assert found == []  # no passage of 50 words is there twice, no notice either
     if name == "packing":
         assert {str(r.doc_id) for r in found} == {str(t[0]) for t in TEXTS}
         assert sum(r.length for r in found if r.doc_id == 1) == 1
@@ -67,6 +69,12 @@ def test_stages_keep_columns(docs, labels, name):
     assert STAGES[name](docs.limit(0), labels).count() == 0
 
 
+def test_packing_stage(spark, docs):
+    found = corpus_pipeline.packing(spark, docs, None).collect()
+    assert {str(r.doc_id) for r in found} == {str(t[0]) for t in TEXTS}
+    assert corpus_pipeline.packing(spark, docs.limit(0), None).count() == 0
+
+
 def test_chat_cases(spark):
     schema = "conv_id long, turn int, role string, text string, h int"
     rows = [(1, 0, "user", "hi", 1), (1, 1, "assistant", None, 1), (2, 0, "user", "hi", 1), (3, 0, "user", "hi", 1), (3, 1, "assistant", None, 1), (3, 2, None, "<|im_end|>", 1), (4, 5, "user", "hi", 1), (4, 5, "user", "hi", 1), (5, None, "user", "x", 1)]
