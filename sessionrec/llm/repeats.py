@@ -354,7 +354,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     found = repeated_spans(docs, Scratch(docs.sparkSession, "repeats")).where(F.size("removed") > 0).select("dk", "removed")
     keyed = docs.select(packed(docs).alias("row"), F.xxhash64("doc_id", "text").alias("_dk"))
-    kept = keyed.join(found, F.col("_dk") == F.col("dk"), "left")
+    kept = keyed.join(found.hint("merge"), F.col("_dk") == F.col("dk"), "left")  # as above
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
