@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -197,7 +197,21 @@ def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-def texts_of(batches: Iterator, column: str = "text") -> Iterator:
-    """Arrow batches with the texts as Python strings."""
+#: What a Python worker holds for its next tasks, by key.
+_HELD: dict = {}
+
+
+def held_by_worker(key: str, make: Callable):
+    """What make() gives, held for the tasks that a worker runs one after another, until one reads texts without this key."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def texts_of(batches: Iterator, column: str = "text", key: str | None = None) -> Iterator:
+    """Arrow batches with the texts as Python strings. What earlier tasks left in the worker goes, but for the key's."""
+    if key not in _HELD:
+        _HELD.clear()
     for batch in batches:
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()

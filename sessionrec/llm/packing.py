@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionrec.llm.common import Scratch, read_documents, small_batches, texts_of
+from sessionrec.llm.common import Scratch, held_by_worker, read_documents, small_batches, texts_of
 
 WINDOW = 1024
 #: Longest combination of lengths that the solver considers.
@@ -74,17 +74,6 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, self.PIECE.findall(text)))
 
 
-_IDS: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    """The ids of a vocabulary file, kept for the tasks that a worker runs one after another."""
-    if path not in _IDS:
-        _IDS.clear()
-        _IDS[path] = Ids(path)
-    return _IDS[path]
-
-
 CUT_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long, rank long, ids binary"
 
 
@@ -94,8 +83,8 @@ def cut_documents(path: str, window: int = WINDOW):
     task and number tell pieces apart; rank counts the tails of a length in this task.
     """
     def run(batches: Iterator) -> Iterator:
-        ids, task, number, seen = ids_of(path), TaskContext.get().partitionId(), 0, np.zeros(window, dtype=np.int64)
-        for batch, texts in texts_of(batches):
+        ids, task, number, seen = held_by_worker(path, lambda: Ids(path)), TaskContext.get().partitionId(), 0, np.zeros(window, dtype=np.int64)
+        for batch, texts in texts_of(batches, key=path):
             rows: list[tuple] = []
             docs = batch.column("doc_id").to_pylist()
             for doc, text in zip(docs, texts):
