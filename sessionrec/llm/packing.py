@@ -31,6 +31,7 @@ class Ids(dict):
     The pieces are cut here for texts of code points below U+0250, where the pattern's classes are
     listed in full (tests hold them against the library for each code point), and go to the library's
     model. A text with any other code point or a special token's string goes to the library whole.
+    special: whether such strings count as special tokens; else they are plain text.
     """
 
     LIMIT, LONGEST = 800_000, 48
@@ -40,17 +41,18 @@ class Ids(dict):
     _S = r"\t-\r \x85\xa0"
     PIECE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
         plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer")
-        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        strings = [re.escape(t["content"]) for t in spec["added_tokens"]] if special else []
         # Other tokenizers than byte-level ones get all texts whole.
-        self.whole = re.compile("|".join(["[^\\x00-\\u024f]", *special]) if plain else "")
+        self.whole = re.compile("|".join(["[^\\x00-\\u024f]", *strings]) if plain else "")
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
         # The model takes bytes as characters: printable ones stand for themselves, the others for code points from 256 on.
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "fingerprints", "toxicity", "mixing", "jaccard", "sharding", "repeats", "chat", "licenses", "quality")
+_MODULES = ("packing", "fingerprints", "toxicity", "mixing", "jaccard", "sharding", "repeats", "chat", "licenses", "quality", "token_counts", "alignment", "filter_audit")
 
 
 def queries() -> dict:
