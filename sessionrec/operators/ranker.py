@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionrec.functions.weights import hash_draw
+from sessionrec.operators.boosting import BoostedTrees, Settings, train_boosted_trees
 from sessionrec.operators.sampling import hash_sample, session_holdout
 from sessionrec.operators.windows import prune_topk
 from sessionrec.schema import HASH_RANGE
-from sessionrec.sources.events import with_checkpoints
 
 # The features of the click ranker beside the time since the last event on the item.
 BASE_FEATURES = (
     "candidate_score", "candidate_rank", "local_interaction_count", "local_click_count", "local_cart_count", "local_order_count", "is_repeated_item", "graph_weight_sum", "graph_weight_max",
     "graph_source_count", "graph_w_click_to_click", "graph_w_cart_order_to_cart_order", "graph_w_click_to_cart_order", "graph_weight_total", "dominant_graph_source",
 )
-#: The learner takes no missing values, so the null variant is a flag and a filled value.
-DELTA_T = {"nan": ("delta_t_known", "delta_t_filled"), "filled": ("delta_t_filled",)}
+#: The column with the time since the last event on the item: unknown ones are missing, or a filled value.
+DELTA_T = {"nan": "delta_t_nan", "filled": "delta_t_filled"}
 
 
-def ranker_frame(rows: DataFrame, target: str, variant: str = "filled") -> DataFrame:
-    rows = rows.withColumn("delta_t_known", F.col("delta_t_nan").isNotNull().cast("int"))
-    return rows.select("session", "aid", target, *[F.col(c).cast("double").alias(c) for c in (*BASE_FEATURES, *DELTA_T[variant])])
+def feature_names(variant: str) -> tuple[str, ...]:
+    return (*BASE_FEATURES, DELTA_T[variant])
 
 
-def ranker_training_frame(rows: DataFrame, target: str, variant: str = "filled", mod: int = 10, rem: int = 0, session_fraction: float = 1.0, max_rows: int = 0, seed: int = 42) -> DataFrame:
+def ranker_frame(rows: DataFrame, target: str, *variants: str) -> DataFrame:
+    """Keys, target and the features of the variants (none named: of all)."""
+    return rows.select("session", "aid", target, *[F.col(c).cast("double").alias(c) for c in (*BASE_FEATURES, *(DELTA_T[v] for v in variants or DELTA_T))])
+
+
+def ranker_training_frame(rows: DataFrame, target: str, *variants: str, mod: int = 10, rem: int = 0, session_fraction: float = 1.0, max_rows: int = 0, seed: int = 42) -> DataFrame:
     """Rows of the sessions that are not held out, or of a hash share of those: session_fraction, or the share that gives about max_rows (0: no limit)."""
     train, _ = session_holdout(rows, mod, rem)
     if session_fraction < 1.0:
@@ -40,60 +40,58 @@ def ranker_training_frame(rows: DataFrame, target: str, variant: str = "filled",
         share = F.least(F.lit(1.0), F.lit(float(max_rows)) / F.greatest(F.count(F.lit(1)), F.lit(1)))
         limit = train.agg(F.floor(share * HASH_RANGE).alias("_limit"))  # one row
         train = train.crossJoin(F.broadcast(limit)).where(hash_draw(F.col("session"), seed=seed) < F.col("_limit")).drop("_limit")
-    return ranker_frame(train, target, variant)
-
-
-def _features(variant: str) -> VectorAssembler:
-    return VectorAssembler(inputCols=[*BASE_FEATURES, *DELTA_T[variant]], outputCol="features")
-
+    return ranker_frame(train, target, *variants)
 
-#: Rows of the training frame to a partition: each round is a few short jobs, so partitions should not be many and small.
-PARTITION_ROWS = 200_000
 
+def train_click_ranker(frame: DataFrame, target: str, variant: str = "filled", settings: Settings = Settings()) -> BoostedTrees:
+    """Boosted trees on the variant's features; where the time since the last event is missing, each split learns which way such rows go."""
+    return train_boosted_trees(frame, target, feature_names(variant), ("session", "aid"), settings)
 
-def train_click_ranker(frame: DataFrame, target: str, variant: str = "filled", rounds: int = 250, depth: int = 6, step: float = 0.05, least: int = 100, seed: int = 42) -> GBTClassificationModel:
-    """Boosted trees by Spark ML, which trains on all executors: trees of 64 leaves at most, each of `least` rows or more.
 
-    Every tenth round is written to the checkpoint folder, so lineage stays short.
-    """
-    with_checkpoints(frame.sparkSession)
-    learner = GBTClassifier(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="0.9", minInstancesPerNode=least, checkpointInterval=10, seed=seed)
-    frame = frame.select(target, *BASE_FEATURES, *DELTA_T[variant]).repartition(max(1, -(-frame.count() // PARTITION_ROWS)))
-    return learner.fit(_features(variant).transform(frame.withColumn(target, F.col(target).cast("double"))))
-
-
-def feature_importance(model: GBTClassificationModel, spark, variant: str = "filled") -> DataFrame:
+def feature_importance(model: BoostedTrees, spark: SparkSession) -> DataFrame:
     """feature, gain (shares that add up to 1) and splits (how many nodes of all trees split by it)."""
-    names = (*BASE_FEATURES, *DELTA_T[variant])
-    splits = Counter(int(k) for tree in model.trees for k in re.findall(r"If \(feature (\d+)", tree.toDebugString))
-    return spark.createDataFrame([(n, float(v), splits[k]) for k, (n, v) in enumerate(zip(names, model.featureImportances.toArray()))], "feature string, gain double, splits long")
+    gains, splits = Counter(), Counter()
+    for tree in model.trees:
+        for f, gain in zip(tree.feature, tree.gain):
+            if f >= 0:
+                gains[f] += gain
+                splits[f] += 1
+    total = sum(gains.values()) or 1.0
+    return spark.createDataFrame([(n, gains[k] / total, splits[k]) for k, n in enumerate(model.features)], "feature string, gain double, splits long")
 
 
-def train_and_save(training: DataFrame, held: DataFrame, target: str, path: str, variant: str = "filled", **options) -> tuple[GBTClassificationModel, DataFrame, DataFrame]:
+def train_and_save(training: DataFrame, held: DataFrame, target: str, path: str, variant: str = "filled", settings: Settings = Settings()) -> tuple[BoostedTrees, DataFrame, DataFrame]:
     """Trains, and writes model, importance (csv) and figures (json) below the path; the three as reread.
 
     Figures are one row: rows, positives and negatives of the training frame, and ranked_hit_recall() on the held-out rows.
     """
     spark = training.sparkSession
-    train_click_ranker(training, target, variant, **options).write().save(f"{path}/model")
-    model = GBTClassificationModel.load(f"{path}/model")
-    importance = feature_importance(model, spark, variant)
+    train_click_ranker(training, target, variant, settings).save(spark, f"{path}/model")
+    model = BoostedTrees.load(spark, f"{path}/model")
+    importance = feature_importance(model, spark)
     importance.orderBy(F.desc("gain")).coalesce(1).write.option("header", True).csv(f"{path}/importance")
-    scored = scored_rows(model, held, target, variant)
+    scored = scored_rows(model, held, target)
     known = training.agg(F.count(F.lit(1)).alias("train_rows"), F.count_if(F.col(target) == 1).alias("train_positive_rows"), F.count_if(F.col(target) != 1).alias("train_negative_rows"))
     found = ranked_hit_recall(scored, target, "score").withColumnsRenamed({"rows": "eval_rows", "sessions": "eval_sessions", "positives": "eval_positive_rows", "top_rows": "top20_rows", "hits": "top20_hits", "recall": "recall_at_20"})
     figures = known.crossJoin(F.broadcast(found)).withColumn("model_path", F.lit(f"{path}/model")).withColumn("importance_path", F.lit(f"{path}/importance"))
     figures.coalesce(1).write.json(f"{path}/metrics")
-    return model, spark.read.schema(importance.schema).option("header", True).csv(f"{path}/importance"), spark.read.schema(figures.schema).json(f"{path}/metrics").drop("model_path", "importance_path")
+    return (model, *saved_reports(spark, path))
+
+
+def saved_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(importance, figures) as train_and_save() wrote them."""
+    counts = ("train_rows", "train_positive_rows", "train_negative_rows", "eval_rows", "eval_sessions", "eval_positive_rows", "top20_rows", "top20_hits")
+    figures = spark.read.schema(", ".join(f"{c} long" for c in counts) + ", recall_at_20 double").json(f"{path}/metrics")
+    return spark.read.schema("feature string, gain double, splits long").option("header", True).csv(f"{path}/importance"), figures
 
 
-def scored_rows(model: GBTClassificationModel, rows: DataFrame, target: str, variant: str = "filled") -> DataFrame:
-    return model.transform(_features(variant).transform(rows)).select("session", "aid", target, vector_to_array("probability")[1].alias("score"))
+def scored_rows(model: BoostedTrees, rows: DataFrame, target: str) -> DataFrame:
+    return rows.select("session", "aid", target, model.score().alias("score"))
 
 
-def score_and_rank(model: GBTClassificationModel, rows: DataFrame, target: str, variant: str = "filled", topk: int = 20) -> DataFrame:
+def score_and_rank(model: BoostedTrees, rows: DataFrame, target: str, topk: int = 20) -> DataFrame:
     """The best topk rows of each whole session by the model's score."""
-    return prune_topk(scored_rows(model, rows, target, variant), ["session"], "score", topk, ["aid"])
+    return prune_topk(scored_rows(model, rows, target), ["session"], "score", topk, ["aid"])
 
 
 def ranked_hit_recall(rows: DataFrame, target: str, score: str = "candidate_score", topk: int = 20) -> DataFrame:

@@ -18,6 +18,7 @@ from sessionrec.operators import sampling as S
 from sessionrec.operators import splits
 from sessionrec.operators import submission as sub
 from sessionrec.operators import windows as win
+from sessionrec.operators.boosting import BoostedTrees
 from sessionrec.sources import events as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -569,30 +570,43 @@ def hard_negative_report(spark, sf):
 
 @query
 def ranker_training_frame(spark, sf):
-    out = R.ranker_training_frame(labelled(spark, sf), "target_click", "nan")
-    return out.select("session", "aid", "target_click", "delta_t_known", "delta_t_filled", *r6("candidate_score", "graph_weight_total"))
+    out = R.ranker_training_frame(labelled(spark, sf), "target_click")
+    return out.withColumn("delta_t_known", F.col("delta_t_nan").isNotNull().cast("double")).select("session", "aid", "target_click", "delta_t_known", "delta_t_filled", *r6("candidate_score", "graph_weight_total"))
 
 
-def _models(spark, sf) -> dict[str, tuple]:
-    """For each delta_t variant: the saved and reread model, its importance and its figures on the held-out sessions, and those sessions' rows."""
-    rows = labelled(spark, sf)
-    training = src.staged(S.downsample_negatives(R.ranker_training_frame(rows, "target_click", "nan"), "target_click"), "training")
-    held = R.ranker_frame(S.session_holdout(rows)[1], "target_click", "nan")
-    return {v: (*R.train_and_save(training, held, "target_click", src.scratch_path(spark, f"ranker-{v}"), v), held) for v in R.DELTA_T}
+#: Where the models of an application and its tables are, by delta_t variant, and the held-out rows.
+_TRAINED: dict[tuple[str, str], tuple[dict[str, str], DataFrame]] = {}
+
+
+def _models(spark, sf) -> tuple[dict[str, str], DataFrame]:
+    """For each delta_t variant the place of a saved model with its reports, and the held-out sessions' rows. They are trained once for an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED or not all(src.is_scratch(spark, path) for path in _TRAINED[key][0].values()):
+        rows = labelled(spark, sf)
+        training = src.staged(S.downsample_negatives(R.ranker_training_frame(rows, "target_click"), "target_click"), "training")
+        held = src.staged(R.ranker_frame(S.session_holdout(rows)[1], "target_click"), "held")
+        paths = {v: src.scratch_path(spark, f"ranker-{v}") for v in R.DELTA_T}
+        for v, path in paths.items():
+            R.train_and_save(training, held, "target_click", path, v)
+        _TRAINED[key] = paths, held
+    return _TRAINED[key]
 
 
 @query
 def train_click_ranker(spark, sf):
     """Gains and splits of the features of each variant's model, and how the model fares on held-out sessions."""
-    parts = [importance.crossJoin(F.broadcast(figures)).withColumn("variant", F.lit(v)) for v, (_, importance, figures, _) in _models(spark, sf).items()]
+    parts = []
+    for v, path in _models(spark, sf)[0].items():
+        importance, figures = R.saved_reports(spark, path)
+        parts.append(importance.crossJoin(F.broadcast(figures)).withColumn("variant", F.lit(v)))
     return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def score_and_rank(spark, sf):
     """The best rows of each held-out session by the model of each delta_t variant."""
-    best = [R.score_and_rank(model, held, "target_click", v).withColumn("variant", F.lit(v)) for v, (model, _, _, held) in _models(spark, sf).items()]
-    return reduce(DataFrame.unionByName, best)
+    paths, held = _models(spark, sf)
+    return reduce(DataFrame.unionByName, (R.score_and_rank(BoostedTrees.load(spark, f"{path}/model"), held, "target_click").withColumn("variant", F.lit(v)) for v, path in paths.items()))
 
 
 @query

@@ -115,6 +115,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _made: dict[str, list[str]] = {}
 
 
+def is_scratch(spark: SparkSession, path: str) -> bool:
+    """Whether this application got the place from scratch_path() and has not cleared it."""
+    return path in _made.get(spark.sparkContext.applicationId, [])
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what this application wrote to scratch_path(): for when results are written or collected, as lazy ones read it."""
     for path in _made.pop(spark.sparkContext.applicationId, []):

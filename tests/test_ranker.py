@@ -5,11 +5,11 @@ import math
 import random
 
 import pytest
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import functions as F
 
 from sessionrec.functions import weights as W
 from sessionrec.operators import ranker, sampling
+from sessionrec.operators.boosting import BoostedTrees, Settings
 from sessionrec.sources import events as src
 
 
@@ -32,15 +32,15 @@ def test_train_save_and_score(spark, frame, variant):
     training = ranker.ranker_training_frame(frame, "target_click", variant)
     held = ranker.ranker_frame(sampling.session_holdout(frame)[1], "target_click", variant)
     path = src.scratch_path(spark, f"ranker-test-{variant}")
-    model, importance, figures = ranker.train_and_save(training, held, "target_click", path, variant, rounds=5, depth=3, least=5)
+    model, importance, figures = ranker.train_and_save(training, held, "target_click", path, variant, Settings(rounds=5, leaves=8, least=5))
     best = importance.orderBy(F.desc("gain")).first()
-    assert (best.feature, importance.count()) == ("candidate_score", len(ranker.BASE_FEATURES) + len(ranker.DELTA_T[variant]))
+    assert (best.feature, importance.count()) == ("candidate_score", len(ranker.BASE_FEATURES) + 1)
     assert best.splits > 0 and importance.agg(F.sum("gain")).first()[0] == pytest.approx(1)
     f = figures.first()
     assert (f.train_rows, f.eval_sessions, f.eval_rows) == (54 * 25, 6, 150) and f.train_positive_rows + f.train_negative_rows == f.train_rows
     assert f.recall_at_20 == 1.0  # 25 candidates: the best 20 hold all the positives
-    ranked = ranker.score_and_rank(model, held, "target_click", variant, topk=3).collect()
-    again = ranker.score_and_rank(GBTClassificationModel.load(f"{path}/model"), held, "target_click", variant, topk=3).collect()
+    ranked = ranker.score_and_rank(model, held, "target_click", topk=3).collect()
+    again = ranker.score_and_rank(BoostedTrees.load(spark, f"{path}/model"), held, "target_click", topk=3).collect()
     assert sorted(ranked) == sorted(again) and {(r.session, r["rank"]) for r in ranked} == {(s, k) for s in range(0, 60, 10) for k in (1, 2, 3)}
     assert spark.read.json(f"{path}/metrics").count() == 1
 

@@ -1,39 +1,38 @@
 import pytest
 
 from sessionrec.operators import ranker
+from sessionrec.operators.boosting import Settings
 from sessionrec.plans import queries
 
 SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture
-def learners(monkeypatch):
-    """Rounds that queries ask for; two rounds are trained."""
-    asked, real = [], ranker.GBTClassifier
+def asked(monkeypatch):
+    """Settings that queries ask for; two rounds are trained."""
+    found, real = [], ranker.train_boosted_trees
 
-    def learner(maxIter, **more):
-        asked.append(maxIter)
-        return real(maxIter=2, **more)
+    def train(frame, target, features, keys, settings):
+        found.append(settings)
+        return real(frame, target, features, keys, Settings(rounds=2))
 
-    monkeypatch.setattr(ranker, "GBTClassifier", learner)
-    return asked
+    monkeypatch.setattr(ranker, "train_boosted_trees", train)
+    monkeypatch.setattr(queries, "_TRAINED", {})
+    return found
 
 
-def test_each_variant_is_trained_in_full(spark, learners):
+def test_both_queries_share_models_trained_in_full(spark, asked):
     found = queries.QUERIES["train_click_ranker"](spark, SF).collect()
-    assert learners == [250, 250]
-    assert {v: {r.feature for r in found if r.variant == v} for v in ("nan", "filled")} == {v: {*ranker.BASE_FEATURES, *ranker.DELTA_T[v]} for v in ("nan", "filled")}
-
-
-def test_each_variant_ranks_whole_sessions(spark, learners):
-    found = queries.QUERIES["score_and_rank"](spark, SF).collect()
-    assert learners == [250, 250]
-    kept = {v: {(r.session, r["rank"]) for r in found if r.variant == v} for v in ("nan", "filled")}
-    assert kept["nan"] and kept["nan"] == kept["filled"] and len(found) == 2 * len(kept["nan"])
+    assert asked == [Settings(rounds=250, leaves=63, step=0.05, least=100, row_share=0.9, feature_share=0.9)] * 2
+    assert {v: {r.feature for r in found if r.variant == v} for v in ("nan", "filled")} == {v: set(ranker.feature_names(v)) for v in ("nan", "filled")}
+    ranked = queries.QUERIES["score_and_rank"](spark, SF).collect()
+    assert len(asked) == 2  # the saved models were read
+    kept = {v: {(r.session, r["rank"]) for r in ranked if r.variant == v} for v in ("nan", "filled")}
+    assert kept["nan"] and kept["nan"] == kept["filled"] and len(ranked) == 2 * len(kept["nan"])
 
 
 @pytest.mark.parametrize("name", ["downsample_negatives", "sample_hard_negatives", "train_click_ranker", "score_and_rank"])
-def test_samples_and_rankers_use_the_full_pool(spark, learners, monkeypatch, name):
+def test_samples_and_rankers_use_the_full_pool(spark, asked, monkeypatch, name):
     sizes, real = [], queries.ret.recommend_from_graphs
 
     def recommend(events, edges, topk, min_candidates, popular):
