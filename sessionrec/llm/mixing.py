@@ -14,6 +14,12 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 #: Documents of a first group, and groups that one group of the next level combines.
 GROUP, FAN_IN = 2048, 64
+#: A document is large if it holds one in LARGE of its source's words; a source has at most LARGE of those.
+LARGE = 4096
+#: Up to this share of its source's target, a document that the rest can't make up for is drawn all the same.
+NEAR = 0.01
+#: The last documents of a source without small ones, of which all subsets are looked at.
+LAST = 10
 #: Source rows are copied so often for the join back, so that a hot source meets so many tasks.
 SALTS = 32
 
@@ -78,14 +84,62 @@ def pivot(p: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
         if min(p[b], 1 - p[b]) < 1e-12:
             p[b] = round(p[b])
         held = a if 0.0 < p[a] < 1.0 else b if 0.0 < p[b] < 1.0 else -1
-    return np.array(p)
+    return np.array(p, dtype=float)
+
+
+def settled(sizes: np.ndarray, q: float, pool: float, u: np.ndarray) -> np.ndarray:
+    """Rounds the large documents of a source, by falling size, against the pool of all its smaller ones.
+
+    All documents of a source have the same probability q, and pool is their words, theirs included. A document and
+    the pool of all smaller ones are the pair that trades: the document gets 1 with probability q, else 0, and the pool's q takes
+    up its words, which moves all of its documents' probabilities alike and keeps every expectation. Where the
+    pool is too small for that either way, the two trade as in pivot() and the document may stay fractional, to be
+    drawn; but if it is more than NEAR of the target, it goes the one way that the pool can make up for. Where a
+    source has large documents only, the LAST of them are drawn together, from those of their subsets that are near what is left to take.
+    """
+    out, near = np.zeros(len(sizes)), NEAR * q * pool
+    last = max(0, len(sizes) - LAST) if sizes.sum() >= pool else len(sizes)
+    for i, w in enumerate(sizes.tolist()):
+        if i == last:
+            subsets = (np.arange(2 ** (len(sizes) - i))[:, None] >> np.arange(len(sizes) - i)) & 1
+            miss = np.abs(subsets @ sizes[i:] - q * pool)
+            fine = np.flatnonzero(miss <= max(miss.min(), min(near, miss.min() + sizes[-1])))
+            out[i:] = subsets[fine[int(u[i] * len(fine))]]
+            break
+        rest = pool - w
+        if q <= 0.0 or q >= 1.0:
+            out[i] = round(q)
+        else:
+            can_rise, can_fall = (1 - q) * w <= q * rest, q * w <= (1 - q) * rest
+            if can_rise != can_fall and w > near:
+                out[i] = float(can_rise)
+            elif can_rise and can_fall:
+                out[i] = float(u[i] < q)
+            else:
+                up, down = min(1 - q, q * rest / w), min(q, (1 - q) * rest / w)
+                limit = down / (up + down) if up + down > 0 else 0.0
+                moved, again = (q + up, u[i] / limit) if u[i] < limit else (q - down, (u[i] - limit) / (1 - limit))
+                after = (q * pool - moved * w) / rest if rest > 0 else 0.0
+                out[i], q, pool = float(again < moved), min(1.0, max(0.0, after)), rest
+                continue
+        q, pool = (min(1.0, max(0.0, (q * pool - out[i] * w) / rest)) if rest > 0 else 0.0), rest
+    return out
 
 
 TREE = "sid int, part long, doc_id long, row long, tie int, size long, whole long, p double, u double"
+BIG = TREE + ", source_size long"
+
+
+def large_rounded(table: pa.Table) -> pa.Table:
+    """The large documents of a source, LARGE at most, with 0 or 1 for p."""
+    size, u, row, tie = (table[c].to_numpy() for c in ("size", "u", "row", "tie"))
+    table = table.take(pa.array(np.lexsort((tie, row, u, -size))))
+    p = settled(table["size"].to_numpy().astype(float), table["p"][0].as_py(), float(table["source_size"][0].as_py()), table["u"].to_numpy())
+    return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
 
 def combined(table: pa.Table) -> pa.Table:
-    """A group after rounding. By falling size, a document trades with one of about its size, so the one that is left is small."""
+    """A group after rounding. By falling size, a document trades with one of about its size."""
     size, u, row, tie = (table[c].to_numpy() for c in ("size", "u", "row", "tie"))
     table = table.take(pa.array(np.lexsort((tie, row, u, -size))))
     p = pivot(table["p"].to_numpy(), table["size"].to_numpy().astype(float), table["u"].to_numpy())
@@ -106,10 +160,12 @@ def copies(docs: DataFrame, scratch: Scratch, source: str = "source", seed: int
     """(a row for each document with its copies, a row for each source with its target).
 
     A document of a source gets target / source_size copies on average: the whole part for sure,
-    and by pivotal rounding one more or none. Groups of about GROUP documents of a source, dealt
-    by hash, round in tasks of their own; each leaves one fractional document at most, and FAN_IN
-    of those go to a group of the next level, up to one group for each source. The last one there
-    is drawn. So a source takes its target to within one document, wherever its rows lie.
+    and by pivotal rounding one more or none. A source's large documents are settled first, each against the pool of all
+    smaller ones (settled()), so that what one of them takes too much or too little is spread over all of those.
+    Groups of about GROUP other documents of a source, dealt by hash, then round in tasks of their own; each leaves one
+    fractional document at most, and FAN_IN of those go to a group of the next level, up to one group for each source.
+    The last one there is drawn. So a source takes its target to within one document that is not large, wherever
+    its rows lie; a source of few documents, to within one of its smaller ones.
     """
     columns = ["doc_id", F.col(source).alias("_source"), word_count(F.col("text")).alias("size"), row_key(source).alias("row")]
     sizes = scratch.write(with_tie(docs.select(*columns), F.col("row")), "sizes")
@@ -122,12 +178,21 @@ def copies(docs: DataFrame, scratch: Scratch, source: str = "source", seed: int
     )
     rows = rows.select(
         "sid", F.pmod(F.xxhash64("row", "tie", F.lit(seed)), F.ceil(F.col("docs") / GROUP)).alias("part"), "d.doc_id", "row", "tie", "size",
-        F.floor(share).cast("long").alias("whole"), (share - F.floor(share)).alias("p"), uniform(F.col("row"), F.col("tie"), F.lit(seed + 1)).alias("u"), F.col("docs"),
+        F.floor(share).cast("long").alias("whole"), (share - F.floor(share)).alias("p"), uniform(F.col("row"), F.col("tie"), F.lit(seed + 1)).alias("u"), "source_size", F.col("d._salt").alias("_salt"),
     )
+    rows = scratch.write(rows, "rows")
+    is_large = (F.col("size") > 0) & (F.col("size") * LARGE >= F.col("source_size"))
+    large = scratch.write(rows.where(is_large).drop("_salt").groupBy("sid").applyInArrow(large_rounded, BIG), "large")
+    # What large documents took sets the probability of all others of their source.
+    took = large.groupBy("sid").agg(F.sum("size").alias("_large"), F.sum(F.col("size") * F.col("p")).alias("_took")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.where(~is_large).join(took, ["sid", "_salt"], "left")
+    left = (F.col("p") * F.col("source_size") - F.col("_took")) / (F.col("source_size") - F.col("_large"))
+    p = F.when(F.col("_took").isNull() | (F.col("size") == 0), F.col("p")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)))
+    rows = rows.withColumn("p", p).select(*[c.split()[0] for c in TREE.split(", ")])
     levels, most = 1, -(-(targets.agg(F.max("docs")).first()[0] or 1) // GROUP)
     while most > 1:
         levels, most = levels + 1, -(-most // FAN_IN)
-    found, rows = [], rows.drop("docs")
+    found = [large.drop("source_size")]
     for level in range(levels):
         rows = scratch.write(rows.groupBy("sid", "part").applyInArrow(combined, TREE), f"level{level}")
         fractional = (F.col("p") > 0) & (F.col("p") < 1)

@@ -335,9 +335,69 @@ def test_pivot_keeps_expectations():
     assert np.abs(draws.mean(axis=0) - p).max() < 0.05
 
 
+def settled_one_by_one(sizes, q, u):
+    """Every document's probability by itself: what one takes or leaves is shared out by size among all that follow."""
+    p = np.full(len(sizes), q)
+    for i, w in enumerate(sizes):
+        after = float(u[i] < p[i])
+        p[i + 1 :] += (p[i] - after) * w * sizes[i + 1 :] / sizes[i + 1 :].sum() / sizes[i + 1 :]
+        p[i] = after
+    return p
+
+
+def test_large_documents_trade_with_all_smaller_ones():
+    rng = np.random.default_rng(4)
+    sizes = np.sort(np.concatenate([[5000.0, 900.0, 800.0], rng.integers(1, 40, 1200).astype(float)]))[::-1]
+    large, draws = 3, []
+    for _ in range(400):
+        u = rng.random(len(sizes))
+        found, plain = mixing.settled(sizes[:large], 0.3, sizes.sum(), u[:large]), settled_one_by_one(sizes[: large + 1], 0.3, u[: large + 1])
+        assert found[0] == plain[0] and set(found) <= {0.0, 1.0}
+        draws.append(found)
+        left = (0.3 * sizes.sum() - (found * sizes[:large]).sum()) / sizes[large:].sum()
+        assert 0 <= left <= 1  # the rest can make up for all of it
+    for k, q in ((1, 0.3), (60, 0.5)):
+        explicit = np.concatenate([sizes[:k], np.full(3000, sizes[k:].sum() / 3000)])
+        u = rng.random(len(explicit))
+        assert mixing.settled(sizes[:k], q, sizes.sum(), u[:k]) == pytest.approx(settled_one_by_one(explicit[: k + 3000], q, u)[:k])
+    assert np.abs(np.mean(draws, axis=0) - 0.3).max() < 0.08
+
+
+def test_small_pools_keep_expectations_up_to_near(monkeypatch):
+    monkeypatch.setattr(mixing, "NEAR", 2.0)
+    monkeypatch.setattr(mixing, "LAST", 0)
+    rng = np.random.default_rng(6)
+    sizes = np.array([50.0, 30.0, 9.0, 5.0, 1.0])
+    draws = np.array([mixing.settled(sizes, 0.35, sizes.sum(), rng.random(5)) for _ in range(20_000)])
+    assert np.abs(draws.mean(axis=0) - 0.35).max() < 0.02
+    assert set(np.unique(draws)) <= {0.0, 1.0}
+
+
+def test_mix_is_near_its_targets_with_heavy_tails(spark):
+    """Each source within 1% of its target, or within the smallest of its documents."""
+    rng, rows = random.Random(9), []
+    for k in range(12):
+        n = [300, 900, 2500][k % 3]
+        sizes = [min(int(3 * rng.paretovariate(1.1)), 3000) for _ in range(n)]
+        sizes[0] = max(sizes[0], sum(sizes[1:]) // 4)  # a fifth of its source
+        rows += [(len(rows) + j, "w " * s, f"source{k:02d}") for j, s in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    found = mixing.mix_report(docs).collect()
+    taken, target, least = Counter(), {}, {}
+    source = {i: s for i, _, s in rows}
+    for r in found:
+        s = source[r.doc_id]
+        assert r.taken <= 3 * r.size
+        taken[s] += r.taken
+        target[s], least[s] = r.target, min(r.size, least.get(s, r.size))
+    assert len(found) == len(rows)
+    assert {s: abs(taken[s] - t) <= max(0.01 * t, least[s]) for s, t in target.items()} == dict.fromkeys(target, True)
+
+
 def test_levels_of_the_tree(docs, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP", 4)
     monkeypatch.setattr(mixing, "FAN_IN", 2)
+    monkeypatch.setattr(mixing, "LARGE", 1)  # no document is large
     rows = mixing.mix_report(docs).collect()
     taken, target = Counter(), {}
     for r in rows:
