@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -46,10 +48,12 @@ class Scratch:
     this library, for drivers that were started elsewhere.
 
     Results are lazy and read these tables, so an operator can't delete what its result needs;
-    clear() does, once results are written or collected.
+    clear() does, once results are written or collected. owned() tells which tables are whose: those that
+    operators make inside it, in this thread, and no others.
     """
 
     _made: dict[str, list[str]] = {}
+    _owned = threading.local()
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -63,6 +67,8 @@ class Scratch:
             context.setCheckpointDir(base)
         self.base = f"{base}/{name}-{uuid.uuid4().hex}"
         self.made(spark).append(self.base)
+        for owner in getattr(self._owned, "by", []):
+            owner.append(self.base)
 
     @classmethod
     def made(cls, spark: SparkSession) -> list[str]:
@@ -70,11 +76,23 @@ class Scratch:
         return cls._made.setdefault(spark.sparkContext.applicationId, [])
 
     @classmethod
-    def clear(cls, spark: SparkSession, keep: Iterable[str] = ()) -> None:
-        """Deletes the folders of this application's operators but those to keep."""
-        for base in set(cls.made(spark)) - set(keep):
+    @contextmanager
+    def owned(cls) -> Iterator[list[str]]:
+        """A list that gets the folders of operators that this thread calls inside."""
+        mine: list[str] = []
+        by = cls._owned.by = [*getattr(cls._owned, "by", []), mine]
+        try:
+            yield mine
+        finally:
+            cls._owned.by = [x for x in by if x is not mine]
+
+    @classmethod
+    def clear(cls, spark: SparkSession, bases: Iterable[str] | None = None) -> None:
+        """Deletes folders of this application's operators: those given, or all of them."""
+        made = cls.made(spark)
+        for base in list(made) if bases is None else [b for b in bases if b in made]:
             _delete(spark, base)
-            cls.made(spark).remove(base)
+            made.remove(base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

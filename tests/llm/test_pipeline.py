@@ -1,6 +1,7 @@
 """The pipeline from end to end, and its stages on odd rows, against plain versions."""
 
 import random
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,8 @@ from sessionrec.llm import mixing, packing
 from sessionrec.llm.common import Scratch
 from test_results import edited, plain_one_of_each, plain_repeats, text
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
@@ -88,3 +91,41 @@ def test_mix_of_repeated_rows(spark):
     found = mixing.mix_documents(docs).collect()
     assert Counter((r.doc_id, len(r.text.split())) for r in found) == +Counter({k: n for k, n in wanted.items() if k[1]})
     assert all(n <= 3 for n in Counter(r.tie for r in found).values())
+
+
+def test_tables_have_owners(spark):
+    """What one thread's operators write in between is not another's to delete."""
+    ready, written = threading.Event(), threading.Event()
+
+    def other():
+        ready.wait(60)
+        found.append(Scratch(spark, "other").write(spark.range(5), "kept"))
+        written.set()
+
+    found: list = []
+    thread = threading.Thread(target=other)
+    thread.start()
+    with Scratch.owned() as outer, Scratch.owned() as mine:
+        gone = Scratch(spark, "mine")
+        gone.write(spark.range(3), "gone")
+        ready.set()
+        written.wait(60)
+    thread.join()
+    assert mine == outer == [gone.base]
+    Scratch.clear(spark, mine)
+    assert found[0].count() == 5 and gone.base not in Scratch.made(spark)
+
+
+def test_two_pipelines_at_the_same_time(spark):
+    """They give what each gives alone."""
+    alone = sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length").collect()))
+    found: dict = {}
+    threads = [threading.Thread(target=lambda k=k: found.setdefault(k, sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length").collect())))) for k in (0, 1)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(alone) > 100 and set(found) == {0, 1}
+    # A residual's cuts depend on where it comes to lie; tokens of each document don't.
+    tokens = lambda rows: sorted(Counter({i: sum(n for j, _, n in rows if j == i) for i in {i for i, _, _ in rows}}).items())
+    assert tokens(found[0]) == tokens(found[1]) == tokens(alone)
