@@ -51,10 +51,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another; the last one's rows. What a stage wrote for itself goes when its rows are written."""
     scratch = Scratch(spark, "pipeline")
-    docs, kept = read_documents(spark, sf_dir), list(Scratch.made(spark))
+    docs = read_documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        Scratch.clear(spark, kept)
+        with Scratch.owned() as tables:
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        Scratch.clear(spark, tables)
         if k > 0:
             scratch.drop(STAGES[k - 1][0])
     return docs
