@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import accumulate, count
 
@@ -47,9 +46,10 @@ class Pieces:
             out.append(b"" if nothing else bytes([int(piece[3:-1], 16)]) if sp.is_byte(k) else piece.replace("\u2581", " ").encode())
         return out
 
-    def of(self, text: str) -> list[int]:
-        """Ids of a text that starts with the space which the model adds."""
-        return self.library.encode(text[1:]) if len(text) > 1 else [self.space]
+    def of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that each start with the space which the model adds."""
+        found = self.library.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        return [ids if len(t) > 1 else [self.space] for t, ids in zip(texts, found)]
 
 
 class Numbers(dict):
@@ -65,8 +65,8 @@ class Aligner(dict):
 
     A text is cut before each space that follows something other than white space. There a piece of A's
     pre-tokenizer ends, and no merge of B crosses, so both tokenizers end a token and a segment's ids are those
-    of the segment alone. Segments repeat, so what is known of them is kept. Links are indexes into `pairs`, the id pairs
-    (a * 2**32 + b) met so far.
+    of the segment alone. Segments repeat, so what is known of them is kept; new ones are learned together, a batch of texts
+    at a time. Links are indexes into `pairs`, the id pairs (a * 2**32 + b) met so far.
     """
 
     LIMIT, LONGEST = 500_000, 64
@@ -84,42 +84,69 @@ class Aligner(dict):
         self.pairs = Numbers()
 
     def __missing__(self, segment: str) -> tuple | None:
-        found = self.aligned(segment)
-        if len(segment) <= self.LONGEST:
-            self[segment] = found
-        return found
-
-    def aligned(self, segment: str) -> tuple | None:
-        """Cumulative ends of both go to dictionaries of their indexes; the sorted ends that both hold slice the id lists; links are expanded slice by slice."""
-        a, b = array("I", self.a.of(segment)), self.b.of(segment)
-        bytes_a, bytes_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        if not b"".join(bytes_a) == b"".join(bytes_b) == segment.encode("utf-8", "surrogatepass"):
-            return None
-        ends_a, ends_b = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
+        self.learn([segment])
+        return self[segment] if len(segment) <= self.LONGEST else self.pop(segment)
+
+    def ids_a(self, segment: str) -> list[int]:
+        if self.a.whole.search(segment):
+            return np.frombuffer(self.a.encoded(segment), dtype="<u4").tolist()
+        return [k for piece in self.a.PIECE.findall(segment) for k in self.a.piece_ids(piece)]
+
+    def learn(self, segments: list[str]) -> None:
+        """Aligns segments that are not known, one behind the other: both tokenizers end a token at each one's end.
+
+        Cumulative ends of both go to dictionaries of their indexes; the sorted ends that both hold slice the id lists into
+        groups. In a slice no two ends meet before the last, so each stretch between two ends of either tokenizer is one link.
+        """
+        ids = list(zip(segments, map(self.ids_a, segments), self.b.of(segments)))
+        fine = []
+        for segment, a, b in ids:
+            whole = segment.encode("utf-8", "surrogatepass")
+            if b"".join([self.bytes_b[k] for k in b]) == whole == b"".join([self.bytes_a[k] for k in a]):
+                fine.append((segment, a, b))
+            else:
+                self[segment] = None
+        if not fine:
+            return
+        a, b = ([k for x in fine for k in x[side]] for side in (1, 2))
+        ends_a, ends_b = (list(accumulate([len(entries[k]) for k in x])) for x, entries in ((a, self.bytes_a), (b, self.bytes_b)))
         index_a, index_b = dict(zip(ends_a, count())), dict(zip(ends_b, count()))
-        groups, linked, i, j = [], [], 0, 0
-        for end in sorted(index_a.keys() & index_b.keys()):
-            last_i, last_j = index_a[end], index_b[end]
-            if i == last_i and j == last_j:
+        common = sorted(index_a.keys() & index_b.keys())
+        last_a, last_b = [index_a[end] for end in common], [index_b[end] for end in common]
+        groups, i, j = [], 0, 0
+        for to_i, to_j in zip(last_a, last_b):
+            if i == to_i and j == to_j:
                 groups.append(f"{a[i]}|{b[j]}")
             else:
-                groups.append(f"{','.join(map(str, a[i : last_i + 1]))}|{','.join(map(str, b[j : last_j + 1]))}")
-                while i < last_i or j < last_j:
-                    linked.append((a[i] << 32) + b[j])
-                    # No two ends meet inside a slice: the token that ends first gives way to the next one.
-                    if ends_a[i] < ends_b[j]:
-                        i += 1
-                    else:
-                        j += 1
-            linked.append((a[i] << 32) + b[j])
-            i, j = i + 1, j + 1
-        links = array("I", map(self.pairs.__getitem__, linked))
-        return ";".join(groups), len(a), len(b), len(groups), links.tobytes()
-
-    def document(self, text: str | None) -> tuple[str, int, int, int, np.ndarray]:
-        """The same of a whole text, with a space before it."""
-        found = [self[s] for s in self.segment.findall(" " + text)] if text else [None]
-        if None in found:
+                groups.append(f"{','.join(map(str, a[i : to_i + 1]))}|{','.join(map(str, b[j : to_j + 1]))}")
+            i, j = to_i + 1, to_j + 1
+        ends = np.union1d(ends_a, ends_b)
+        linked = (np.array(a, dtype=np.int64)[np.searchsorted(ends_a, ends)] << 32) + np.array(b, dtype=np.int64)[np.searchsorted(ends_b, ends)]
+        links = np.fromiter(map(self.pairs.__getitem__, linked.tolist()), dtype=np.uint32, count=len(linked))
+        # Where each segment's tokens, groups and links end.
+        lasts = np.cumsum([len(x[1]) for x in fine]) - 1
+        of_ends = np.array(ends_a)[lasts]
+        to_group, to_link = np.searchsorted(common, of_ends) + 1, np.searchsorted(ends, of_ends) + 1
+        g = k = 0
+        for (segment, x, y), to_g, to_k in zip(fine, to_group.tolist(), to_link.tolist()):
+            self[segment] = ";".join(groups[g:to_g]), len(x), len(y), to_g - g, links[k:to_k].tobytes()
+            g, k = to_g, to_k
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
+        """Texts one after another, as document() gives them."""
+        cut = [self.segment.findall(" " + t) if t else [] for t in texts]
+        new = [s for s in set().union(*cut) if s not in self]
+        self.learn(new)
+        for segments in cut:
+            yield self.document(segments)
+        for s in new:
+            if len(s) > self.LONGEST:
+                self.pop(s, None)
+
+    def document(self, segments: list[str]) -> tuple[str, int, int, int, np.ndarray]:
+        """What is known of a whole text by its segments."""
+        found = [self[s] for s in segments]
+        if not found or None in found:
             return "", 0, 0, 0, np.empty(0, dtype=np.uint32)
         groups, n_a, n_b, n, links = zip(*found)
         return ";".join(groups), sum(n_a), sum(n_b), sum(n), np.frombuffer(b"".join(links), dtype=np.uint32)
@@ -163,8 +190,7 @@ def blocks_of(path_a: str, path_b: str, block: int, digest: bool):
             aligner.trim()
 
         for batch, texts in texts_of(batches, key=key):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
-                groups, n_a, n_b, n_groups, links = aligner.document(text)
+            for doc, (groups, n_a, n_b, n_groups, links) in zip(batch.column("doc_id").to_pylist(), aligner.texts(texts)):
                 rows.append((doc, n_a, n_b, n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest() if digest and n_a else groups))
                 held.append(links)
                 n += len(links)

@@ -61,9 +61,12 @@ class Ids(dict):
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
+    def piece_ids(self, piece: str) -> list[int]:
         as_bytes = piece.encode().decode("latin1").translate(self.characters)
-        ids = np.array([token.id for token in self.model.tokenize(as_bytes)], dtype="<u4").tobytes()
+        return [token.id for token in self.model.tokenize(as_bytes)]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.piece_ids(piece), dtype="<u4").tobytes()
         if len(piece) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
