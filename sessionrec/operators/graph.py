@@ -18,7 +18,10 @@ HOUR_MS = 3_600_000
 
 @dataclass(frozen=True)
 class Rule:
-    """How events of a session make edges: from source to target types, at most max_dt_ms later."""
+    """How events of a session make edges: from source to target types, at most max_dt_ms later.
+
+    max_events: how many of a session's newest events count; 0: all of them.
+    """
 
     name: str
     sources: tuple[int, ...]
@@ -60,6 +63,20 @@ def session_pairs_windowed(events: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("session", "aid_x", "aid_y", "type_y", (F.col("ts_y") - F.col("ts_x")).alias("dt"))
 
 
+def session_pairs_banded(events: DataFrame, rule: Rule) -> DataFrame:
+    """As session_pairs_windowed(), for sessions of any length.
+
+    Time is cut into bands as wide as the rule reaches. A pair's second event is in the band of the first or in the next one, so second
+    events stand in two bands and rows join by session and band: a session costs its pairs within two bands, not its square,
+    and its bands go to different tasks. A pair is found once, as the first event has one band.
+    """
+    band = F.floor(F.col("ts") / F.lit(rule.max_dt_ms))
+    x = events.where(F.col("type").isin(*rule.sources)).select("session", band.alias("band"), F.col("aid").alias("aid_x"), F.col("ts").alias("ts_x"))
+    y = events.where(F.col("type").isin(*rule.targets)).select("session", F.explode(F.array(band, band - 1)).alias("band"), F.col("aid").alias("aid_y"), F.col("ts").alias("ts_y"), F.col("type").alias("type_y"))
+    pairs = x.join(y, ["session", "band"]).where((F.col("aid_x") != F.col("aid_y")) & (F.col("ts_y") > F.col("ts_x")) & (F.col("ts_y") - F.col("ts_x") <= rule.max_dt_ms))
+    return pairs.select("session", "aid_x", "aid_y", "type_y", (F.col("ts_y") - F.col("ts_x")).alias("dt"))
+
+
 def attach_degree_penalty(pairs: DataFrame, frequency: DataFrame, alpha: float) -> DataFrame:
     """Adds freq_x, freq_y (1 if unknown) and penalty. The join's kind is left to the planner, which knows the table's size."""
     x = frequency.select(F.col("aid").alias("aid_x"), F.col("item_freq").alias("freq_x"))
@@ -70,8 +87,11 @@ def attach_degree_penalty(pairs: DataFrame, frequency: DataFrame, alpha: float)
 
 def rule_pair_sums(events: DataFrame, rule: Rule, by: tuple[str, ...] = ()) -> DataFrame:
     """aid_x, aid_y (and `by`): summed value and decay, before what depends on the two items alone. Events with a seed_rank are ranked already."""
-    recent = events.where(F.col("seed_rank") <= rule.max_events) if "seed_rank" in events.columns else recent_session_events(events, rule.max_events)
-    pairs = session_pairs_windowed(recent, rule)
+    if rule.max_events == 0:
+        pairs = session_pairs_banded(events, rule)
+    else:
+        recent = events.where(F.col("seed_rank") <= rule.max_events) if "seed_rank" in events.columns else recent_session_events(events, rule.max_events)
+        pairs = session_pairs_windowed(recent, rule)
     if "bucket" in by:
         pairs = pairs.withColumn("bucket", F.pmod("session", F.lit(BUCKETS)))
     value = target_value(F.col("type_y")) * decay_rational(F.col("dt").cast("double") / 1000, rule.decay_seconds)
@@ -112,9 +132,10 @@ def rule_graph_topk(events: DataFrame, rules: Iterable[Rule] = RULES, alpha: flo
 def rule_graphs(events: DataFrame, rules: Iterable[Rule] = RULES, alpha: float | None = None) -> list[tuple[DataFrame, Rule]]:
     """All edges of each rule, with the rule. Events are ranked once, as deep as any rule looks, and items are counted once, for all of them."""
     rules = [rule if alpha is None else replace(rule, alpha=alpha) for rule in rules]
-    ranked = staged(recent_seeds(events, max((rule.max_events for rule in rules), default=1)), "ranked")
+    most = max((rule.max_events for rule in rules), default=0)
+    ranked = staged(recent_seeds(events, most), "ranked") if most else events
     frequency = staged(item_frequency(events), "frequency")
-    return [(rule_edges(ranked, rule, frequency), rule) for rule in rules]
+    return [(rule_edges(ranked if rule.max_events else events, rule, frequency), rule) for rule in rules]
 
 
 def merge_edges(parts: DataFrame, topk: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from sessionrec.operators.graph import RULES, Rule
 from sessionrec.schema import DAY_MS
 
@@ -42,11 +44,14 @@ PAIRS = """pr as (select x.session, x.aid as aid_x, y.aid as aid_y, y.type as ty
 
 
 def rule_pairs(rule: Rule, p: str, of: str = "ev") -> list[str]:
-    ins = lambda t: "(" + ", ".join(map(str, t)) + ")"
+    """CTE {p}p: the rule's pairs. Types are chosen on each side first, and the sides are tables before they meet."""
+    side = lambda name, types: f"{name} as materialized (select session, aid, ts, type from {p}r where type in ({', '.join(map(str, types))}))"
     return [
-        recent(rule.max_events, of, f"{p}r"),
-        f"""{p}p as (select x.session, x.aid as aid_x, y.aid as aid_y, y.type as type_y, y.ts - x.ts as dt from {p}r x join {p}r y on x.session = y.session
-  where x.type in {ins(rule.sources)} and y.type in {ins(rule.targets)} and x.aid <> y.aid and y.ts > x.ts and y.ts - x.ts <= {rule.max_dt_ms})""",
+        recent(rule.max_events, of, f"{p}r") if rule.max_events else f"{p}r as (select * from {of})",
+        side(f"{p}x", rule.sources),
+        side(f"{p}y", rule.targets),
+        f"""{p}p as (select x.session, x.aid as aid_x, y.aid as aid_y, y.type as type_y, y.ts - x.ts as dt from {p}x x join {p}y y on x.session = y.session
+  where x.aid <> y.aid and y.ts > x.ts and y.ts - x.ts <= {rule.max_dt_ms})""",
     ]
 
 
@@ -173,6 +178,7 @@ SQL["smoothed_rate"] = sql(O, "i as (select aid, (count(*) filter (where type =
 SQL["session_holdout"] = sql(O, select="select case when session % 10 = 0 then 'eval' else 'train' end as side, session, count(*) as rows from ev group by all")
 SQL["session_pairs"] = sql(U, recent(30), PAIRS, select="select * from pr")
 SQL["session_pairs_windowed"] = sql(O, *rule_pairs(RULES[2], "g"), select="select * from gp")
+SQL["session_pairs_banded"] = sql(O, *rule_pairs(replace(RULES[2], max_events=0), "g"), select="select * from gp")
 SQL["attach_degree_penalty"] = sql(O, *rule_pairs(RULES[1], "g"), "f as (select aid, count(*) as n from ev group by aid)", "q as (select aid_x, aid_y, count(*) as pairs from gp group by all)",
     select="select aid_x, aid_y, pairs, x.n as freq_x, y.n as freq_y, round(1.0::double / pow(x.n::double * y.n::double, 0.5::double), 6) as penalty from q join f x on x.aid = aid_x join f y on y.aid = aid_y")
 SQL["expand_seeds"] = sql(U, *three_graphs(), seeds(), select="select session, aid_y as aid, graph, count(*) as times, round(sum(weight), 6) as weight from sd join eg on sd.aid = eg.aid_x group by all")
@@ -221,6 +227,7 @@ SQL["predictions_for_metric"] = sql(*TAIL3, *single_graph(), LISTS, select=f"sel
 SQL["covisitation_edges"] = sql(U, *single_graph("ev")[:3], select="select aid_x, aid_y, round(weight, 6) as weight from ce")
 for _rule in RULES:
     SQL[f"rule_edges_{_rule.name}"] = sql(O, *rule_edges(_rule, "g"), select="select aid_x, aid_y, graph, round(weight, 6) as weight from ge")
+SQL["rule_edges_whole_sessions"] = sql(O, *rule_edges(replace(RULES[2], max_events=0), "g"), select="select aid_x, aid_y, graph, round(weight, 6) as weight from ge")
 SQL["rule_graph_topk"] = sql(U, *three_graphs(), select="select aid_x, aid_y, graph, rank, round(weight, 6) as weight from eg")
 SQL["flagship_click_graph"] = sql(U, *rule_edges(RULES[0], "g"), topk("ge", "aid_x", "weight", 20, "aid_y", "gk"), select="select aid_x, aid_y, rank, round(weight, 6) as weight from gk")
 SQL["graph_topk_bucketed"] = sql(U, *rule_edges(RULES[1], "g", by="bucket"), topk("ge", "bucket, aid_x", "weight", 80, "aid_y", "gp2"), "gm as (select aid_x, aid_y, sum(weight) as weight from gp2 group by all)",

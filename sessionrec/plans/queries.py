@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -215,6 +216,12 @@ def session_pairs_windowed(spark, sf):
     return G.session_pairs_windowed(win.recent_session_events(orders(spark, sf), CCO.max_events), CCO)
 
 
+@query
+def session_pairs_banded(spark, sf):
+    """Of whole sessions, not of their newest events."""
+    return G.session_pairs_banded(orders(spark, sf), CCO)
+
+
 @query
 def attach_degree_penalty(spark, sf):
     events = orders(spark, sf)
@@ -436,6 +443,11 @@ for _rule in G.RULES:
     QUERIES[f"rule_edges_{_rule.name}"] = _rule_query(_rule)
 
 
+@query
+def rule_edges_whole_sessions(spark, sf):
+    return G.rule_edges(orders(spark, sf), replace(CCO, max_events=0)).select("aid_x", "aid_y", "graph", *r6("weight"))
+
+
 @query
 def rule_graph_topk(spark, sf):
     return G.rule_graph_topk(users(spark, sf)).select("aid_x", "aid_y", "graph", "rank", *r6("weight"))

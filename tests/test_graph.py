@@ -1,5 +1,9 @@
+import random
+from dataclasses import replace
+
 import pytest
 from conftest import events, rows
+from conftest import rows as rows_of
 from pyspark.sql import functions as F
 
 from sessionrec.operators import graph as G
@@ -40,6 +44,36 @@ def test_equal_times_and_empty_graphs(spark):
     assert G.covisitation_edges(tied.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rule", [*G.RULES, G.Rule("narrow", (0, 1), (1, 2), 7)])
+def test_bands_find_the_pairs_of_whole_sessions(spark, rule):
+    """Times on both sides of band edges, before zero too, and ties."""
+    rng, step = random.Random(2), rule.max_dt_ms
+    times = [k * step + d for k in (-2, -1, 0, 1, 2) for d in (-1, 0, 1, step // 2)]
+    n = 400
+    rows = events(spark, [rng.randrange(4) for _ in range(n)], [rng.randrange(9) for _ in range(n)], [rng.choice(times) for _ in range(n)], [rng.randrange(3) for _ in range(n)])
+    found = rows_of(G.session_pairs_banded(rows, rule))
+    assert found == rows_of(G.session_pairs_windowed(rows, rule)) and found
+    whole = replace(rule, max_events=0)
+    assert edges(G.rule_edges(rows, whole)) == pytest.approx(edges(G.rule_edges(rows, replace(rule, max_events=n))))
+
+
+def test_a_session_of_a_bot_is_spread(spark):
+    """100,000 events, one each second: a task has a small part of the session's pairs, and there are few beside them."""
+    rule, n, parts = G.Rule("near", (0,), (0,), 20_000), 100_000, 32
+    bot = spark.range(n).selectExpr("1 as session", "cast(id % 1000 as int) as aid", "id * 1000 as ts", "cast(0 as tinyint) as type")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        counts = [r["count"] for r in G.session_pairs_banded(bot, rule).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(counts) == sum(min(20, n - 1 - k) for k in range(n))
+    assert len(counts) == parts and max(counts) < 2 * sum(counts) / parts
+
+
 def test_buckets_lose_mass_only(spark, toy):
     exact = edges(G.rule_graph_topk(toy, [G.RULES[2]]))
     for edge, weight in edges(G.graph_topk_bucketed(toy, G.RULES[2])).items():
