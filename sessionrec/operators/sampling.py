@@ -6,15 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sessionrec.functions.weights import hash_draw
 from sessionrec.operators.features import attach_item_features
+from sessionrec.operators.selection import exact_quantile
 from sessionrec.schema import HASH_RANGE
 
-#: Accuracy of the sketch that brackets a quantile: its error in rank is one over this.
-SKETCH = 10_000
-
 TARGETS = ("target_click", "target_cart", "target_order")
 
 
@@ -73,20 +70,13 @@ class HardNegatives:
 
 
 def graph_weight_threshold(rows: DataFrame, config: HardNegatives = HardNegatives()) -> DataFrame:
-    """One row, threshold: the quantile (a value that occurs) of positive graph weights over negatives; 0 over none.
-
-    A sketch brackets the quantile, by twice its error at least; the exact value is found among the
-    distinct weights within, by running counts. So no task holds more than that part of the weights.
-    """
-    q, error = config.quantile, 1 / SKETCH
-    weights = rows.where((F.col(config.target) == 0) & (F.col(config.graph) > 0)).select(F.round(config.graph, 9).alias("w"))
-    ends = [max(0.0, q - 2 * error), min(1.0, q + 2 * error)]
-    bracket = weights.agg(F.percentile_approx("w", ends, SKETCH).alias("ends")).select(F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
-    counts = weights.groupBy("w").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(bracket))  # one row
-    below = counts.agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("w") < F.col("low"), F.col("n"))), F.lit(0)).alias("below"))
-    inside = counts.where((F.col("w") >= F.col("low")) & (F.col("w") <= F.col("high"))).select("w", F.sum("n").over(Window.orderBy("w")).alias("so_far"))
-    reached = inside.crossJoin(F.broadcast(below)).where(F.col("below") + F.col("so_far") >= F.ceil(F.col("total") * q))
-    return reached.agg(F.coalesce(F.min("w"), F.lit(0.0)).alias("threshold"))
+    """One row, threshold: the quantile (a value that occurs) of positive graph weights over negatives; 0 over none."""
+    return rows.sparkSession.createDataFrame([(weight_threshold(rows, config),)], "threshold double")
+
+
+def weight_threshold(rows: DataFrame, config: HardNegatives = HardNegatives()) -> float:
+    """Found by exact counts of value ranges, pass by pass; the rows should be a table, since each pass reads them."""
+    return exact_quantile(rows, F.when((F.col(config.target) == 0) & (F.col(config.graph) > 0), F.round(config.graph, 9)), config.quantile) or 0.0
 
 
 def negative_bucket(config: HardNegatives, threshold: Column) -> Column:
@@ -96,8 +86,7 @@ def negative_bucket(config: HardNegatives, threshold: Column) -> Column:
 
 
 def with_negative_bucket(rows: DataFrame, config: HardNegatives = HardNegatives()) -> DataFrame:
-    threshold = F.broadcast(graph_weight_threshold(rows, config).withColumnRenamed("threshold", "_threshold"))  # one row
-    return rows.crossJoin(threshold).withColumn("negative_bucket", negative_bucket(config, F.col("_threshold"))).drop("_threshold")
+    return rows.withColumn("negative_bucket", negative_bucket(config, F.lit(weight_threshold(rows, config))))
 
 
 def negative_bucket_counts(bucketed: DataFrame) -> DataFrame:
@@ -124,9 +113,10 @@ def sample_hard_negatives(rows: DataFrame, config: HardNegatives = HardNegatives
 
 
 def hard_negative_report(rows: DataFrame) -> DataFrame:
-    """A row for each bucket of sessions (column bucket, as `part`) and __TOTAL__."""
-    columns = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("negative_bucket") == b).alias(b) for b in ("positive", "hard_graph", "hard_click", "random")]]
-    parts = rows.groupBy(F.col("bucket").cast("string").alias("part")).agg(*columns)
-    total = rows.agg(*columns)
-    total = total.withColumn("neg_per_pos", F.try_divide((F.col("rows") - F.col("positive")).cast("double"), F.col("positive").cast("double")))
-    return with_total_row(parts, total)
+    """A row for each bucket of sessions (column bucket, as `part`) and __TOTAL__, which alone has neg_per_pos; one pass over the rows."""
+    kinds = [F.count_if(F.col("negative_bucket") == b).alias(b) for b in ("positive", "hard_graph", "hard_click", "random")]
+    out = rows.rollup("bucket").agg(F.grouping("bucket").alias("_all"), F.count(F.lit(1)).alias("rows"), *kinds)
+    total = F.col("_all") == 1
+    ratio = F.try_divide((F.col("rows") - F.col("positive")).cast("double"), F.col("positive").cast("double"))
+    part = F.when(total, F.lit("__TOTAL__")).otherwise(F.col("bucket").cast("string"))
+    return out.withColumn("part", part).withColumn("neg_per_pos", F.when(total, ratio)).drop("bucket", "_all")

@@ -47,6 +47,16 @@ def split_time(events: DataFrame, days: float = 1.0, cutoff: int | None = None)
     return rows.where("ts < cutoff").drop("cutoff"), rows.where("ts >= cutoff").drop("cutoff")
 
 
+#: Sides of a time split.
+TRAIN, LABEL = 0, 1
+
+
+def with_side(events: DataFrame, days: float = 1.0, cutoff: int | None = None) -> DataFrame:
+    """Events with their side of the time split, for both sides to be written as one table."""
+    rows = with_cutoff(events, days, cutoff)
+    return rows.withColumn("side", F.when(F.col("ts") < F.col("cutoff"), TRAIN).otherwise(LABEL)).drop("cutoff")
+
+
 def label_targets(label_events: DataFrame) -> DataFrame:
     """session, aid, target_click, target_cart, target_order (0 or 1)."""
     flag = lambda code, name: F.max(F.when(F.col("type") == code, 1).otherwise(0)).cast("tinyint").alias(name)

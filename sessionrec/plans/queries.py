@@ -46,13 +46,14 @@ def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def train_side(spark, sf):
-    """As a table: graphs, pools and features go through these events again and again."""
-    return src.staged(splits.split_time(users(spark, sf))[0], "train_events")
+def sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(train events, label events). Both sides are one table by session, parsed and cut once; each reads its own files."""
+    rows = src.staged_by_session(splits.with_side(users(spark, sf)), "events", side="side")
+    return tuple(rows.where(F.col("side") == k).drop("side") for k in (splits.TRAIN, splits.LABEL))
 
 
-def label_side(spark, sf):
-    return splits.split_time(users(spark, sf))[1]
+def train_side(spark, sf):
+    return sides(spark, sf)[0]
 
 
 def edges_of(events: DataFrame) -> DataFrame:
@@ -60,25 +61,35 @@ def edges_of(events: DataFrame) -> DataFrame:
     return src.staged(G.rule_graph_topk(events).select("aid_x", "aid_y", "weight", "graph"), "edges")
 
 
+def pool_by(events: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    edges = edges_of(events) if edges is None else edges
+    return src.staged_by_session(ret.recommend_from_graphs(events, edges, topk=POOL, min_candidates=POOL_LEAST, popular=win.popular_fallback_items(events, POOL)), "pool")
+
+
 def pool(spark, sf) -> DataFrame:
     """Candidates by the graphs of the train side, as a table."""
     return pool_by(train_side(spark, sf))
 
 
-def pool_by(events: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    edges = edges_of(events) if edges is None else edges
-    return src.staged(ret.recommend_from_graphs(events, edges, topk=POOL, min_candidates=POOL_LEAST, popular=win.popular_fallback_items(events, POOL)), "pool")
-
-
-def features(spark, sf) -> DataFrame:
-    events = train_side(spark, sf)
+def features_of(events: DataFrame) -> DataFrame:
     edges = edges_of(events)
     return feat.interaction_features(pool_by(events, edges), events, edges)
 
 
 def labelled(spark, sf) -> DataFrame:
     """Candidates with features and targets, as a table: thresholds, counts and samples read it several times."""
-    return src.staged(S.label_candidates(features(spark, sf), splits.label_targets(label_side(spark, sf))), "labelled")
+    return labelled_of(*sides(spark, sf))
+
+
+def labelled_of(train: DataFrame, label: DataFrame) -> DataFrame:
+    return src.staged_by_session(S.label_candidates(features_of(train), splits.label_targets(label)), "labelled")
+
+
+def labelled_pool(spark, sf, *columns: str) -> DataFrame:
+    """Candidates with targets, and no other features."""
+    train, label = sides(spark, sf)
+    candidates = pool_by(train)
+    return S.label_candidates(candidates.select(*columns or candidates.columns), splits.label_targets(label))
 
 
 # Sources and sinks
@@ -265,7 +276,7 @@ def attach_item_features(spark, sf):
 
 @query
 def label_candidates(spark, sf):
-    return S.label_candidates(pool(spark, sf).select("session", "aid"), splits.label_targets(label_side(spark, sf)))
+    return labelled_pool(spark, sf, "session", "aid")
 
 
 # Aggregations
@@ -318,8 +329,7 @@ def negative_bucket_counts(spark, sf):
 
 @query
 def label_stats(spark, sf):
-    rows = S.label_candidates(pool(spark, sf).select("session", "aid"), splits.label_targets(label_side(spark, sf)))
-    return S.label_stats(src.with_bucket(rows, 4))
+    return S.label_stats(src.with_bucket(labelled_pool(spark, sf, "session", "aid"), 4))
 
 
 # Windows and top-k
@@ -500,12 +510,12 @@ def split_time_axis(spark, sf):
 
 @query
 def label_targets(spark, sf):
-    return splits.label_targets(label_side(spark, sf))
+    return splits.label_targets(sides(spark, sf)[1])
 
 
 @query
 def split_audit(spark, sf):
-    return splits.split_audit(train_side(spark, sf), label_side(spark, sf))
+    return splits.split_audit(*sides(spark, sf))
 
 
 @query
@@ -521,9 +531,9 @@ def recall_at_k(spark, sf):
 
 @query
 def candidate_coverage(spark, sf):
-    labels = splits.grouped_labels(label_side(spark, sf))
-    candidates = pool(spark, sf)
-    rows = S.label_candidates(candidates.select("session", "aid"), splits.label_targets(label_side(spark, sf)))
+    train, label = sides(spark, sf)
+    labels, candidates = splits.grouped_labels(label), pool_by(train)
+    rows = S.label_candidates(candidates.select("session", "aid"), splits.label_targets(label))
     return M.candidate_coverage(rows, labels, candidates, POOL).select("type", "positives", "negatives", *r6("neg_per_pos", "recall"))
 
 
@@ -545,7 +555,7 @@ def session_features(spark, sf):
 
 @query
 def interaction_features(spark, sf):
-    out = features(spark, sf)
+    out = features_of(train_side(spark, sf))
     doubles = {"candidate_score", "graph_weight_total", *GRAPH_COLUMNS}
     return out.select(*[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in out.columns])
 
@@ -555,7 +565,7 @@ def interaction_features(spark, sf):
 
 @query
 def downsample_negatives(spark, sf):
-    return S.downsample_negatives(S.label_candidates(pool(spark, sf), splits.label_targets(label_side(spark, sf))), "target_click").select("session", "aid", "target_click")
+    return S.downsample_negatives(labelled_pool(spark, sf), "target_click").select("session", "aid", "target_click")
 
 
 @query
@@ -572,7 +582,8 @@ def sampling_thresholds(spark, sf):
 @query
 def sample_hard_negatives(spark, sf):
     config = S.HardNegatives(target="target_click")
-    return S.sample_hard_negatives(labelled(spark, sf), config, feat.item_features(train_side(spark, sf))).select("session", "aid", "negative_bucket", "total_interactions")
+    train, label = sides(spark, sf)
+    return S.sample_hard_negatives(labelled_of(train, label), config, feat.item_features(train)).select("session", "aid", "negative_bucket", "total_interactions")
 
 
 @query
@@ -623,5 +634,4 @@ def score_and_rank(spark, sf):
 
 @query
 def ranked_hit_recall(spark, sf):
-    rows = S.label_candidates(pool(spark, sf), splits.label_targets(label_side(spark, sf)))
-    return R.ranked_hit_recall(rows, "target_click", "score").select("rows", "sessions", "positives", "top_rows", "hits", *r6("recall"))
+    return R.ranked_hit_recall(labelled_pool(spark, sf), "target_click", "score").select("rows", "sessions", "positives", "top_rows", "hits", *r6("recall"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionrec.functions.weights import decode_type, encode_type, key_hash
+from sessionrec.operators.selection import least_keys
 from sessionrec.schema import EVENTS, SESSION_JSON
 
 
@@ -69,21 +70,28 @@ def limit_sessions(events: DataFrame, n: int) -> DataFrame:
 
 
 def sample_sessions(events: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """All events of n sessions drawn evenly by a hash of their id and the seed."""
-    drawn = events.select("session").distinct().orderBy(key_hash(F.col("session"), seed=seed), "session").limit(n)
-    return events.join(drawn, "session", "left_semi")
+    """All events of n sessions drawn evenly by a hash of their id and the seed: those of the n least hashes."""
+    code = key_hash(F.col("session"), seed=seed)
+    return events.where(least_keys(events, code, F.col("session"), n))
 
 
 def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod("session", F.lit(buckets)))
 
 
-def write_session_buckets(df: DataFrame, path: str, buckets: int, only: Iterable[int] | None = None) -> None:
-    """One folder for each bucket of sessions; with `only`, just these are written anew."""
+def write_session_buckets(df: DataFrame, path: str, buckets: int, only: Iterable[int] | None = None, parts: int | None = None) -> None:
+    """One folder for each bucket of sessions; with `only`, just these are written anew.
+
+    A bucket is written by `parts` tasks, each with whole sessions; by default so many that all buckets
+    take as many tasks as a shuffle has.
+    """
     rows = with_bucket(df, buckets)
+    written = list(range(buckets) if only is None else only)
     if only is not None:
-        rows = rows.where(F.col("bucket").isin(list(only)))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        rows = rows.where(F.col("bucket").isin(written))
+    parts = parts or -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, len(written)))
+    rows = rows.repartition(max(1, len(written)) * parts, "bucket", F.pmod(F.xxhash64("session"), F.lit(parts)))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def bucket_stats(stages: dict[str, DataFrame]) -> DataFrame:
@@ -122,6 +130,8 @@ def is_scratch(spark: SparkSession, path: str) -> bool:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what this application wrote to scratch_path(): for when results are written or collected, as lazy ones read it."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"drop table if exists {name}")
     for path in _made.pop(spark.sparkContext.applicationId, []):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -141,6 +151,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: dict[str, list[str]] = {}
+
+
+def staged_by_session(df: DataFrame, name: str, buckets: int | None = None, side: str | None = None) -> DataFrame:
+    """The rows as a written table, bucketed and sorted by session: groups, windows and joins of such tables by session, or
+    by session and more, need no shuffle. buckets: by default as many as a shuffle has partitions; tables meet without a
+    shuffle if they have equally many. side: a column of few values, each of which has files of its own.
+
+    A join by more than the session goes by the session's buckets only if
+    spark.sql.requireAllClusterKeysForCoPartition is false. Results are lazy, so the session keeps that setting.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"staged_{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(table)
+    writer = df.repartition(buckets, "session").write.bucketBy(buckets, "session").sortBy("session").option("path", path)
+    (writer.partitionBy(side) if side else writer).saveAsTable(table)
+    return spark.table(table)
+
+
 def events_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the `events` table, all of them: a session for each user, the number in props as the item.
 

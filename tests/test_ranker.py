@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionrec.functions import weights as W
-from sessionrec.operators import ranker, sampling
+from sessionrec.operators import ranker, sampling, selection
 from sessionrec.operators.boosting import BoostedTrees, Settings
 from sessionrec.sources import events as src
 
@@ -58,14 +58,28 @@ def test_draws(spark):
     assert found == [int(hashlib.md5(k).hexdigest()[:13], 16) % 1_000_000 for k in (b"1/2/a/7", b"-5/b/7")]
 
 
-@pytest.mark.parametrize("sketch", [10_000, 5])
+@pytest.mark.parametrize("sketch, few", [(2_000, 10_000), (2_000, 1), (3, 1)])
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.8, 1.0])
-def test_threshold_is_exact(spark, monkeypatch, sketch, q):
-    monkeypatch.setattr(sampling, "SKETCH", sketch)
+def test_threshold_is_exact(spark, monkeypatch, sketch, few, q):
+    """Ties and heavy tails; a bad sketch costs passes only."""
+    monkeypatch.setattr(selection, "SKETCH", sketch)
+    monkeypatch.setattr(selection, "FEW", few)
     rng = random.Random(3)
-    weights = [rng.choice([0.0, rng.random(), 0.25, 0.5]) for _ in range(700)]
-    rows = spark.createDataFrame([(0, w) for w in weights] + [(1, 9.0)], "target_order int, graph_w_cart_order_to_cart_order double")
+    weights = [rng.choice([0.0, rng.random(), 0.25, 0.5, rng.random() ** -20 if rng.random() < 0.1 else 0.5]) for _ in range(700)]
+    rows = spark.createDataFrame([(0, w) for w in weights] + [(1, 9.0)], "target_order int, graph_w_cart_order_to_cart_order double").repartition(3).cache()
     found = sampling.graph_weight_threshold(rows, sampling.HardNegatives(quantile=q)).first()[0]
     positive = sorted(round(w, 9) for w in weights if w > 0)
-    assert found == positive[max(0, math.ceil(q * len(positive)) - 1)]
+    assert found == pytest.approx(positive[max(0, math.ceil(q * len(positive)) - 1)], rel=1e-15)
     assert sampling.graph_weight_threshold(rows.limit(0)).first()[0] == 0.0
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 499, 500, 900])
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_sampled_sessions_are_those_of_the_least_hashes(spark, monkeypatch, n, few):
+    monkeypatch.setattr(selection, "FEW", few)
+    rows = spark.range(1500).selectExpr("cast(id % 500 as int) as session", "cast(id as int) as aid", "id as ts", "cast(0 as tinyint) as type")
+    sampled = src.sample_sessions(rows, n, seed=5)
+    least = sorted(range(500), key=lambda s: (hashlib.md5(f"{s}/5".encode()).hexdigest(), s))[:n]
+    assert {r.session: r["count"] for r in sampled.groupBy("session").count().collect()} == dict.fromkeys(least, 3)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Sort", "Limit", "Exchange", "Join"))
