@@ -151,11 +151,13 @@ class Aligner(dict):
         groups, n_a, n_b, n, links = zip(*found)
         return ";".join(groups), sum(n_a), sum(n_b), sum(n), np.frombuffer(b"".join(links), dtype=np.uint32)
 
-    def trim(self) -> None:
-        """Forgets all if there is too much; no links may be held then."""
-        if max(len(self), len(self.pairs)) > self.LIMIT:
-            self.clear()
-            self.pairs.clear()
+    def full(self) -> bool:
+        return max(len(self), len(self.pairs)) > self.LIMIT
+
+    def forget(self) -> None:
+        """Lets go of everything; no links may be held then."""
+        self.clear()
+        self.pairs.clear()
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -187,9 +189,12 @@ def blocks_of(path_a: str, path_b: str, block: int, digest: bool):
             if len(used):
                 columns = {"block": pa.array(np.full(len(used), number)), "pair": pa.array(pairs[order]), "n": pa.array(counts[used[order]])}
                 yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(used), f.type)) for f in BLOCK_ARROW], schema=BLOCK_ARROW)
-            aligner.trim()
 
         for batch, texts in texts_of(batches, key=key):
+            if aligner.full():
+                yield from closed()
+                rows, held, n, number = [], [], 0, number + 1
+                aligner.forget()
             for doc, (groups, n_a, n_b, n_groups, links) in zip(batch.column("doc_id").to_pylist(), aligner.texts(texts)):
                 rows.append((doc, n_a, n_b, n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest() if digest and n_a else groups))
                 held.append(links)
