@@ -9,8 +9,8 @@ from sessionrec.llm.common import SPACE, Scratch, paired_hashes, read_documents,
 
 #: Base rules: least words, most percent of words in repeated windows, window length.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected when its failure rate is surely (SURE posterior deviations) above RATIO times that of all documents, or above MOST.
+RATIO, MOST, SURE = 3.0, 0.5, 3.0
 #: Bounds of the prior's strength in documents, for hosts that are all alike or all different.
 PRIOR_LEAST, PRIOR_MOST = 1.0, 10_000.0
 #: Host rows are copied so often for the join back; a host with a third of all documents meets so many tasks.
@@ -71,39 +71,47 @@ def base_failed() -> Column:
 
 
 def host_verdicts(failed: DataFrame, host: str = "source") -> DataFrame:
-    """Per host: documents, failures, and the failure rate shrunk by an empirical beta prior.
-
-    The prior's mean is the rate over all documents; its strength follows from the variance of
-    the hosts' rates (method of moments). The only rows that meet in one task are the partial
-    sums of the hosts; the one-row prior is broadcast.
+    """Per host: documents, failures, the failure rate shrunk by an empirical beta prior, and whether the host is rejected.
+
+    The prior's mean is the rate m over all documents. Its strength comes from how far the hosts' rates lie apart beyond
+    what draws of documents alone make of it: with N documents in K hosts of n each and a share r of m (1 - m) between hosts, the sum of
+    n (rate - m)^2 is m (1 - m) times (K - 1) (1 - r) + r (N - sum of n^2 / N) on average, which is solved for r; the strength
+    is 1 / r - 1. Hosts that lie no farther apart than by chance get the greatest strength. A host is rejected if its shrunk rate less
+    SURE posterior deviations is above the limit, so a small host needs more than a few failures. The only rows that
+    meet in one task are partial sums of hosts; one-row tables are broadcast.
     """
     hosts = failed.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), F.count_if("base_failed").alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(
-        F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.sum(F.col("host_docs") * rate * rate).alias("s2"),
-    ).select((F.col("f") / F.greatest(F.col("n"), F.lit(1))).alias("mean"), (F.col("s2") / F.greatest(F.col("n"), F.lit(1))).alias("second"))
-    mean, variance = F.col("mean"), F.col("second") - F.col("mean") * F.col("mean")
-    strength = F.when(variance > 0, mean * (1 - mean) / variance - 1).otherwise(F.lit(PRIOR_MOST))
-    prior = prior.select(mean, F.least(F.greatest(strength, F.lit(PRIOR_LEAST)), F.lit(PRIOR_MOST)).alias("strength"))
-    shrunk = (F.col("host_failed") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    return hosts.crossJoin(F.broadcast(prior)).select(host, "host_docs", "host_failed", shrunk.alias("host_rate"))
+    n = F.col("host_docs").cast("double")
+    total = hosts.agg((F.sum("host_failed") / F.greatest(F.sum(n), F.lit(1.0))).alias("mean"))
+    hosts = hosts.crossJoin(F.broadcast(total))
+    off = F.col("host_failed") / n - F.col("mean")
+    sums = hosts.agg(F.first("mean").alias("_m"), F.sum(n * off * off).alias("_s"), F.sum(n).alias("_n"), F.sum(n * n).alias("_n2"), F.count(F.lit(1)).cast("double").alias("_k"))
+    spread = F.try_divide(F.col("_s"), F.col("_m") * (1 - F.col("_m"))) - (F.col("_k") - 1)
+    share = F.try_divide(spread, F.col("_n") - F.col("_n2") / F.col("_n") - (F.col("_k") - 1))
+    strength = F.when(share > 0, F.least(F.greatest(1 / share - 1, F.lit(PRIOR_LEAST)), F.lit(PRIOR_MOST))).otherwise(F.lit(PRIOR_MOST))
+    prior = sums.select(strength.alias("strength"))
+    weight = n + F.col("strength")
+    hosts = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", (F.col("host_failed") + F.col("mean") * F.col("strength")) / weight)
+    sure = F.col("host_rate") - SURE * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (weight + 1))
+    return hosts.select(host, "host_docs", "host_failed", "host_rate", (sure > F.least(RATIO * F.col("mean"), F.lit(MOST))).alias("host_rejected"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """Base figures, base verdict and the verdict with the host's: columns as in op10's contract, and host_rate.
 
     Null texts count as empty, a null doc_id is kept, a null host is a host of its own, repeated rows
-    stay repeated; a rate at the limit keeps its host; a very long text is one row, and its windows
+    stay repeated; a bound at the limit keeps its host; a very long text is one row, and its windows
     are sorted within it; an empty table gives no rows. Columns beside doc_id, text and the host are not used.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     found = scratch.write(measures(docs.select("doc_id", "text", F.col(host).alias("_host")), "doc_id", "_host").withColumn("base_failed", base_failed()), "measures")
     hosts = host_verdicts(found, "_host").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).alias("d")
+    # By place in the written table: rows of one doc_id are spread too.
+    salted = found.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).alias("d")
     joined = salted.join(hosts.alias("h"), F.col("d._host").eqNullSafe(F.col("h._host")) & (F.col("d._salt") == F.col("h._salt")))
     return joined.select(
         "d.doc_id", "d.n_words", "d.word_chars", "d.n_symbols", "d.n_dup_lines", "d.n_repeat_words", "d.base_failed",
-        (~F.col("d.base_failed") & (F.col("h.host_rate") <= MAX_HOST_RATE)).alias("kept"),
+        (~F.col("d.base_failed") & ~F.col("h.host_rejected")).alias("kept"),
         F.round("h.host_rate", 6).alias("host_rate"),
     )
 
@@ -140,15 +148,17 @@ with d as (
 ), h as (
   select source, count(*)::double as n, count(*) filter (where base_failed)::double as fl from f group by source
 ), p as (
-  select sum(fl) / sum(n) as mean, sum(n * (fl / n) * (fl / n)) / sum(n) as second from h
+  select sum(fl) / sum(n) as mean, sum(fl * fl / n) - sum(fl) * sum(fl) / sum(n) as s, sum(n) as n, sum(n * n) as n2, count(*)::double as k from h
 ), q as (
-  select mean, least(greatest(case when second - mean * mean > 0 then mean * (1 - mean) / (second - mean * mean) - 1 else 10000 end, 1), 10000) as strength from p
+  select mean, case when mean > 0 and mean < 1 and n - n2 / n - k + 1 <> 0 then (s / (mean * (1 - mean)) - k + 1) / (n - n2 / n - k + 1) else 0 end as r from p
+), g as (
+  select mean, case when r > 0 then least(greatest(1 / r - 1, 1), 10000) else 10000 end as strength from q
 ), v as (
-  select source, (fl + mean * strength) / (n + strength) as rate from h cross join q
+  select source, mean, n + strength as weight, (fl + mean * strength) / (n + strength) as rate from h cross join g
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  (not base_failed and rate <= 0.5) as kept, round(rate, 6) as host_rate
+  (not base_failed and rate - 3.0 * sqrt(rate * (1 - rate) / (weight + 1)) <= least(3.0 * mean, 0.5)) as kept, round(rate, 6) as host_rate
 from f join v on f.source is not distinct from v.source
 """
 

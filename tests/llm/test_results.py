@@ -1,6 +1,7 @@
 """Results against plain versions on small data."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -518,14 +519,46 @@ def test_quality_measures(spark, docs, corpus):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), again)
         failed[i] = len(w) < 20 or 100 * again > 30 * len(w)
         assert r.base_failed == failed[i]
-    hosts = {h: [f for i, f in failed.items() if i % 5 == h] for h in range(5)}
-    n, mean = len(failed), sum(failed.values()) / len(failed)
-    spread = sum(len(f) * (sum(f) / len(f)) ** 2 for f in hosts.values()) / n - mean**2
-    strength = min(max(mean * (1 - mean) / spread - 1, 1), 10_000)
-    for i, r in found.items():
-        f = hosts[i % 5]
-        rate = (sum(f) + mean * strength) / (len(f) + strength)
-        assert r.host_rate == pytest.approx(rate, abs=1e-6) and r.kept == (not failed[i] and rate <= 0.5)
+        assert r.kept == (not failed[i])  # hosts that differ by chance only
+
+
+def likeliest_strength(hosts):
+    """Of the beta priors around the overall rate, the strength under which the hosts' failures are likeliest."""
+    mean = sum(f for f, _ in hosts) / sum(n for _, n in hosts)
+    beta = lambda a, b: math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    score = lambda s: sum(beta(f + mean * s, n - f + (1 - mean) * s) - beta(mean * s, (1 - mean) * s) for f, n in hosts)
+    return max((1.05**k for k in range(200)), key=score)
+
+
+@pytest.mark.parametrize("mean, strength", [(0.15, 25.0), (0.4, 5.0), (0.05, 200.0), (0.1, None)])
+def test_host_prior_is_near_the_likeliest(spark, mean, strength):
+    """None: all hosts have one rate, so nothing but noise is between them."""
+    rng = np.random.default_rng(11)
+    n = rng.integers(20, 900, 600)
+    f = rng.binomial(n, rng.beta(mean * strength, (1 - mean) * strength, 600) if strength else mean)
+    rows = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(n, f))], "source int, n int, f int")
+    rows = rows.selectExpr("source", "f", "explode(sequence(1, n)) as j").selectExpr("source", "j <= f as base_failed")
+    found = {r.source: r for r in quality.host_verdicts(rows).collect()}
+    m = f.sum() / n.sum()
+    # The strength that was used, from the host whose rate was moved the most.
+    k = max(found, key=lambda k: abs(found[k].host_rate - m))
+    used = (f[k] - n[k] * found[k].host_rate) / (found[k].host_rate - m)
+    want = likeliest_strength(list(zip(f.tolist(), n.tolist())))
+    assert found[k].host_docs == n[k] and found[k].host_failed == f[k]
+    assert used > 2_000 if strength is None else 0.75 < used / want < 1.33
+
+
+def test_bad_hosts_go_and_small_ones_are_saved(spark):
+    good, bad = " ".join(f"w{k}" for k in range(30)), "too short"
+    rows = [(f"h{k}", bad if j < 4 else good) for k in range(30) for j in range(60)]
+    rows += [("worst", bad if j < 36 else good) for j in range(60)] + [("small", t) for t in (bad, bad, good)]
+    docs = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    for k, (s, t) in enumerate(rows):
+        assert found[k].base_failed == (t == bad)
+        assert found[k].kept == (t == good and s != "worst")
+    rate = {s: found[k].host_rate for k, (s, _) in enumerate(rows)}
+    assert rate["worst"] > 0.5 and rate["small"] < 0.25 < 2 / 3  # moved far towards the rate of all documents
 
 
 def test_window_hashes():
