@@ -68,14 +68,47 @@ def events_for_candidates(events: DataFrame, candidates: DataFrame, keys: tuple[
     return events.join(candidates.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def graph_signal_features(events: DataFrame, edges: DataFrame, max_seeds: int = 20, keys: DataFrame | None = None) -> DataFrame:
+#: Words of 64 bits of a session's filter, and bits that a candidate sets in it. A session has some 100 candidates: about 3 in 100 others pass.
+FILTER_WORDS, FILTER_HASHES = 16, 2
+
+
+def _filter_bits(aid: Column) -> list[tuple[Column, Column]]:
+    """(word, bit in the word) of an item, for each hash."""
+    places = [F.pmod(F.xxhash64(aid.cast("long"), F.lit(k)), F.lit(64 * FILTER_WORDS)).cast("int") for k in range(FILTER_HASHES)]
+    return [(F.floor(p / 64).cast("int"), p % 64) for p in places]
+
+
+def session_filters(keys: DataFrame) -> DataFrame:
+    """session, filter: a Bloom filter of each session's items, of FILTER_WORDS longs whatever their number, made of partial filters of tasks."""
+    bits = _filter_bits(F.col("aid"))
+    words = []
+    for k in range(FILTER_WORDS):
+        own = [F.when(word == k, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")) for word, bit in bits]
+        words.append(F.bit_or(own[0].bitwiseOR(own[1])))
+    return keys.groupBy("session").agg(F.array(*words).alias("filter"))
+
+
+def may_hold(filter_: Column, aid: Column) -> Column:
+    """Whether a session's filter may hold an item: always for its own, seldom for another."""
+    tests = [F.call_function("shiftright", F.element_at(filter_, word + 1), bit).bitwiseAND(F.lit(1).cast("long")) == 1 for word, bit in _filter_bits(aid)]
+    return tests[0] & tests[1]
+
+
+def graph_signal_features(events: DataFrame, edges: DataFrame, max_seeds: int = 20, keys: DataFrame | None = None, filtered: bool = False) -> DataFrame:
     """A row for each session and neighbour of its distinct recent items: weights by graph and which graph prevails.
 
     dominant_graph_source is 3, 2 or 1 for click_to_cart_order, cart_order_to_cart_order and
     click_to_click, the greater number on ties, and 0 where all weights are 0. Without edges or
-    seeds there are no rows, of the same columns. keys (session, aid): only these, chosen before sums are made.
+    seeds there are no rows, of the same columns. keys (session, aid): only these, chosen before sums are made. filtered: seeds then
+    take a filter of their session's keys along to the graph, so that other neighbours go where they arise, before they are
+    shuffled back to their sessions; the join removes those that pass by chance. That pays where seeds have many more neighbours
+    than sessions have keys.
     """
-    signals = expand_seeds(recent_seed_items(events, max_seeds), edges)
+    seeds = recent_seed_items(events, max_seeds)
+    if keys is not None and filtered:
+        signals = expand_seeds(seeds.join(session_filters(keys), "session"), edges, "filter").where(may_hold(F.col("filter"), F.col("aid"))).drop("filter")
+    else:
+        signals = expand_seeds(seeds, edges)
     if keys is not None:
         signals = signals.join(keys.select("session", "aid").distinct(), ["session", "aid"], "left_semi")
     weight, graph = F.col("weight"), F.col("graph")
@@ -86,10 +119,10 @@ def graph_signal_features(events: DataFrame, edges: DataFrame, max_seeds: int =
     return out.withColumn("dominant_graph_source", dominant.cast("tinyint"))
 
 
-def graph_signals_for_candidates(events: DataFrame, edges: DataFrame, candidates: DataFrame, max_seeds: int = 20) -> DataFrame:
+def graph_signals_for_candidates(events: DataFrame, edges: DataFrame, candidates: DataFrame, max_seeds: int = 20, filtered: bool = False) -> DataFrame:
     """Graph signals of the candidates only; sessions without candidates are left out before the expansion."""
     sessions = candidates.select("session").distinct()
-    return graph_signal_features(events.join(sessions, "session", "left_semi"), edges, max_seeds, candidates)
+    return graph_signal_features(events.join(sessions, "session", "left_semi"), edges, max_seeds, candidates, filtered)
 
 
 def interaction_features(candidates: DataFrame, events: DataFrame, edges: DataFrame, max_seeds: int = 20, fill: int = DELTA_T_FILL) -> DataFrame:

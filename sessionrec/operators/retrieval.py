@@ -10,10 +10,10 @@ from sessionrec.operators.graph import undirected_covisitation
 from sessionrec.operators.windows import popular_items, prune_topk, recent_seeds, recent_unique_items
 
 
-def expand_seeds(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """session, aid, weight (and graph): the seeds' neighbours, once for each seed row."""
+def expand_seeds(seeds: DataFrame, edges: DataFrame, *carried: str) -> DataFrame:
+    """session, aid, weight (and graph): the seeds' neighbours, once for each seed row; columns of the seeds may be carried along."""
     keep = [c for c in ("weight", "graph") if c in edges.columns]
-    return seeds.select("session", F.col("aid").alias("aid_x")).join(edges.select("aid_x", "aid_y", *keep), "aid_x").select("session", F.col("aid_y").alias("aid"), *keep)
+    return seeds.select("session", F.col("aid").alias("aid_x"), *carried).join(edges.select("aid_x", "aid_y", *keep), "aid_x").select("session", F.col("aid_y").alias("aid"), *keep, *carried)
 
 
 def union_candidates(*parts: DataFrame) -> DataFrame:

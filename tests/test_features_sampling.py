@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import events, rows
 from pyspark.errors import PySparkException
@@ -67,3 +69,25 @@ def test_recall_of_ranked_rows(spark):
     data = [(1, 1, 1, 0.1), (1, 2, 0, 0.9), (2, 3, 1, 0.5)]
     found = ranker.ranked_hit_recall(spark.createDataFrame(data, "session int, aid int, t int, s double"), "t", "s", topk=1).first()
     assert (found.positives, found.hits, found.recall) == (2, 1, 0.5)
+
+
+def test_session_filters(spark):
+    """No item of a session is missed, and few others pass."""
+    keys = spark.range(50).selectExpr("cast(id as int) as session").crossJoin(spark.range(100).selectExpr("cast(id * 37 as int) as aid")).withColumn("aid", (F.col("aid") + F.col("session") * 5000).cast("int"))
+    found = features.session_filters(keys)
+    assert found.where(F.size("filter") != features.FILTER_WORDS).count() == 0
+    own = keys.join(found, "session")
+    assert own.where(~features.may_hold(F.col("filter"), F.col("aid"))).count() == 0
+    other = found.crossJoin(spark.range(2000).selectExpr("cast(1000000 + id as int) as aid"))
+    assert 0.01 < other.where(features.may_hold(F.col("filter"), F.col("aid"))).count() / other.count() < 0.06
+
+
+def test_filtered_signals_are_those_of_the_candidates(spark):
+    rng = random.Random(4)
+    rows = events(spark, *zip(*[(rng.randrange(30), rng.randrange(60), k, 0) for k in range(900)]))
+    edges = spark.createDataFrame([(x, y, rng.random(), g) for x in range(60) for y in rng.sample(range(60), 12) for g in ("click_to_click", "click_to_cart_order")], "aid_x int, aid_y int, weight double, graph string")
+    candidates = spark.createDataFrame([(s, a) for s in range(25) for a in rng.sample(range(60), 15)], "session int, aid int")
+    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    every = features.graph_signal_features(rows, edges)
+    for filtered in (False, True):
+        assert rounded(features.graph_signals_for_candidates(rows, edges, candidates, filtered=filtered)) == rounded(every.join(candidates, ["session", "aid"], "left_semi").select(*every.columns))
