@@ -229,6 +229,24 @@ for _rule in RULES:
     SQL[f"rule_edges_{_rule.name}"] = sql(O, *rule_edges(_rule, "g"), select="select aid_x, aid_y, graph, round(weight, 6) as weight from ge")
 SQL["rule_edges_whole_sessions"] = sql(O, *rule_edges(replace(RULES[2], max_events=0), "g"), select="select aid_x, aid_y, graph, round(weight, 6) as weight from ge")
 SQL["rule_graph_topk"] = sql(U, *three_graphs(), select="select aid_x, aid_y, graph, rank, round(weight, 6) as weight from eg")
+SQL["rule_graph_incremental"] = SQL["rule_graph_topk"]
+
+
+def update_report(n: int = 3) -> str:
+    """After each stretch of time: its events and sessions, earlier events of those sessions, and all pairs so far."""
+    ctes = [U, "en as (select min(ts) as lo, max(ts) as hi from ev)", f"bt as (select ev.*, ((ts - lo) * {n}) // (hi - lo + 1) as batch from ev, en)"]
+    parts = []
+    for k in range(n):
+        ctes.append(f"e{k} as (select session, aid, ts, type from bt where batch <= {k})")
+        for i, rule in enumerate(RULES):
+            ctes += rule_pairs(rule, f"h{k}{i}", f"e{k}")
+        pairs = " + ".join(f"(select count(*) from (select distinct aid_x, aid_y from h{k}{i}p))" for i in range(len(RULES)))
+        parts.append(f"""select {k} as batch, (select count(*) from bt where batch = {k}) as new_events, (select count(distinct session) from bt where batch = {k}) as sessions,
+  (select count(*) from bt where batch < {k} and session in (select session from bt where batch = {k})) as old_events, {pairs} as all_pairs""")
+    return sql(*ctes, select=" union all ".join(parts))
+
+
+SQL["rule_graph_update_report"] = update_report()
 SQL["flagship_click_graph"] = sql(U, *rule_edges(RULES[0], "g"), topk("ge", "aid_x", "weight", 20, "aid_y", "gk"), select="select aid_x, aid_y, rank, round(weight, 6) as weight from gk")
 SQL["graph_topk_bucketed"] = sql(U, *rule_edges(RULES[1], "g", by="bucket"), topk("ge", "bucket, aid_x", "weight", 80, "aid_y", "gp2"), "gm as (select aid_x, aid_y, sum(weight) as weight from gp2 group by all)",
     topk("gm", "aid_x", "weight", 20, "aid_y", "gk"), select="select aid_x, aid_y, rank, round(weight, 6) as weight from gk")

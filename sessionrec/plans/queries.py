@@ -20,6 +20,7 @@ from sessionrec.operators import splits
 from sessionrec.operators import submission as sub
 from sessionrec.operators import windows as win
 from sessionrec.operators.boosting import BoostedTrees
+from sessionrec.operators.incremental import GraphState
 from sessionrec.sources import events as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,6 +464,32 @@ def rule_graph_topk(spark, sf):
     return G.rule_graph_topk(users(spark, sf)).select("aid_x", "aid_y", "graph", "rank", *r6("weight"))
 
 
+def _batches(events: DataFrame, n: int = 3) -> list[DataFrame]:
+    """Events cut into n stretches of time."""
+    ends = events.agg(F.min("ts").alias("_low"), F.max("ts").alias("_high"))  # one row
+    k = F.floor((F.col("ts") - F.col("_low")) * n / (F.col("_high") - F.col("_low") + 1))
+    rows = src.staged(events.crossJoin(F.broadcast(ends)).withColumn("batch", k).drop("_low", "_high"), "batches")
+    return [rows.where(F.col("batch") == i).drop("batch") for i in range(n)]
+
+
+def _grown(spark, sf) -> tuple[GraphState, list[DataFrame]]:
+    state = GraphState(spark, src.scratch_path(spark, "graph"))
+    return state, [state.update(batch) for batch in _batches(users(spark, sf))]
+
+
+@query
+def rule_graph_incremental(spark, sf):
+    """The graph of all events, built from three batches, one after another."""
+    return _grown(spark, sf)[0].graph_topk().select("aid_x", "aid_y", "graph", "rank", *r6("weight"))
+
+
+@query
+def rule_graph_update_report(spark, sf):
+    """What each of the batches made the graph look at again."""
+    reports = [r.withColumn("batch", F.lit(k)) for k, r in enumerate(_grown(spark, sf)[1])]
+    return reduce(DataFrame.unionByName, reports).select("batch", "new_events", "sessions", "old_events", "all_pairs")
+
+
 @query
 def flagship_click_graph(spark, sf):
     return G.rule_graph_topk(users(spark, sf), [CC]).select("aid_x", "aid_y", "rank", *r6("weight"))
