@@ -284,6 +284,19 @@ SQL["candidate_coverage"] = sql(*POOL_LABELLED, f"gl as {GROUPED.format(of='lb')
     select="select type, positives, negatives::bigint as negatives, round(case when positives > 0 then negatives::double / positives end, 6) as neg_per_pos, round(recall, 6) as recall from z left join rr using (type)")
 SQL["item_features"] = sql(O, *ITEMS, select="""select aid, total_interactions, click_count, cart_count, order_count, recent_24h_interactions, round(conversion_rate, 6) as conversion_rate, round(item_cart_conversion_rate, 6) as item_cart_conversion_rate,
   round(item_buy_conversion_rate, 6) as item_buy_conversion_rate, round(item_cart_to_order_rate, 6) as item_cart_to_order_rate, round(least(1, greatest(0, 1 - item_cart_to_order_rate)), 6) as item_funnel_dropoff_rate from fi""")
+
+
+def visits(source: str, gap: int) -> str:
+    """Visits begin where the event before is more than the gap away."""
+    return sql(ev(source), f"vs as (select *, case when ts - lag(ts) over (partition by session order by ts) <= {gap} then 0 else 1 end as starts from ev)",
+        "vn as (select *, sum(starts) over (partition by session order by ts range between unbounded preceding and current row) as visit from vs)",
+        select="""select session, count(*) as visit_length, count(distinct aid) as unique_items, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (where type = 1) as cart_count,
+  count(*) filter (where type = 2) as order_count, max(ts) - min(ts) as duration,
+  (count(*) >= 50 and count(*) filter (where type = 1) = 0 and count(*) filter (where type = 2) = 0)::tinyint as is_window_shopping from vn group by session, visit""")
+
+
+SQL["visit_features"] = visits(ORDERS, 7 * DAY_MS)
+SQL["visit_features_stream"] = visits(USERS, DAY_MS)
 SQL["session_features"] = sql(O, "s as (select session, count(*) as session_length, count(distinct aid) as unique_items, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (where type = 1) as cart_count, count(*) filter (where type = 2) as order_count from ev group by session)",
     select="select *, last_ts - first_ts as duration, (session_length >= 50 and cart_count = 0 and order_count = 0)::tinyint as is_window_shopping from s")
 SQL["interaction_features"] = sql(*FEATURES, select=f"select * exclude (candidate_score, graph_weight_total, graph_weight_sum, graph_weight_max, graph_w_click_to_click, graph_w_cart_order_to_cart_order, graph_w_click_to_cart_order), round(candidate_score, 6) as candidate_score, round(graph_weight_total, 6) as graph_weight_total, {ROUNDED} from fe")

@@ -22,6 +22,7 @@ from sessionrec.operators import windows as win
 from sessionrec.operators.boosting import BoostedTrees
 from sessionrec.operators.incremental import GraphState
 from sessionrec.sources import events as src
+from sessionrec.streaming import visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CC, COCO, CCO = G.RULES
@@ -587,6 +588,26 @@ def interaction_features(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in out.columns])
 
 
+@query
+def visit_features(spark, sf):
+    return visits.visit_features(orders(spark, sf), "7 days")
+
+
+@query
+def visit_features_stream(spark, sf):
+    """From a stream of files that are out of order: each has events of all times. A last file moves the watermark past all visits."""
+    events, gap = src.staged(users(spark, sf), "events"), 86_400_000
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    folder, target, checkpoint = (src.scratch_path(spark, name) for name in ("stream", "visits", "checkpoint"))
+    for k in range(3):
+        src.write_events(events.where(F.pmod(F.xxhash64("session", "aid", "ts"), F.lit(3)) == k), f"{folder}/{k}.parquet")
+    delay = high - low + gap
+    src.write_events(events.limit(1).select(F.lit(-1).alias("session"), "aid", F.lit(high + delay + 2 * gap).alias("ts"), "type"), f"{folder}/last.parquet")
+    schema = visits.visit_features(events).schema
+    visits.write_visits(spark, f"{folder}/*.parquet", target, checkpoint, f"{gap} milliseconds", f"{delay} milliseconds", files=8)
+    return spark.read.schema(schema).parquet(target).where("session >= 0")
+
+
 # Sampling and ranking
 
 
