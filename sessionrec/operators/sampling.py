@@ -106,9 +106,13 @@ def sampling_thresholds(counts: DataFrame, config: HardNegatives = HardNegatives
 def sample_hard_negatives(rows: DataFrame, config: HardNegatives = HardNegatives(), items: DataFrame | None = None) -> DataFrame:
     """All positives and negatives of each kind by their thresholds, with item features if given."""
     bucketed = with_negative_bucket(rows, config)
-    limits = F.broadcast(sampling_thresholds(negative_bucket_counts(bucketed), config))  # four rows
+    return sample_by_limits(bucketed, sampling_thresholds(negative_bucket_counts(bucketed), config), config, items)
+
+
+def sample_by_limits(bucketed: DataFrame, limits: DataFrame, config: HardNegatives = HardNegatives(), items: DataFrame | None = None) -> DataFrame:
+    """Rows whose hash draw is below the limit of their kind (four rows), with item features if given."""
     drawn = hash_draw(F.col("session"), F.col("aid"), F.col("negative_bucket"), seed=config.seed)
-    kept = bucketed.join(limits, "negative_bucket").where(drawn < F.col("limit")).drop("limit")
+    kept = bucketed.join(F.broadcast(limits), "negative_bucket").where(drawn < F.col("limit")).drop("limit")
     return kept if items is None else attach_item_features(kept, items)
 
 

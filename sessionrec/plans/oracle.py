@@ -322,3 +322,13 @@ SQL["downsample_negatives"] = sql(*POOL_LABELLED, "c as (select count(*) filter
 SQL["sample_hard_negatives"] = sql(*negative("target_click"), *ITEMS, "k as (select negative_bucket, count(*) as n from nb group by all)", "q as (select coalesce(sum(n) filter (where negative_bucket = 'positive'), 0) as p from k)",
     "l as (select negative_bucket, case when negative_bucket = 'positive' then 1000000 else floor(least(1, floor(p * case when negative_bucket = 'random' then 4 else 8 end)::double / greatest(n, 1)) * 1000000) end as most from k, q)",
     select=f"select session, nb.aid, negative_bucket, total_interactions from nb join l using (negative_bucket) left join fi on nb.aid = fi.aid where {draw('session', 'nb.aid', 'negative_bucket')} < most")
+SAMPLED = [*negative("target_click"), "k as (select negative_bucket, count(*) as n from nb group by all)", "q as (select coalesce(sum(n) filter (where negative_bucket = 'positive'), 0) as p from k)",
+    "l as (select negative_bucket, (case when negative_bucket = 'positive' then 1000000 else floor(least(1, floor(p * case when negative_bucket = 'random' then 4 else 8 end)::double / greatest(n, 1)) * 1000000) end)::bigint as most from k, q)",
+    f"sm as (select session, aid, negative_bucket from nb join l using (negative_bucket) where {draw('session', 'aid', 'negative_bucket')} < most)",
+    "pt as (select (session % 4)::varchar as part, negative_bucket as b from sm union all select '__TOTAL__', negative_bucket from sm)"]
+SQL["write_hard_negatives"] = sql(*SAMPLED, select="select part, " + ", ".join(f"coalesce((select most from l where negative_bucket = '{k}'), 0) as threshold_{k}" for k in ("hard_click", "hard_graph", "random")) + ", "
+    + ", ".join(f"count(*) filter (where b = '{k}') as {k}_rows" for k in ("positive", "hard_click", "hard_graph", "random"))
+    + """, count(*) as rows, count(*) filter (where b <> 'positive') as negative_rows, round((select max(t) from th), 6) as graph_threshold,
+  round(case when count(*) filter (where b = 'positive') > 0 then (count(*) filter (where b <> 'positive'))::double / count(*) filter (where b = 'positive') end, 6) as neg_pos_ratio from pt group by part""")
+SQL["write_interaction_features"] = sql(*FEATURES, select="""select (session % 8)::int as bucket, count(*) as rows, sum(aid)::bigint as aids, sum(local_interaction_count)::bigint as interactions, sum(dominant_graph_source)::bigint as dominant
+  from fe group by session % 8""")

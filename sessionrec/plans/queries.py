@@ -13,6 +13,7 @@ from sessionrec.functions import weights as W
 from sessionrec.operators import features as feat
 from sessionrec.operators import graph as G
 from sessionrec.operators import metrics as M
+from sessionrec.operators import parts as P
 from sessionrec.operators import ranker as R
 from sessionrec.operators import retrieval as ret
 from sessionrec.operators import sampling as S
@@ -639,6 +640,26 @@ def hard_negative_report(spark, sf):
     return S.hard_negative_report(src.with_bucket(S.with_negative_bucket(labelled(spark, sf), S.HardNegatives(target="target_click")), 4)).select("part", "rows", "positive", "hard_graph", "hard_click", "random", *r6("neg_per_pos"))
 
 
+@query
+def write_hard_negatives(spark, sf):
+    """The stats beside the written parts."""
+    train, label = sides(spark, sf)
+    out = P.write_hard_negatives(labelled_of(train, label), src.scratch_path(spark, "negatives"), S.HardNegatives(target="target_click"), 4, feat.item_features(train))
+    return out.select(*[c for c in out.columns if c not in ("graph_threshold", "neg_pos_ratio")], *r6("graph_threshold", "neg_pos_ratio"))
+
+
+@query
+def write_interaction_features(spark, sf):
+    """Three buckets first, then the rest by resuming; sums of the parts as read again."""
+    events, path = train_side(spark, sf), src.scratch_path(spark, "features")
+    edges = edges_of(events)
+    candidates = pool_by(events, edges)
+    P.write_interaction_features(candidates, events, edges, path, 8, only=(1, 4, 6))
+    stats = P.write_interaction_features(candidates, events, edges, path, 8, resume=True)
+    parts = spark.read.parquet(f"{path}/parts").groupBy("bucket").agg(F.sum("aid").alias("aids"), F.sum("local_interaction_count").alias("interactions"), F.sum("dominant_graph_source").alias("dominant"))
+    return stats.join(parts, "bucket").select("bucket", "rows", "aids", "interactions", "dominant")
+
+
 @query
 def ranker_training_frame(spark, sf):
     out = R.ranker_training_frame(labelled(spark, sf), "target_click")
