@@ -212,7 +212,7 @@ SQL["split_tail"] = sql(O, *tail("ev", 1), "n as (select session, count(*) as tr
 SQL["recent_seeds"] = sql(O, seeds(), select="select session, aid, ts, type, seed_rank from sd")
 SQL["recent_seed_items"] = sql(O, seeds(), select="select distinct session, aid from sd")
 SQL["recent_unique_items"] = sql(O, "l as (select session, aid, max(ts) as t from ev group by all)", "p as (select session, aid, (row_number() over (partition by session order by t desc, aid desc))::int as pos from l)", select="select * from p where pos <= 20")
-SQL["popular_items"] = sql(O, popular("ev", A, 100), select="select aid, score, rank from po")
+SQL["heavy_items"] = SQL["popular_items"] = sql(O, popular("ev", A, 100), select="select aid, score, rank from po")
 SQL["popular_fallback_items"] = sql(O, popular("ev", B, 100), select="select aid, score, rank from po")
 SQL["union_candidates"] = sql(U, *three_graphs(), seeds(), "s1 as (select session, aid, 60.0::double / seed_rank as score from sd union all select session, aid_y, weight from sd join eg on sd.aid = eg.aid_x)",
     select="select session, aid, round(sum(score), 6) as score from s1 group by all")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sessionrec.functions import weights as W
 from sessionrec.operators import features as feat
 from sessionrec.operators import graph as G
+from sessionrec.operators import heavy as H
 from sessionrec.operators import metrics as M
 from sessionrec.operators import parts as P
 from sessionrec.operators import ranker as R
@@ -381,6 +382,12 @@ def popular_fallback_items(spark, sf):
     return win.popular_fallback_items(orders(spark, sf), 100)
 
 
+@query
+def heavy_items(spark, sf):
+    """As popular_items(), by summaries of bounded size."""
+    return H.heavy_items(orders(spark, sf), W.event_weight(F.col("type")), 100)
+
+
 # Sets and strings
 
 
