@@ -296,6 +296,27 @@ def moved(splits: list[Split], values: dict[int, float]):
     return run
 
 
+def one_round(summed, turn: int, edges: list[np.ndarray], settings: Settings) -> tuple[Tree, list[Split], dict[int, float]]:
+    """The tree of a round, its splits by bins and its leaves' values by node."""
+    draw = random.Random(f"{settings.seed}/{turn}")
+    seen = sorted(draw.sample(range(len(edges)), max(1, round(settings.feature_share * len(edges)))))
+    nodes, order = grown(summed, seen, settings)
+    tree, values = tree_of(nodes, order, edges, settings)
+    return tree, splits_of(nodes, order), values
+
+
+def all_rounds(edges: list[np.ndarray], settings: Settings):
+    """A frame of one block to its trees, in the task that has the block."""
+    def run(blocks: Iterator[Block]) -> Iterator[Tree]:
+        for block in blocks:
+            for turn in range(settings.rounds):
+                tree, splits, values = one_round(lambda splits, wanted: next(histograms(splits, wanted, settings, turn)(iter([block]))), turn, edges, settings)  # noqa: B023
+                block = moved(splits, values)(block)
+                yield tree
+
+    return run
+
+
 def train_boosted_trees(frame: DataFrame, target: str, features: Iterable[str], keys: Iterable[str], settings: Settings = Settings()) -> BoostedTrees:
     """Gradient boosting with logistic loss, best-first trees and a learned way for missing values (null or NaN).
 
@@ -303,6 +324,7 @@ def train_boosted_trees(frame: DataFrame, target: str, features: Iterable[str],
     which are summed by a tree of tasks; the driver sees those sums alone, whose size follows from leaves, features and bins,
     and picks splits. Rows never move. Margins stay beside the rows, and every INTERVAL rounds they are written to the
     checkpoint folder, so that a lost executor costs the rounds since then at most. Rows are drawn for each round by a hash of `keys`.
+    A frame of one block (BLOCK_ROWS rows at most) goes through the same rounds in the task that has it, without a job for each pass.
 
     An empty frame, or a target of one value, gives a model without trees.
     """
@@ -316,14 +338,16 @@ def train_boosted_trees(frame: DataFrame, target: str, features: Iterable[str],
     edges = bin_edges(frame, features)
     rows = frame.select(F.xxhash64(*keys).alias("key"), F.col(target).cast("double").alias("target"), *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)])
     rows = staged(rows.mapInArrow(binned(edges), "key long, target double, bins binary"), "binned")
-    blocks = rows.repartition(max(1, -(-n // BLOCK_ROWS)), "key").rdd.mapPartitions(blocks_of(len(features), base)).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(1, -(-n // BLOCK_ROWS))
+    blocks = rows.repartition(parts, "key").rdd.mapPartitions(blocks_of(len(features), base))
+    if parts == 1:
+        model.trees.extend(blocks.mapPartitions(all_rounds(edges, settings)).collect())
+        return model
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
     for turn in range(settings.rounds):
-        draw = random.Random(f"{settings.seed}/{turn}")
-        seen = sorted(draw.sample(range(len(features)), max(1, round(settings.feature_share * len(features)))))
-        nodes, order = grown(lambda splits, wanted: blocks.mapPartitions(histograms(splits, wanted, settings, turn)).treeReduce(np.add), seen, settings)  # noqa: B023
-        tree, values = tree_of(nodes, order, edges, settings)
+        tree, splits, values = one_round(lambda splits, wanted: blocks.mapPartitions(histograms(splits, wanted, settings, turn)).treeReduce(np.add), turn, edges, settings)  # noqa: B023
         model.trees.append(tree)
-        before, blocks = blocks, blocks.map(moved(splits_of(nodes, order), values)).persist(StorageLevel.MEMORY_AND_DISK)
+        before, blocks = blocks, blocks.map(moved(splits, values)).persist(StorageLevel.MEMORY_AND_DISK)
         if turn % INTERVAL == INTERVAL - 1:
             blocks.checkpoint()
         blocks.count()
