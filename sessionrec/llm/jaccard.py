@@ -455,8 +455,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text, so of rows with one doc_id and unlike texts each is
     judged by its own text. Of rows of one doc_id in a component the one with the least hash of
     its text stays; of rows equal in both, one stays (the one whose columns have the least hash).
-    A null doc_id comes after all others. Rows without words stay, however often they are there.
-    An empty table gives no rows.
+    A null doc_id comes after all others. Rows without words stay, however often they are there. A very
+    long text is one set of shingles, over all of its words. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     members, links, _ = shingle_links(docs, scratch)

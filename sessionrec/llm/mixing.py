@@ -226,7 +226,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     A document without words goes (null and empty texts too), as the mix takes words. Null ids and
     sources are like others. Rows equal in doc_id, source and text are told apart by their other
-    columns' hash. An empty table gives no rows.
+    columns' hash; documents of one size trade in the order of their draws. A very long text is taken
+    whole, as often as its size allows. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     found, _ = copies(docs, scratch)

@@ -350,7 +350,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     n_chars, where there, is counted anew for changed texts. A document that had words and has none
     left goes; null, empty and short texts stay. Equal rows are one document, so each keeps or loses
-    the same words; null ids come last in the order of occurrences. An empty table gives no rows.
+    the same words; null ids come last in the order of occurrences. A very long text is cut in one row, by
+    spans that may be anywhere in it. An empty table gives no rows.
     """
     found = repeated_spans(docs, Scratch(docs.sparkSession, "repeats")).where(F.size("removed") > 0).select("dk", "removed")
     keyed = docs.select(packed(docs).alias("row"), F.xxhash64("doc_id", "text").alias("_dk"))

@@ -288,7 +288,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns, whatever those are called.
 
     Rows are judged one by one by their text: repeated rows stay or go together, null texts and ids
-    are scored like others, and an empty table, or labels without evidence, change nothing.
+    are scored like others, a very long text is scored whole, a chance of exactly the cut-off stays, and
+    an empty table, or labels without evidence, change nothing.
     """
     return scored(docs.select(packed(docs).alias("row")), fit_toxicity(docs, labels)).where(~F.col("rejected")).select("row.*")
 
