@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionrec.operators import features, ranker, sampling
 
 
+# The toy rows of this module and what is expected of them.
 @pytest.fixture(scope="module")
 def toy(spark):
     return events(spark, [1, 1, 1, 2, 2, 3, 3, 3], [10, 10, 10, 11, 12, 12, 12, 12], [1000 * k for k in range(1, 9)], [0, 0, 0, 0, 0, 1, 1, 2])
