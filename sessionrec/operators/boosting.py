@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -22,9 +23,13 @@ BINS = 255
 MISSING = BINS
 #: Accuracy of the quantile sketch that sets bin edges.
 SKETCH = 10_000
-#: Rows of the training frame to a block. Each pass over the blocks is a short job, so they should not be many and small.
+#: Rows of the training frame to a block, where each pass over the blocks is a job.
 BLOCK_ROWS = 50_000
-#: Rounds between checkpoints of the margins.
+#: Rows that are trained in one task: some 100 bytes each there. Best-first trees have some 40 levels, and a job for each takes longer than all of a round in a task.
+TASK_ROWS = 3_000_000
+#: Rounds of a task; what a lost executor costs at most.
+ROUNDS_OF_TASK = 50
+#: Rounds between checkpoints of the margins, where each pass is a job.
 INTERVAL = 10
 
 
@@ -169,10 +174,11 @@ def sampled(key: np.ndarray, seed: int, turn: int, share: float) -> np.ndarray:
 Split = tuple[int, int, int, bool, int, int]
 
 
-def parted(bins: np.ndarray, rows: np.ndarray, splits: list[Split]) -> dict[int, np.ndarray]:
-    """The rows of each node after splits, parents before children."""
-    found = {0: rows}
+def parted(bins: np.ndarray, found: dict[int, np.ndarray], splits: list[Split]) -> dict[int, np.ndarray]:
+    """The rows of each node after splits, parents before children; those of nodes that are gone from `found` were made before."""
     for node, feature, to, missing_left, left, right in splits:
+        if node not in found:
+            continue
         at = found.pop(node)
         b = bins[feature][at]
         to_left = (b <= to) & (b != MISSING) | ((b == MISSING) & missing_left)
@@ -180,22 +186,33 @@ def parted(bins: np.ndarray, rows: np.ndarray, splits: list[Split]) -> dict[int,
     return found
 
 
+class Turn:
+    """A block in a round: gradients, curvatures and the drawn rows of each node, which follow the splits as they are made."""
+
+    def __init__(self, block: Block, settings: Settings, turn: int):
+        p = 1 / (1 + np.exp(-block.margin))
+        self.bins, self.g, self.h = block.bins, p - block.target, p * (1 - p)
+        self.rows = {0: np.flatnonzero(sampled(block.key, settings.seed, turn, settings.row_share))}
+
+    def histograms(self, splits: list[Split], wanted: list[int]) -> np.ndarray:
+        """(nodes, features, bins, 3): rows, gradients and curvatures of the wanted nodes."""
+        parted(self.bins, self.rows, splits)
+        rows = np.concatenate([self.rows[n] for n in wanted])
+        slot = np.repeat(np.arange(len(wanted)) * (BINS + 1), [len(self.rows[n]) for n in wanted])
+        g, h, size = self.g[rows], self.h[rows], len(wanted) * (BINS + 1)
+        out = np.empty((len(wanted), len(self.bins), BINS + 1, 3))
+        for f, bins in enumerate(self.bins):
+            code = slot + bins[rows]
+            for k, weights in enumerate((None, g, h)):
+                out[:, f, :, k] = np.bincount(code, weights=weights, minlength=size).reshape(len(wanted), BINS + 1)
+        return out
+
+
 def histograms(splits: list[Split], wanted: list[int], settings: Settings, turn: int):
-    """Blocks to (nodes, features, bins, 3): rows, gradients and curvatures of the wanted nodes."""
+    """Blocks to the histograms of the wanted nodes."""
     def run(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
         for block in blocks:
-            p = 1 / (1 + np.exp(-block.margin))
-            g, h = p - block.target, p * (1 - p)
-            by_node = parted(block.bins, np.flatnonzero(sampled(block.key, settings.seed, turn, settings.row_share)), splits)
-            rows = np.concatenate([by_node[n] for n in wanted])
-            slot = np.repeat(np.arange(len(wanted)) * (BINS + 1), [len(by_node[n]) for n in wanted])
-            g, h, size = g[rows], h[rows], len(wanted) * (BINS + 1)
-            out = np.empty((len(wanted), len(block.bins), BINS + 1, 3))
-            for f, bins in enumerate(block.bins):
-                code = slot + bins[rows]
-                for k, weights in enumerate((None, g, h)):
-                    out[:, f, :, k] = np.bincount(code, weights=weights, minlength=size).reshape(len(wanted), BINS + 1)
-            yield out
+            yield Turn(block, settings, turn).histograms(splits, wanted)
 
     return run
 
@@ -289,7 +306,7 @@ def tree_of(nodes: dict[int, Node], order: list[int], edges: list[np.ndarray], s
 def moved(splits: list[Split], values: dict[int, float]):
     def run(block: Block) -> Block:
         margin = block.margin.copy()
-        for node, rows in parted(block.bins, np.arange(len(margin)), splits).items():
+        for node, rows in parted(block.bins, {0: np.arange(len(margin))}, splits).items():
             margin[rows] += values[node]
         return Block(block.bins, block.target, block.key, margin)
 
@@ -305,14 +322,28 @@ def one_round(summed, turn: int, edges: list[np.ndarray], settings: Settings) ->
     return tree, splits_of(nodes, order), values
 
 
-def all_rounds(edges: list[np.ndarray], settings: Settings):
-    """A frame of one block to its trees, in the task that has the block."""
-    def run(blocks: Iterator[Block]) -> Iterator[Tree]:
-        for block in blocks:
-            for turn in range(settings.rounds):
-                tree, splits, values = one_round(lambda splits, wanted: next(histograms(splits, wanted, settings, turn)(iter([block]))), turn, edges, settings)  # noqa: B023
-                block = moved(splits, values)(block)
-                yield tree
+def block_of(batches: Iterator[pa.RecordBatch], features: int, base: float) -> Block:
+    """Batches of key, target and bins as one block."""
+    found = [[np.zeros(0, np.int64), np.zeros(0), b""]]
+    for batch in batches:
+        key, target, bins = batch.columns
+        found.append([key.to_numpy(zero_copy_only=False), target.to_numpy(zero_copy_only=False), b"".join(bins.to_pylist())])
+    keys, targets, bins = zip(*found)
+    key = np.concatenate(keys)
+    flat = np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(key), features)
+    return Block(np.ascontiguousarray(flat.T), np.concatenate(targets), key.view(np.uint64), np.full(len(key), base))
+
+
+def rounds_of_task(edges: list[np.ndarray], settings: Settings, base: float, before: list[tuple[list[Split], dict[int, float]]], turns: range):
+    """Rounds over the rows of a task, from the margins that the trees before give."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = block_of(batches, len(edges), base)
+        for splits, values in before:
+            block = moved(splits, values)(block)
+        for turn in turns:
+            tree, splits, values = one_round(Turn(block, settings, turn).histograms, turn, edges, settings)
+            block = moved(splits, values)(block)
+            yield pa.RecordBatch.from_arrays([pa.array([turn]), pa.array([pickle.dumps((tree, splits, values))])], names=["turn", "round"])
 
     return run
 
@@ -324,12 +355,11 @@ def train_boosted_trees(frame: DataFrame, target: str, features: Iterable[str],
     which are summed by a tree of tasks; the driver sees those sums alone, whose size follows from leaves, features and bins,
     and picks splits. Rows never move. Margins stay beside the rows, and every INTERVAL rounds they are written to the
     checkpoint folder, so that a lost executor costs the rounds since then at most. Rows are drawn for each round by a hash of `keys`.
-    A frame of one block (BLOCK_ROWS rows at most) goes through the same rounds in the task that has it, without a job for each pass.
+    A frame of TASK_ROWS rows at most goes through the same rounds in a task, ROUNDS_OF_TASK at a time, without a job for each pass.
 
     An empty frame, or a target of one value, gives a model without trees.
     """
     spark, features = frame.sparkSession, tuple(features)
-    with_checkpoints(spark)
     n, positive = frame.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(target).cast("double")), F.lit(0.0))).first()
     base = math.log(positive / (n - positive)) if 0 < positive < n else 0.0
     model = BoostedTrees(features, base, [])
@@ -338,19 +368,30 @@ def train_boosted_trees(frame: DataFrame, target: str, features: Iterable[str],
     edges = bin_edges(frame, features)
     rows = frame.select(F.xxhash64(*keys).alias("key"), F.col(target).cast("double").alias("target"), *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)])
     rows = staged(rows.mapInArrow(binned(edges), "key long, target double, bins binary"), "binned")
-    parts = max(1, -(-n // BLOCK_ROWS))
-    blocks = rows.repartition(parts, "key").rdd.mapPartitions(blocks_of(len(features), base))
-    if parts == 1:
-        model.trees.extend(blocks.mapPartitions(all_rounds(edges, settings)).collect())
+    if n > TASK_ROWS:
+        model.trees.extend(trees_by_passes(rows, -(-n // BLOCK_ROWS), base, edges, settings))
         return model
-    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    made, alone = [], rows.coalesce(1)
+    for start in range(0, settings.rounds, ROUNDS_OF_TASK):
+        turns = range(start, min(start + ROUNDS_OF_TASK, settings.rounds))
+        found = alone.mapInArrow(rounds_of_task(edges, settings, base, [r[1:] for r in made], turns), "turn long, round binary")
+        made += [pickle.loads(r["round"]) for r in sorted(found.collect(), key=lambda r: r.turn)]  # trees: bounded by rounds and leaves
+    model.trees.extend(r[0] for r in made)
+    return model
+
+
+def trees_by_passes(rows: DataFrame, parts: int, base: float, edges: list[np.ndarray], settings: Settings) -> list[Tree]:
+    """The same trees with a job for each pass; the driver adds up histograms by a tree of tasks, and margins are written every INTERVAL rounds."""
+    with_checkpoints(rows.sparkSession)
+    blocks = rows.repartition(parts, "key").rdd.mapPartitions(blocks_of(len(edges), base)).persist(StorageLevel.MEMORY_AND_DISK)
+    trees = []
     for turn in range(settings.rounds):
         tree, splits, values = one_round(lambda splits, wanted: blocks.mapPartitions(histograms(splits, wanted, settings, turn)).treeReduce(np.add), turn, edges, settings)  # noqa: B023
-        model.trees.append(tree)
+        trees.append(tree)
         before, blocks = blocks, blocks.map(moved(splits, values)).persist(StorageLevel.MEMORY_AND_DISK)
         if turn % INTERVAL == INTERVAL - 1:
             blocks.checkpoint()
         blocks.count()
         before.unpersist()
     blocks.unpersist()
-    return model
+    return trees

@@ -88,6 +88,31 @@ def test_as_the_plain_version(spark, monkeypatch, missing, blocks):
     assert all(sum(f < 0 for f in t.feature) <= 9 for t in model.trees) and len(model.trees) == 4
 
 
+@pytest.mark.parametrize("missing", [False, True])
+def test_passes_as_the_plain_version(spark, monkeypatch, missing):
+    """Frames beyond TASK_ROWS, whose passes are jobs."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    test_as_the_plain_version(spark, monkeypatch, missing, 200)
+
+
+def test_rounds_of_a_task_need_no_jobs(spark, monkeypatch):
+    """A frame of several blocks: jobs don't grow with rounds and levels, and rounds that go on in a second job give the same trees."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 200)
+    frame = spark.createDataFrame(rows_of(800, 1, True), COLUMNS).repartition(3)
+    s, found = Settings(rounds=12, leaves=9, least=15), {}
+    for job in (50, 5):
+        monkeypatch.setattr(boosting, "ROUNDS_OF_TASK", job)
+        group = f"rounds-{job}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            found[job] = boosting.train_boosted_trees(frame, "y", "abc", ("session", "aid"), s)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 12
+    x = frame.select("a", "b", "c").toPandas().to_numpy(dtype=float)
+    assert len(found[5].trees) == 12 and found[50].margins(x) == pytest.approx(found[5].margins(x), abs=1e-9)
+
+
 def test_missing_values_learn_their_way(spark):
     """The target is 1 where c is missing: a fill in the middle of the known values could not tell."""
     rows = [(k, 0, int(k % 3 == 0), 0.0, 0.0, None if k % 3 == 0 else float(k % 7)) for k in range(600)]
