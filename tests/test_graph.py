@@ -95,3 +95,12 @@ def test_mixed(spark):
     lists = {s: [r.aid for r in found.where(F.col("session") == s).orderBy("rank").collect()] for s in (1, 9)}
     assert lists[1] == [104, 103, 102]
     assert lists[9] == [103, 101, 102]
+
+
+def test_mixed_lists_expand_in_many_tasks(spark):
+    """Few bytes of sessions expand to many rows: all tasks take part, and no aggregate sorts."""
+    many = spark.range(6000).selectExpr("cast(id % 300 as int) as session", "cast(id * 7 % 50 as int) as aid", "id as ts", "cast(0 as tinyint) as type")
+    found = retrieval.recommend_mixed(many)
+    assert found.count() == 300 * 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
