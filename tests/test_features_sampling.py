@@ -92,3 +92,20 @@ def test_filtered_signals_are_those_of_the_candidates(spark):
     every = features.graph_signal_features(rows, edges)
     for filtered in (False, True):
         assert rounded(features.graph_signals_for_candidates(rows, edges, candidates, filtered=filtered)) == rounded(every.join(candidates, ["session", "aid"], "left_semi").select(*every.columns))
+
+
+def test_orders_and_lines_meet_once_for_item_features(spark, monkeypatch):
+    """The join is made for one table, which the last day, the counts and the rates read; lines are not sorted for it."""
+    from sessionrec.plans import queries
+
+    joins, real = [], queries.orders
+
+    def orders(*args):
+        joins.append(real(*args))
+        return joins[-1]
+
+    monkeypatch.setattr(queries, "orders", orders)
+    plan = queries.QUERIES["item_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
+    join = joins[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(joins) == 1 and "ShuffledHashJoin" in join and "Sort" not in join
