@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 
 from sessionrec.operators import ranker
@@ -42,3 +44,11 @@ def test_samples_and_rankers_use_the_full_pool(spark, asked, monkeypatch, name):
     monkeypatch.setattr(queries.ret, "recommend_from_graphs", recommend)
     queries.QUERIES[name](spark, SF)
     assert sizes == [(100, 50)]
+
+
+def test_variants_are_trained_at_once(spark, monkeypatch):
+    """Each waits for the other."""
+    both = threading.Barrier(2, timeout=30)
+    monkeypatch.setattr(queries, "_TRAINED", {})
+    monkeypatch.setattr(queries.R, "train_and_save", lambda *args: both.wait())
+    assert set(queries._models(spark, SF)[0]) == {"nan", "filled"} and not both.broken
