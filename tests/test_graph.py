@@ -104,3 +104,9 @@ def test_mixed_lists_expand_in_many_tasks(spark):
     assert found.count() == 300 * 20
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_seeds_are_expanded_once_for_counts_and_sums(toy):
+    popular = windows.popular_fallback_items(toy, 5)
+    found = retrieval.recommend_from_graphs(toy, G.rule_graph_topk(toy), topk=5, min_candidates=5, popular=popular)
+    assert "seed_rank" not in found._jdf.queryExecution().optimizedPlan().toString()  # the scores are read from their table
