@@ -25,8 +25,10 @@ MISSING = BINS
 SKETCH = 10_000
 #: Rows of the training frame to a block, where each pass over the blocks is a job.
 BLOCK_ROWS = 50_000
-#: Rows that are trained in one task: some 100 bytes each there. Best-first trees have some 40 levels, and a job for each takes longer than all of a round in a task.
+#: Rows that are trained in one task: up to some 200 bytes each there, temporaries included. Best-first trees have some 40 levels, and a job for each takes longer than all of a round in a task.
 TASK_ROWS = 3_000_000
+#: Rows of a node whose sums a task makes for all features at once.
+FLAT_ROWS = 1_000
 #: Rounds of a task; what a lost executor costs at most.
 ROUNDS_OF_TASK = 50
 #: Rounds between checkpoints of the margins, where each pass is a job.
@@ -125,10 +127,12 @@ class BoostedTrees:
 
 def bin_edges(frame: DataFrame, features: Iterable[str]) -> list[np.ndarray]:
     """For each feature the values at which its bins end, BINS - 1 at most, by a quantile sketch; missing values have none."""
-    shares = [k / BINS for k in range(1, BINS)]
+    shares, features = [k / BINS for k in range(1, BINS)], list(features)
     value = lambda f: F.when(F.isnan(F.col(f).cast("double")), None).otherwise(F.col(f).cast("double"))
-    row = frame.agg(*[F.percentile_approx(value(f), shares, SKETCH).alias(f"_{k}") for k, f in enumerate(features)]).first()
-    return [np.unique(np.array(q or [], dtype=float)) for q in row]
+    values = frame.select(F.posexplode(F.array(*[value(f) for f in features])).alias("feature", "value"))
+    # By feature, so that sketches of different features are merged in different tasks.
+    found = dict(values.groupBy("feature").agg(F.percentile_approx("value", shares, SKETCH)).collect())  # a row for each feature
+    return [np.unique(np.array(found.get(k) or [], dtype=float)) for k, _ in enumerate(features)]
 
 
 @dataclass
@@ -186,35 +190,100 @@ def parted(bins: np.ndarray, found: dict[int, np.ndarray], splits: list[Split])
     return found
 
 
+def histograms(splits: list[Split], wanted: list[int], settings: Settings, turn: int):
+    """Blocks to (nodes, 3, features, bins): rows, gradients and curvatures of the wanted nodes."""
+    def run(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
+        for block in blocks:
+            found = parted(block.bins, {0: np.flatnonzero(sampled(block.key, settings.seed, turn, settings.row_share))}, splits)
+            rows = np.concatenate([found[n] for n in wanted])
+            slot = np.repeat(np.arange(len(wanted)) * (BINS + 1), [len(found[n]) for n in wanted])
+            p = 1 / (1 + np.exp(-block.margin[rows]))
+            g, h = p - block.target[rows], p * (1 - p)
+            out = np.empty((len(wanted), 3, len(block.bins), BINS + 1))
+            for f, bins in enumerate(block.bins):
+                code = slot + bins[rows]
+                for k, weights in enumerate((None, g, h)):
+                    out[:, k, f] = np.bincount(code, weights=weights, minlength=len(wanted) * (BINS + 1)).reshape(len(wanted), BINS + 1)
+            yield out
+
+    return run
+
+
+@dataclass
+class Distinct:
+    """The rows of a task, those of equal bins once: bins by feature and by row, and margins so far; and of each row its key, target and place there.
+
+    columns: features of few bins share a column of codes, which is counted once; the others have one of their own. Each with its features and their numbers of bins.
+    """
+
+    bins: np.ndarray
+    by_row: np.ndarray
+    columns: list[tuple[np.ndarray, list[int], list[int]]]
+    margin: np.ndarray
+    key: np.ndarray
+    target: np.ndarray
+    place: np.ndarray
+
+
 class Turn:
-    """A block in a round: gradients, curvatures and the drawn rows of each node, which follow the splits as they are made."""
+    """A round in a task. A split moves the rows of its smaller child alone, which get a label; the other child keeps its parent's.
 
-    def __init__(self, block: Block, settings: Settings, turn: int):
-        p = 1 / (1 + np.exp(-block.margin))
-        self.bins, self.g, self.h = block.bins, p - block.target, p * (1 - p)
-        self.rows = {0: np.flatnonzero(sampled(block.key, settings.seed, turn, settings.row_share))}
+    Large nodes are found by their label, the others have a list of their rows.
+    """
+
+    def __init__(self, rows: Distinct, settings: Settings, turn: int):
+        self.rows, n, p = rows, len(rows.margin), 1 / (1 + np.exp(-rows.margin))
+        drawn = sampled(rows.key, settings.seed, turn, settings.row_share)
+        place = rows.place[drawn]
+        count = np.bincount(place, minlength=n).astype(float)
+        #: Of the drawn rows of equal bins: how many, gradients and curvatures.
+        self.weights = count, count * p - np.bincount(place, rows.target[drawn], n), count * p * (1 - p)
+        self.labels = np.zeros(n, np.min_scalar_type(settings.leaves))
+        self.label, self.size, self.lists = {0: 0}, {0: n}, {}
 
     def histograms(self, splits: list[Split], wanted: list[int]) -> np.ndarray:
-        """(nodes, features, bins, 3): rows, gradients and curvatures of the wanted nodes."""
-        parted(self.bins, self.rows, splits)
-        rows = np.concatenate([self.rows[n] for n in wanted])
-        slot = np.repeat(np.arange(len(wanted)) * (BINS + 1), [len(self.rows[n]) for n in wanted])
-        g, h, size = self.g[rows], self.h[rows], len(wanted) * (BINS + 1)
-        out = np.empty((len(wanted), len(self.bins), BINS + 1, 3))
-        for f, bins in enumerate(self.bins):
-            code = slot + bins[rows]
-            for k, weights in enumerate((None, g, h)):
-                out[:, f, :, k] = np.bincount(code, weights=weights, minlength=size).reshape(len(wanted), BINS + 1)
+        """As histograms(); the wanted nodes are the root, or the smaller children of the splits, which are new."""
+        found = [self.split(split, small) for split, small in zip(splits, wanted, strict=True)] if splits else [np.arange(self.size[0])]
+        return np.stack([self.sums(at[self.weights[0][at] > 0]) for at in found])
+
+    def split(self, split: Split, small: int) -> np.ndarray:
+        """The smaller child's rows."""
+        node, feature, to, missing_left, left, right = split
+        other, at, label = left + right - small, self.lists.pop(node, None), self.label.pop(node)
+        bins = self.rows.bins[feature] if at is None else self.rows.bins[feature][at]
+        inside = (bins <= to) | (bins == MISSING) if missing_left else bins <= to
+        if small == right:
+            inside = ~inside
+        if at is None:
+            moved = np.flatnonzero(inside & (self.labels == label))
+        else:
+            moved, self.lists[other] = at[inside], at[~inside]
+        self.lists[small], self.label[small], self.label[other] = moved, len(self.label) + 1, label
+        self.labels[moved] = self.label[small]
+        self.size[small], self.size[other] = len(moved), self.size[node] - len(moved)
+        if at is None and self.size[other] < len(self.labels) / 8:
+            self.lists[other] = np.flatnonzero(self.labels == label)
+        return moved
+
+    def sums(self, at: np.ndarray) -> np.ndarray:
+        weights, n = [w[at] for w in self.weights], len(self.rows.bins)
+        if len(at) <= FLAT_ROWS:
+            code = (self.rows.by_row[at] + np.arange(n) * (BINS + 1)).ravel()
+            return np.stack([np.bincount(code, np.repeat(w, n), n * (BINS + 1)) for w in weights]).reshape(3, n, BINS + 1)
+        out = np.zeros((3, n, BINS + 1))
+        for codes, features, sizes in self.rows.columns:
+            code = codes[at].astype(np.intp)
+            found = np.stack([np.bincount(code, w, math.prod(sizes)) for w in weights]).reshape(3, *sizes)
+            for k, (f, size) in enumerate(zip(features, sizes)):
+                out[:, f, :size] = found.sum(axis=tuple(j + 1 for j in range(len(sizes)) if j != k))
         return out
 
-
-def histograms(splits: list[Split], wanted: list[int], settings: Settings, turn: int):
-    """Blocks to the histograms of the wanted nodes."""
-    def run(blocks: Iterator[Block]) -> Iterator[np.ndarray]:
-        for block in blocks:
-            yield Turn(block, settings, turn).histograms(splits, wanted)
-
-    return run
+    def move(self, values: dict[int, float]) -> None:
+        """Adds the values of the leaves to the rows' margins."""
+        value = np.zeros(len(self.label))
+        for node, label in self.label.items():
+            value[label] = values[node]
+        self.rows.margin += value[self.labels]
 
 
 @dataclass
@@ -231,31 +300,38 @@ class Node:
 
 def best_split(sums: np.ndarray, features: list[int], settings: Settings) -> Node:
     """The split of the greatest gain over features, bins and both ways for missing values; the first among equals."""
-    total = sums[features[0]].sum(axis=0)
+    total = np.cumsum(sums[:, features[0]], axis=1)[:, -1]
     found = Node(sums)
-    sums = sums[features]
-    value = lambda s: s[..., 1] ** 2 / np.maximum(s[..., 2], 1e-300)
-    below = np.cumsum(sums[:, :BINS], axis=1)
+    if total[0] < 2 * settings.least:
+        return found
+    sums = sums[:, features]
+    value = lambda g, h: g**2 / np.maximum(h, 1e-300)
+    below = np.cumsum(sums[:, :, :BINS], axis=2)
+    missing = np.flatnonzero(sums[0, :, MISSING])
     for missing_left in (False, True):
-        left = below + sums[:, MISSING:] if missing_left else below
-        right = total - left
-        allowed = (np.minimum(left[..., 0], right[..., 0]) >= settings.least) & (np.minimum(left[..., 2], right[..., 2]) >= settings.least_curvature)
-        gain = np.where(allowed, value(left) + value(right) - value(total), 0.0)
-        f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
-        if gain[f, b] > found.gain + 1e-12:
-            found.gain, found.feature, found.bin, found.missing_left = float(gain[f, b]), features[f], int(b), missing_left
+        if missing_left:  # the features without missing rows would give the same
+            below = below[:, missing] + sums[:, missing, MISSING:]
+        n = below[0].ravel()
+        at = np.flatnonzero((n >= settings.least) & (total[0] - n >= settings.least))
+        (g, h), (_, all_g, all_h) = below.reshape(3, -1)[1:, at], total
+        gain = np.where(np.minimum(h, all_h - h) >= settings.least_curvature, value(g, h) + value(all_g - g, all_h - h) - value(all_g, all_h), 0.0)
+        k = int(np.argmax(gain)) if len(at) else -1
+        if k >= 0 and gain[k] > found.gain + 1e-12:
+            f, b = divmod(int(at[k]), BINS)
+            found.gain, found.feature, found.bin, found.missing_left = float(gain[k]), features[missing[f] if missing_left else f], b, missing_left
     return found
 
 
-def grown(summed, features: list[int], settings: Settings) -> tuple[dict[int, Node], list[int]]:
+def grown(summed, features: list[int], settings: Settings, ahead: bool = True) -> tuple[dict[int, Node], list[int]]:
     """Nodes of a tree, and those that are split, in best-first order: always the leaf of the greatest gain next.
 
-    summed(splits, wanted) gives histograms. One pass asks for the children of all leaves that may still be split, so
-    passes are as many as the tree is deep, not as it has leaves. A child with more rows is its parent less its sibling.
+    summed(splits, wanted) gives histograms. ahead: a pass over all rows asks for the children of all leaves that may still be
+    split, with all splits so far, so passes are as many as the tree is deep, not as it has leaves. Else for the next leaf's
+    children, with their split alone. A child with more rows is its parent less its sibling.
     """
     nodes = {0: best_split(summed([], [0])[0], features, settings)}
+    order, leaves = [], [(-nodes[0].gain, 0)]
     while True:
-        order, leaves = [], [(-nodes[0].gain, 0)]
         while leaves and len(order) < settings.leaves - 1 and leaves[0][0] < 0 and nodes[leaves[0][1]].children:
             n = heapq.heappop(leaves)[1]
             order.append(n)
@@ -264,13 +340,13 @@ def grown(summed, features: list[int], settings: Settings) -> tuple[dict[int, No
         if not leaves or len(order) == settings.leaves - 1 or leaves[0][0] == 0:
             return nodes, order
         # The next leaf's children are not known: they are asked for, with those of the leaves that could come after it.
-        asked = [n for gain, n in heapq.nsmallest(settings.leaves - 1 - len(order), leaves) if gain < 0 and not nodes[n].children]
-        splits, first = splits_of(nodes, order), len(nodes)
+        asked = [n for gain, n in heapq.nsmallest(settings.leaves - 1 - len(order), leaves) if gain < 0 and not nodes[n].children] if ahead else [leaves[0][1]]
+        splits, first = splits_of(nodes, order) if ahead else [], len(nodes)
         ids = {n: (first + 2 * k, first + 2 * k + 1) for k, n in enumerate(asked)}
         splits += [(n, nodes[n].feature, nodes[n].bin, nodes[n].missing_left, *ids[n]) for n in asked]
         small = {}
         for n in asked:
-            rows = nodes[n].sums[nodes[n].feature, :, 0]
+            rows = nodes[n].sums[0, nodes[n].feature]
             in_left = rows[: nodes[n].bin + 1].sum() + (rows[MISSING] if nodes[n].missing_left else 0)
             small[n] = ids[n][int(2 * in_left > rows.sum())]
         for n, sums in zip(asked, summed(splits, [small[n] for n in asked])):
@@ -288,7 +364,7 @@ def tree_of(nodes: dict[int, Node], order: list[int], edges: list[np.ndarray], s
     tree, at, values = Tree(), {}, {}
 
     def add(n: int) -> int:
-        rows, g, h = nodes[n].sums[0].sum(axis=0)
+        rows, g, h = nodes[n].sums[:, 0].sum(axis=1)
         values[n] = -settings.step * g / h if h > 0 else 0.0
         at[n] = tree.add(int(rows), float(values[n]))
         return at[n]
@@ -313,36 +389,47 @@ def moved(splits: list[Split], values: dict[int, float]):
     return run
 
 
-def one_round(summed, turn: int, edges: list[np.ndarray], settings: Settings) -> tuple[Tree, list[Split], dict[int, float]]:
+def one_round(summed, turn: int, edges: list[np.ndarray], settings: Settings, ahead: bool = True) -> tuple[Tree, list[Split], dict[int, float]]:
     """The tree of a round, its splits by bins and its leaves' values by node."""
     draw = random.Random(f"{settings.seed}/{turn}")
     seen = sorted(draw.sample(range(len(edges)), max(1, round(settings.feature_share * len(edges)))))
-    nodes, order = grown(summed, seen, settings)
+    nodes, order = grown(summed, seen, settings, ahead)
     tree, values = tree_of(nodes, order, edges, settings)
     return tree, splits_of(nodes, order), values
 
 
-def block_of(batches: Iterator[pa.RecordBatch], features: int, base: float) -> Block:
-    """Batches of key, target and bins as one block."""
-    found = [[np.zeros(0, np.int64), np.zeros(0), b""]]
-    for batch in batches:
-        key, target, bins = batch.columns
-        found.append([key.to_numpy(zero_copy_only=False), target.to_numpy(zero_copy_only=False), b"".join(bins.to_pylist())])
-    keys, targets, bins = zip(*found)
-    key = np.concatenate(keys)
-    flat = np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(key), features)
-    return Block(np.ascontiguousarray(flat.T), np.concatenate(targets), key.view(np.uint64), np.full(len(key), base))
+def shared(bins: np.ndarray) -> list[tuple[np.ndarray, list[int], list[int]]]:
+    """Columns of codes for Distinct, of BINS + 1 codes at most."""
+    sizes, out = [int(b.max()) + 1 for b in bins], []
+    for f in sorted(range(len(bins)), key=lambda f: sizes[f]):
+        if out and math.prod(out[-1][2]) * sizes[f] <= BINS + 1:
+            codes, features, used = out[-1]
+            out[-1] = (codes.astype(np.uint16) * sizes[f] + bins[f]).astype(np.uint8), [*features, f], [*used, sizes[f]]
+        else:
+            out.append((bins[f], [f], [sizes[f]]))
+    return out
+
+
+def distinct(batches: Iterable[pa.RecordBatch], features: int, base: float) -> Distinct:
+    """From batches of key, target and bins."""
+    key, target, bins = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+    found = bins.dictionary_encode()
+    by_row = np.frombuffer(b"".join(found.dictionary.to_pylist()), dtype=np.uint8).reshape(-1, features)
+    bins = np.ascontiguousarray(by_row.T)
+    return Distinct(bins, by_row, shared(bins), np.full(len(by_row), base), key.to_numpy().view(np.uint64), target.to_numpy(), found.indices.to_numpy().astype(np.intp))
 
 
 def rounds_of_task(edges: list[np.ndarray], settings: Settings, base: float, before: list[tuple[list[Split], dict[int, float]]], turns: range):
     """Rounds over the rows of a task, from the margins that the trees before give."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = block_of(batches, len(edges), base)
+        rows = distinct(batches, len(edges), base)
         for splits, values in before:
-            block = moved(splits, values)(block)
+            for node, at in parted(rows.bins, {0: np.arange(len(rows.margin))}, splits).items():
+                rows.margin[at] += values[node]
         for turn in turns:
-            tree, splits, values = one_round(Turn(block, settings, turn).histograms, turn, edges, settings)
-            block = moved(splits, values)(block)
+            step = Turn(rows, settings, turn)
+            tree, splits, values = one_round(step.histograms, turn, edges, settings, ahead=False)
+            step.move(values)
             yield pa.RecordBatch.from_arrays([pa.array([turn]), pa.array([pickle.dumps((tree, splits, values))])], names=["turn", "round"])
 
     return run
@@ -355,7 +442,8 @@ def train_boosted_trees(frame: DataFrame, target: str, features: Iterable[str],
     which are summed by a tree of tasks; the driver sees those sums alone, whose size follows from leaves, features and bins,
     and picks splits. Rows never move. Margins stay beside the rows, and every INTERVAL rounds they are written to the
     checkpoint folder, so that a lost executor costs the rounds since then at most. Rows are drawn for each round by a hash of `keys`.
-    A frame of TASK_ROWS rows at most goes through the same rounds in a task, ROUNDS_OF_TASK at a time, without a job for each pass.
+    A frame of TASK_ROWS rows at most goes through the same rounds in a task, ROUNDS_OF_TASK at a time, without a job for each pass;
+    rows of equal bins have equal margins, so they are added up once for a round.
 
     An empty frame, or a target of one value, gives a model without trees.
     """

@@ -1,9 +1,12 @@
 """Boosted trees against a plain version that sorts rows and splits node by node."""
 
 import math
+import pickle
 import random
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +116,53 @@ def test_rounds_of_a_task_need_no_jobs(spark, monkeypatch):
     assert len(found[5].trees) == 12 and found[50].margins(x) == pytest.approx(found[5].margins(x), abs=1e-9)
 
 
+def counted(monkeypatch, rows, settings, base=-0.5):
+    """What the rounds of a task give, and how many values their histograms added up."""
+    edges = [np.linspace(0, 1, 99), np.arange(5.0), np.arange(3.0)]
+    key, target, *x = (np.array(c) for c in zip(*rows))
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(target, pa.float64()), *[pa.array(c, pa.float64()) for c in x]], names=["key", "target", *"abc"])
+    added, real = [], np.bincount
+    with monkeypatch.context() as m:
+        m.setattr(np, "bincount", lambda codes, *args, **kwargs: added.append(len(codes)) or real(codes, *args, **kwargs))
+        found = list(boosting.rounds_of_task(edges, settings, base, [], range(settings.rounds))(boosting.binned(edges)(iter([batch]))))
+    return [pickle.loads(b.column(1)[0].as_py())[0] for b in found], sum(added)
+
+
+def rows_of_task(n, copies=1):
+    rng = random.Random(4)
+    rows = [(int(rng.random() < 0.1), rng.random(), float(rng.randrange(6)), float(rng.randrange(4))) for _ in range(n)]
+    return [(k * n + i, *row) for k in range(copies) for i, row in enumerate(rows)]
+
+
+def test_rows_of_equal_bins_are_added_up_once(monkeypatch):
+    """Five copies of each row give the trees of one, with five times the rows, for little more work."""
+    s = Settings(rounds=3, leaves=9, least=20, row_share=1.0)
+    once, work = counted(monkeypatch, rows_of_task(3_000), s)
+    many, more = counted(monkeypatch, rows_of_task(3_000, 5), replace(s, least=100, least_curvature=5 * s.least_curvature))
+    assert [(t.feature, t.threshold, [5 * n for n in t.rows]) for t in once] == [(t.feature, t.threshold, t.rows) for t in many]
+    assert more < 2 * work
+
+
+@pytest.mark.parametrize("flat", [0, 200, 10_000])
+def test_histograms_of_a_task_are_those_of_the_rows(monkeypatch, flat):
+    """Of small nodes and large ones, with shared columns and without, against sums over the blocks of passes."""
+    monkeypatch.setattr(boosting, "FLAT_ROWS", flat)
+    rng, s = np.random.default_rng(6), Settings(leaves=9)
+    bins = np.stack([rng.integers(0, high, 2_000) for high in (255, 6, 4, 3)], axis=1).astype(np.uint8)
+    bins[:300, 0] = bins[200:500, 2] = boosting.MISSING
+    bins[1_500:] = bins[:500]
+    key, y = np.arange(2_000, dtype=np.int64), (rng.random(2_000) < 0.2).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(y), pa.array([b.tobytes() for b in bins], pa.binary())], names=["key", "target", "bins"])
+    block = boosting.Block(np.ascontiguousarray(bins.T), y, key.view(np.uint64), np.full(2_000, -1.0))
+    step = boosting.Turn(boosting.distinct([batch], 4, -1.0), s, 3)
+    splits = [(0, 0, 20, False, 1, 2), (2, 2, 1, True, 3, 4), (4, 1, 3, False, 5, 6), (3, 0, 200, True, 7, 8)]
+    wanted = [1, 3, 6, 8]
+    for k in range(-1, len(splits)):
+        want = next(boosting.histograms(splits[: k + 1], wanted[k : k + 1] if k >= 0 else [0], s, 3)(iter([block])))
+        found = step.histograms(splits[k : k + 1] if k >= 0 else [], wanted[k : k + 1] if k >= 0 else [0])
+        assert (found[:, 0] == want[:, 0]).all() and found == pytest.approx(want, abs=1e-9)
+
+
 def test_missing_values_learn_their_way(spark):
     """The target is 1 where c is missing: a fill in the middle of the known values could not tell."""
     rows = [(k, 0, int(k % 3 == 0), 0.0, 0.0, None if k % 3 == 0 else float(k % 7)) for k in range(600)]
